@@ -8,6 +8,7 @@ the row within its feed, any orderable type) and, for lenient scans,
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -41,19 +42,20 @@ def _scan(spark: SparkSession, multi_line: bool):
     )
 
 
+def _on_file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
+
+
 def qualify(spark: SparkSession, path: str) -> str:
-    """The path as Spark names it in the metadata of a scan."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    p = hadoop.Path(path)
-    fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    return fs.makeQualified(p).toUri().toString().replace("file:/", "file:///", 1) if str(
-        fs.getScheme()
-    ) == "file" else fs.makeQualified(p).toUri().toString()
+    """The path as a scan's metadata names it."""
+    fs, p = _on_file_system(spark, path)
+    uri = fs.makeQualified(p).toUri().toString()
+    return re.sub("^file:/(?!/)", "file:///", uri)
 
 
 def file_size(spark: SparkSession, path: str) -> int:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs, p = _on_file_system(spark, path)
     return fs.getFileStatus(p).getLen()
 
 
@@ -73,7 +75,7 @@ def read_header(spark: SparkSession, path: str) -> list[str]:
     first = _scan(spark, multi_line=True).csv(path, header=False).first()
     names = [] if first is None else ["" if v is None else v for v in first]
     if names:
-        names[0] = names[0].lstrip("﻿")
+        names[0] = names[0].lstrip("\ufeff")
     return names
 
 
