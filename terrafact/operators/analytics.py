@@ -119,25 +119,16 @@ def fields_per_source(registry: DataFrame) -> DataFrame:
 
 
 def join_sources(
-    a: DataFrame, b: DataFrame, metric_a: str, metric_b: str, keys: Sequence[str] = ("fips_code", "year")
+    a: DataFrame,
+    b: DataFrame,
+    metric_a: str,
+    metric_b: str,
+    keys: Sequence[str] = ("fips_code", "year"),
 ) -> DataFrame:
-    """Values of two exported sources side by side for the same place and year.
+    """A metric of one exported source beside one of another, per place and year.
 
-    Every row of one source meets every row of the other with the same keys, so
-    where a place and year repeat, the result has the product of both counts.
-    """
-    left = a.select(*keys, "county", F.col(metric_a)).filter(F.col(metric_a).isNotNull())
-    right = b.select(*keys, F.col(metric_b)).filter(F.col(metric_b).isNotNull())
-    return left.join(right, list(keys)).select(*keys, "county", metric_a, metric_b)
-
-
-def compare_sources(
-    a: DataFrame, b: DataFrame, metric_a: str, metric_b: str, keys: Sequence[str] = ("fips_code", "year")
-) -> DataFrame:
-    """Mean of a metric of each source per place and year.
-
-    Each source is reduced to one row per place and year before they meet, so
-    the join never multiplies rows.
+    Each source is reduced to its mean per place and year before they meet, so
+    a place with many rows in both never yields all their pairs.
     """
 
     def mean(df: DataFrame, metric: str, count: str) -> DataFrame:

@@ -14,7 +14,7 @@ from terrafact.functions.rules import chain
 from terrafact.functions.text import quoted
 from terrafact.sources.feeds import feed_columns, meta_columns
 
-LEVEL = "_level"
+LEVEL, BLAME = "_level", "_blame"
 
 
 class DatasetAborted(RuntimeError):
@@ -104,16 +104,21 @@ def _values(fields: list[_Field]) -> list[Column]:
     return [quoted(f.value).alias(f.name) for f in fields]
 
 
-def apply_transforms(df: DataFrame, source: SourceConfig) -> DataFrame:
+def apply_transforms(df: DataFrame, source: SourceConfig, blame: bool = False) -> DataFrame:
     """Canonical typed columns plus ``_level``: 0 keep, 1 skip row, 2 abort file.
 
-    A row with both kinds of failure counts as the stricter one.
+    A row with both kinds of failure counts as the stricter one. With ``blame``
+    the first field whose failure aborts the file is named in ``_blame``.
     """
     staged, fields = _staged(df, source)
-    levels = [_field_level(f) for f in _strict(fields)]
-    level = F.greatest(F.lit(0), F.lit(0), *levels)
+    strict = _strict(fields)
+    level = F.greatest(F.lit(0), F.lit(0), *[_field_level(f) for f in strict])
     extra = [quoted(c) for c in unmapped_columns(df, source)]
-    return staged.select(*_values(fields), *extra, *meta_columns(df), level.alias(LEVEL))
+    columns = [*_values(fields), *extra, *meta_columns(df), level.alias(LEVEL)]
+    if blame:
+        names = [F.when(_field_level(f) == 2, F.lit(f.name)) for f in strict]
+        columns.append(F.coalesce(F.lit(None).cast("string"), *names).alias(BLAME))
+    return staged.select(*columns)
 
 
 def kept_rows(df: DataFrame) -> DataFrame:

@@ -1,9 +1,9 @@
 """Text feeds: CSV scan, trimming, column choice.
 
-A feed frame has one string column per (lower-cased) feed column plus three
-columns of its own: ``_file`` (where the row came from), ``_row`` (order of
-the row within its feed, any orderable type) and, for lenient scans,
-``_malformed``.
+A feed frame has one string column per (lower-cased) feed column plus columns
+of its own: ``_file`` (where the row came from), ``_row`` (order of the row
+within its feed, any orderable type), for lenient scans ``_malformed``, and
+whatever a load adds to carry a row's run and raw text along.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,7 +21,8 @@ from terrafact.config import ConfigError
 from terrafact.functions.text import quoted, trim_to_null
 
 FILE, ROW, MALFORMED = "_file", "_row", "_malformed"
-META = (FILE, ROW, MALFORMED)
+RUN, POSITION, RAW = "_run", "_position", "_raw"
+META = (FILE, ROW, MALFORMED, RUN, POSITION, RAW)
 
 # Files up to this size are one task anyway, so nothing is gained by splitting.
 SPLIT_FROM_BYTES = 128 * 1024 * 1024
@@ -47,11 +48,19 @@ def _on_file_system(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
 
 
+# Local files are written with one slash or three, depending on the caller.
+LOCAL = "^file:/+"
+
+
 def qualify(spark: SparkSession, path: str) -> str:
-    """The path as a scan's metadata names it."""
+    """The path as :func:`scanned_file` names it."""
     fs, p = _on_file_system(spark, path)
-    uri = fs.makeQualified(p).toUri().toString()
-    return re.sub("^file:/(?!/)", "file:///", uri)
+    return re.sub(LOCAL, "file:/", fs.makeQualified(p).toUri().toString())
+
+
+def scanned_file() -> Column:
+    """The file a scanned row came from."""
+    return F.regexp_replace(F.col("_metadata.file_path"), LOCAL, "file:/")
 
 
 def file_size(spark: SparkSession, path: str) -> int:
@@ -136,7 +145,7 @@ def name_columns(df: DataFrame, header: Sequence[str], row) -> DataFrame:
     bad = [F.col("_bad").isNotNull().alias(MALFORMED)] if "_bad" in df.columns else []
     return df.select(
         *[F.col(f"c{i}").alias(name) for name, i in last.items()],
-        F.col("_metadata.file_path").alias(FILE),
+        scanned_file().alias(FILE),
         row.alias(ROW),
         *bad,
     )

@@ -91,32 +91,49 @@ DIMENSION_FIELDS = frozenset(LOCATION_FIELDS + TIME_FIELDS)
 LOCATION_KEY = ("city", "country", "fips_code", "state_code", "zip_code")
 TIME_KEY = ("day", "month", "quarter", "year")
 
-LOCATION_SCHEMA = T.StructType.fromDDL(
+_TYPES = {
+    "string": T.StringType(),
+    "boolean": T.BooleanType(),
+    "smallint": T.ShortType(),
+    "bigint": T.LongType(),
+    "double": T.DoubleType(),
+    "date": T.DateType(),
+    "timestamp": T.TimestampType(),
+}
+
+
+def _table(columns: str) -> T.StructType:
+    """A schema from ``name type, ...``, without the need of a session."""
+    pairs = (c.split() for c in columns.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
+
+
+LOCATION_SCHEMA = _table(
     "id string, county string, country string, zip_code string, fips_code string, "
     "latitude double, longitude double, city string, state_code string, state_name string, "
     "zcta string, parent_zcta string, population double, density double, "
     "county_weights string, county_names_all string, county_fips_all string, "
     "imprecise boolean, military boolean, timezone string"
 )
-TIME_SCHEMA = T.StructType.fromDDL(
+TIME_SCHEMA = _table(
     "id string, year smallint, quarter smallint, month smallint, day smallint, date_floor date"
 )
-FACT_SCHEMA = T.StructType.fromDDL(
+FACT_SCHEMA = _table(
     "id string, raw_import_id bigint, location_id string, time_id string, "
     "normalized_data string, inserted_at timestamp, source_name string, ingest_run_id string"
 )
-RAW_SCHEMA = T.StructType.fromDDL(
+RAW_SCHEMA = _table(
     "raw_import_id bigint, source_id bigint, source_file string, raw_data string, "
     "imported_at timestamp, source_name string, ingest_run_id string"
 )
-FIELD_REGISTRY_SCHEMA = T.StructType.fromDDL(
+FIELD_REGISTRY_SCHEMA = _table(
     "source_name string, field_name string, field_type string, description string, "
     "created_at timestamp"
 )
-SOURCE_REGISTRY_SCHEMA = T.StructType.fromDDL(
+SOURCE_REGISTRY_SCHEMA = _table(
     "id string, name string, description string, created_at timestamp"
 )
-DIM_LOG_SCHEMA = T.StructType.fromDDL(
+DIM_LOG_SCHEMA = _table(
     "id string, source_name string, target string, file_path string, "
     "persisted_at timestamp, row_count bigint"
 )
