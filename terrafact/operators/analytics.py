@@ -63,7 +63,7 @@ def value_domain(averages: DataFrame) -> DataFrame:
 
 def avg_by_period(tall: DataFrame, time: DataFrame) -> DataFrame:
     """Mean of every metric by period, in calendar order."""
-    periods = time.select(F.col("id").alias("time_id"), "year", "quarter", "month", "date_floor")
+    periods = time.select(F.col("id").alias("time_id"), "year", "quarter", "month", "day", "date_floor")
     return (
         _partial_mean(tall, "time_id")
         .withColumn("avg_value", F.col("_sum") / F.col("_n"))

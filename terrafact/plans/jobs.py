@@ -170,12 +170,13 @@ def ingest_feed(
 
 
 def _outcome(stage: DataFrame, source: SourceConfig) -> list[RunReport]:
-    """Rows, skipped rows and reason to give up, per file. As long as the file list."""
+    """Rows, skipped rows and reason to give up, per run. As long as the file list."""
     gave_up = F.col(TR.LEVEL) == 2
     first = F.min_by(F.struct(TR.BLAME, ROW), F.when(gave_up, F.col(ROW)))
     found = (
-        stage.groupBy(RUN, FILE)
+        stage.groupBy(RUN)
         .agg(
+            F.min(FILE).alias(FILE),
             F.count(F.lit(1)).alias("n"),
             F.count_if(F.col(TR.LEVEL) == 1).alias("skipped"),
             F.count_if(gave_up).alias("bad"),
