@@ -66,8 +66,11 @@ def orders_load(spark: SparkSession, sf: str, source: SourceConfig = Q.ORDERS) -
     return fact_load(clean_orders(spark, sf), source, P.country_of_path(F.col(FILE)))
 
 
+ORDER_FIELDS = ("order_key", "priority", "region_name", "status", "total_price")
+
+
 def orders_tall(spark: SparkSession, sf: str) -> DataFrame:
-    return PY.to_observations(orders_load(spark, sf).facts)
+    return PY.to_observations(orders_load(spark, sf).facts, ORDER_FIELDS)
 
 
 def micros(c: str):
@@ -922,17 +925,15 @@ def list_locations(spark, sf):
 
 @query("SELECT id, metric_name, metric_value FROM orders_tall")
 def observations(spark, sf):
-    """One row per fact and payload field, its number or null."""
-    return orders_tall(spark, sf).select("id", "metric_name", "metric_value")
+    """One row per fact and payload field, its number or null; the fields are those found."""
+    tall = PY.to_observations(orders_load(spark, sf).facts)
+    return tall.select("id", "metric_name", "metric_value")
 
 
 @query("SELECT id, metric_value FROM orders_tall WHERE metric_name = 'total_price'")
 def filter_metric(spark, sf):
-    return RD_metric(spark, sf, "total_price").select("id", "metric_value")
-
-
-def RD_metric(spark, sf, name: str) -> DataFrame:
-    return PY.filter_metric(orders_tall(spark, sf), name)
+    rows = PY.filter_metric(orders_tall(spark, sf), "total_price")
+    return rows.select("id", "metric_value")
 
 
 @query(f"SELECT id, {PAYLOAD_SQL} FROM orders_linked WHERE priority = '1-URGENT' AND status = 'O'")
@@ -957,7 +958,7 @@ FROM events_rows
 def extract_context(spark, sf):
     """Payload fields that are not numbers."""
     facts = fact_load(FD.clean(Q.events_feed(spark, sf)), Q.EVENTS).facts
-    facts = PY.extract_context(facts)
+    facts = PY.extract_context(facts, Q.EVENTS.schema)
     p = PY.parsed(["kind", "flag", "at_us", "value", "event_id"], "attributes")
     key = PY.parsed(["event_id"])["event_id"].cast("bigint").alias("event_id")
     out = facts.select(key, p.alias("p")).filter("p.value IS NULL AND p.event_id IS NULL")
@@ -975,7 +976,7 @@ WHERE metric_value IS NOT NULL AND l.state_code IS NOT NULL GROUP BY ALL
 """)
 def avg_by_state(spark, sf):
     load = orders_load(spark, sf)
-    out = A.avg_by_state(PY.to_observations(load.facts), load.locations)
+    out = A.avg_by_state(PY.to_observations(load.facts, ORDER_FIELDS), load.locations)
     return out.withColumn("avg_value", F.round("avg_value", 6))
 
 
@@ -987,7 +988,7 @@ SELECT metric_name, round(min(a), 6) AS min_value, round(max(a), 6) AS max_value
 """)
 def value_domain(spark, sf):
     load = orders_load(spark, sf)
-    out = A.value_domain(A.avg_by_state(PY.to_observations(load.facts), load.locations))
+    out = A.value_domain(A.avg_by_state(PY.to_observations(load.facts, ORDER_FIELDS), load.locations))
     return out.select(
         "metric_name", F.round("min_value", 6).alias("min_value"), F.round("max_value", 6).alias("max_value")
     )

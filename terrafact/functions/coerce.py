@@ -29,19 +29,13 @@ MONTHS = (
     "november",
     "december",
 )
-WEEKDAYS = ("sun", "mon", "tue", "wed", "thu", "fri", "sat")
 ZONES = {
-    "UT": "+0000",
-    "GMT": "+0000",
-    "Z": "+0000",
-    "EST": "-0500",
+    "UT|GMT|Z": "+0000",
     "EDT": "-0400",
-    "CST": "-0600",
-    "CDT": "-0500",
-    "MST": "-0700",
-    "MDT": "-0600",
+    "EST|CDT": "-0500",
+    "CST|MDT": "-0600",
+    "MST|PDT": "-0700",
     "PST": "-0800",
-    "PDT": "-0700",
 }
 # Seconds since the epoch of the first and last instant a timestamp may have.
 FIRST_SECOND = -8_334_601_228_800
@@ -50,8 +44,8 @@ LAST_SECOND = 8_210_266_876_799
 SIGNED_SQL = {"i8": "tinyint", "i16": "smallint", "i32": "int", "i64": "bigint"}
 UNSIGNED_MAX = {"u8": 2**8 - 1, "u16": 2**16 - 1, "u32": 2**32 - 1, "u64": 2**64 - 1}
 
-# Month names, in full or by three letters.
-_MONTH = "((?i:" + "|".join(f"{m[:3]}(?:{m[3:]})?" for m in MONTHS) + "))"
+# Month names, in full or by three letters; one of twelve groups holds the letters.
+_MONTH = "(?i:" + "|".join(f"({m[:3]})(?:{m[3:]})?" for m in MONTHS) + ")"
 # Possessive digits: a part takes all it can and gives nothing back.
 _D, _Y = r"\s*([0-9]{1,2}+)", r"\s*([0-9]{1,4}+)"
 DATE_PATTERNS = {
@@ -61,6 +55,7 @@ DATE_PATTERNS = {
     "year_month_day": (f"^{_Y}{_D}{_D}$", "000$1-$2-$3"),
 }
 LONG_US = rf"^{_MONTH}\s*([0-9]{{1,2}}),\s*([0-9]{{1,4}})$"
+LONG_US_PARTS = "".join(f"${i}" for i in range(1, 13)) + " $13 $14"
 RFC3339 = (
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}"
     r"(\.[0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})$"
@@ -112,57 +107,34 @@ def json_text(c: Column) -> Column:
     return F.when(as_element.isNotNull() & as_member.isNotNull(), c)
 
 
-def _month_number(name: Column) -> Column:
-    short = F.lower(F.substring(name, 1, 3))
-    numbers = F.create_map(*[x for i, m in enumerate(MONTHS, 1) for x in (F.lit(m[:3]), F.lit(i))])
-    return F.try_element_at(numbers, short).cast("string")
-
-
 def date(c: Column, fmt: str | None = None) -> Column:
     fmt = fmt or DATE_FORMATS[0]
     if fmt == "long_us":
-        part = [F.regexp_extract(c, LONG_US, i) for i in (1, 2, 3)]
-        text = F.concat(
-            F.lit("000"), part[2], F.lit("-"), _month_number(part[0]), F.lit("-"), part[1]
-        )
-        return F.when(c.rlike(LONG_US), text.try_cast("date"))
+        text = F.regexp_replace(c, LONG_US, LONG_US_PARTS)
+        return F.when(c.rlike(LONG_US), F.try_to_date(text, "MMM d y"))
     pattern, order = DATE_PATTERNS[fmt]
     return F.when(c.rlike(pattern), F.regexp_replace(c, pattern, order).try_cast("date"))
 
 
 def _rfc2822(c: Column) -> Column:
-    weekday, day, month, year, hour, minute, second, zone = (
-        F.regexp_extract(c, RFC2822, i) for i in range(1, 9)
-    )
-    number = year.try_cast("int")
+    form = F.lit("d MMM yyyy HH:mm:ss Z")
+    text = F.regexp_replace(c, RFC2822, "$2 $3 $4 $5:$6:$7 $8")
+    # Zone names, left-out seconds and short years are rare: only text that
+    # does not read in its full form is rewritten.
+    full = F.replace(text, F.lit(": "), F.lit(":00 "))
+    for names, offset in ZONES.items():
+        full = F.regexp_replace(full, f"(?i) (?:{names})$", f" {offset}")
     # Two digits up to 49 lie in this century, other short years in the last one.
-    full_year = (
-        F.when((F.length(year) == 2) & (number < 50), number + 2000)
-        .when(F.length(year) < 4, number + 1900)
-        .otherwise(number)
-    )
-    names = F.create_map(*[F.lit(x) for pair in ZONES.items() for x in pair])
-    offset = F.when(zone.rlike("^[+-]"), zone).otherwise(F.try_element_at(names, F.upper(zone)))
-    day_text = F.concat(
-        F.lpad(full_year.cast("string"), 4, "0"), F.lit("-"), _month_number(month), F.lit("-"), day
-    )
-    text = F.concat(
-        day_text,
-        F.lit(" "),
-        hour,
-        F.lit(":"),
-        minute,
-        F.lit(":"),
-        F.when(second == "", F.lit("00")).otherwise(second),
-        F.substring(offset, 1, 3),
-        F.lit(":"),
-        F.substring(offset, 4, 2),
-    )
-    days = F.create_map(*[x for i, d in enumerate(WEEKDAYS, 1) for x in (F.lit(d), F.lit(i))])
-    right_day = (weekday == "") | (
-        F.try_element_at(days, F.lower(weekday)) == F.dayofweek(day_text.try_cast("date"))
+    full = F.regexp_replace(full, "^(\\S+ \\S+) 1?([0-4][0-9]) ", "$1 20$2 ")
+    full = F.regexp_replace(full, "^(\\S+ \\S+) 0?([0-9]{2}) ", "$1 19$2 ")
+    instant = F.coalesce(F.try_to_timestamp(text, form), F.try_to_timestamp(full, form))
+    # A weekday, where there is one, has to be that of the date.
+    day = F.coalesce(
+        *[F.try_to_date(F.substring_index(t, " ", 3), "d MMM yyyy") for t in (text, full)]
     )
-    return F.when(c.rlike(RFC2822) & right_day, text.try_cast("timestamp"))
+    weekday = F.lower(F.substring(c, 1, 3))
+    right_day = c.rlike("^[0-9]") | (weekday == F.lower(F.date_format(day, "EEE")))
+    return F.when(c.rlike(RFC2822) & right_day, instant)
 
 
 def timestamp(c: Column, fmt: str | None = None) -> Column:
@@ -178,22 +150,12 @@ def timestamp(c: Column, fmt: str | None = None) -> Column:
         in_range = n.between(FIRST_SECOND * 1000, LAST_SECOND * 1000 + 999)
         return F.timestamp_millis(F.when(in_range, n))
     if fmt == "us_datetime":
-        part = [F.regexp_extract(c, US_DATETIME, i) for i in range(1, 7)]
-        text = F.concat(
-            F.lpad(part[2], 4, "0"),
-            F.lit("-"),
-            part[0],
-            F.lit("-"),
-            part[1],
-            F.lit(" "),
-            part[3],
-            F.lit(":"),
-            part[4],
-            F.lit(":"),
-            part[5],
-            F.lit("Z"),
+        # A timestamp's year is read with four to six digits.
+        text, short = (
+            F.regexp_replace(c, US_DATETIME, f"{zeros}$3-$1-$2 $4:$5:$6Z") for zeros in ("00", "000")
         )
-        return F.when(c.rlike(US_DATETIME), text.try_cast("timestamp"))
+        instant = F.coalesce(text.try_cast("timestamp"), short.try_cast("timestamp"))
+        return F.when(c.rlike(US_DATETIME), instant)
     raise ValueError(f"unknown timestamp format: {fmt!r}")
 
 

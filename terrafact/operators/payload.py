@@ -41,18 +41,22 @@ def payload_contains(df: DataFrame, values: Mapping[str, str]) -> DataFrame:
 def to_observations(fact: DataFrame, fields: Iterable[str] | None = None) -> DataFrame:
     """One row per fact and payload field: ``metric_name`` and a number or null.
 
-    With ``fields`` only those are read from the JSON; a field that the
-    payload lacks gives no row. Without, all fields of every payload are.
+    Without ``fields`` every field of every payload is taken. With the fields
+    of a source, each gives one row per fact, and only those are parsed.
     """
+    rest = [c for c in fact.columns if c != PAYLOAD]
     if fields is None:
         pairs = F.map_entries(as_map())
+        tall = fact.select(*rest, F.inline(pairs).alias("metric_name", "text"))
     else:
-        wanted = F.array(*[F.lit(f) for f in fields])
-        pairs = F.map_entries(F.map_filter(as_map(), lambda k, _: F.array_contains(wanted, k)))
-    rest = [c for c in fact.columns if c != PAYLOAD]
-    return fact.select(*rest, F.inline(pairs).alias("metric_name", "text")).select(
-        *rest, "metric_name", coerce.floating(F.col("text"), "f64").alias("metric_value")
-    )
+        fields = list(fields)
+        values = fact.select(*rest, parsed(fields).alias("_p"))
+        pairs = F.array(
+            *[F.struct(F.lit(f).alias("n"), F.col("_p")[f].alias("v")) for f in fields]
+        )
+        tall = values.select(*rest, F.inline(pairs).alias("metric_name", "text"))
+    number = coerce.floating(F.col("text"), "f64")
+    return tall.select(*rest, "metric_name", number.alias("metric_value"))
 
 
 def filter_metric(tall: DataFrame, name: str = "") -> DataFrame:
@@ -60,10 +64,22 @@ def filter_metric(tall: DataFrame, name: str = "") -> DataFrame:
     return tall.filter(F.col("metric_name") == name) if name else tall
 
 
-def extract_context(fact: DataFrame) -> DataFrame:
-    """Add ``attributes``: the payload fields that are not numbers, as JSON."""
-    kept = F.map_filter(
-        as_map(), lambda _, v: v.isNotNull() & coerce.floating(v, "f64").isNull()
-    )
-    entries = F.map_from_entries(F.array_sort(F.map_entries(kept)))
-    return fact.withColumn("attributes", F.to_json(entries))
+def extract_context(fact: DataFrame, fields: Iterable[str] | None = None) -> DataFrame:
+    """Add ``attributes``: the payload fields that are not numbers, as JSON.
+
+    Naming the source's fields spares building a map per row.
+    """
+    if fields is None:
+        kept = F.map_filter(
+            as_map(), lambda _, v: v.isNotNull() & coerce.floating(v, "f64").isNull()
+        )
+        entries = F.map_from_entries(F.array_sort(F.map_entries(kept)))
+        return fact.withColumn("attributes", F.to_json(entries))
+    names = sorted(fields)
+    values = fact.withColumn("_p", parsed(names))
+    # Null members are left out of the JSON.
+    texts = [
+        F.when(coerce.floating(F.col("_p")[n], "f64").isNull(), F.col("_p")[n]).alias(n)
+        for n in names
+    ]
+    return values.withColumn("attributes", F.to_json(F.struct(*texts))).drop("_p")

@@ -37,7 +37,12 @@ LOOKED_UP = ("id", "location_id", "time_id")
 
 def configure(spark: SparkSession) -> None:
     """Session settings the expressions rely on."""
+    # JSON objects may repeat a key; the last one counts.
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    # The JVM does not compile methods above 8000 bytes. Sources with many
+    # fields make larger ones, which then run interpreted; with this limit
+    # Spark splits them into methods that are compiled.
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
 
 
 def shared_folder(spark: SparkSession) -> str:
