@@ -19,8 +19,16 @@ def quoted(name: str) -> Column:
 
 
 def trim_to_null(c: Column) -> Column:
-    """Strip white space on both ends; nothing left means null."""
-    return F.nullif(F.btrim(c, F.lit(WHITE_SPACE)), F.lit(""))
+    """Strip white space on both ends; nothing left means null.
+
+    Text that has a visible ASCII character at both ends once its blanks are
+    gone is done; only the rest is searched for other kinds of white space.
+    """
+    text = F.trim(c)
+    last = F.substring(text, -1, 1)
+    plain = (text > " ") & (text < "\x7f") & (last > " ") & (last < "\x7f")
+    rest = F.nullif(F.btrim(c, F.lit(WHITE_SPACE)), F.lit(""))
+    return F.when(plain, text).otherwise(rest)
 
 
 def utc_text(c: Column) -> Column:

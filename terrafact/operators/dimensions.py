@@ -30,6 +30,9 @@ FACT_LOCATION_COLUMNS = (
     "state_name",
     "timezone",
 )
+# The country a row's file stands for, while the row is linked.
+COUNTRY = "_country"
+
 # A row with none of these names no place.
 PLACE_COLUMNS = ("county", "country", "zip_code", "fips_code")
 
@@ -66,6 +69,10 @@ def resolve_location(df: DataFrame, kinds: Kinds, default_country: Column | None
 
     The key is a function of the row, so no look-up join is needed.
     """
+    if default_country is not None:
+        # In a column of its own, so that it is worked out once per row.
+        df = df.withColumn(COUNTRY, default_country)
+        default_country = F.col(COUNTRY)
     country, spelt = _country(kinds, default_country)
     parts = [country if n == "country" else _attribute(kinds, n) for n in PLACE_COLUMNS]
     named = F.coalesce(*parts).isNotNull()
@@ -73,9 +80,9 @@ def resolve_location(df: DataFrame, kinds: Kinds, default_country: Column | None
     return df.withColumn("location_id", uuid5(text))
 
 
-def location_rows(df: DataFrame, kinds: Kinds, default_country: Column | None = None) -> DataFrame:
-    """Dimension rows of a fact feed with ``location_id``: first row per key wins."""
-    country, _ = _country(kinds, default_country)
+def location_rows(df: DataFrame, kinds: Kinds) -> DataFrame:
+    """Dimension rows of resolved fact rows: the first row per key wins."""
+    country, _ = _country(kinds, F.col(COUNTRY) if COUNTRY in df.columns else None)
     filled = {n: _attribute(kinds, n) for n in FACT_LOCATION_COLUMNS} | {"country": country}
     rows = df.filter(F.col("location_id").isNotNull()).select(
         F.col("location_id").alias("id"),

@@ -67,7 +67,7 @@ def fact_load(
     rows = TR.kept_rows(TR.apply_transforms(feed, source))
     rows = TR.check_complete(rows, schema or source.schema, source.derived_names, stale)
     linked = link(rows, source, default_country)
-    locations = D.location_rows(linked, kinds, default_country)
+    locations = D.location_rows(linked, kinds)
     times = D.time_rows(linked, kinds)
     merged_location = D.upsert_location(locations, location) if location is not None else locations
     merged_time = D.upsert_time(times, time) if time is not None else times

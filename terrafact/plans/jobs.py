@@ -153,7 +153,7 @@ def ingest_feed(
             good = stage.filter(F.col(TR.LEVEL) == 0)
             good = good.filter(~F.col(RUN).isin(bad)) if bad else good
             good = TR.check_complete(good, schema, source.derived_names, stale)
-            _merge_dimensions(wh, good, kinds, country, merge)
+            _merge_dimensions(wh, good, kinds, merge)
             extra = tuple(TR.unmapped_columns(cleaned, source))
             _publish_facts(wh, source, good, schema, extra, runs)
         reports = _with_inserted(wh, outcome)
@@ -213,11 +213,11 @@ def _write_raw(wh: Warehouse, source: SourceConfig, stage: DataFrame) -> None:
     )
 
 
-def _merge_dimensions(wh: Warehouse, good: DataFrame, kinds, country, merge: str) -> None:
+def _merge_dimensions(wh: Warehouse, good: DataFrame, kinds, merge: str) -> None:
     # Files are loaded in list order: within one the first row of a place
     # wins, and a later file's row replaces an earlier one's.
     by_file = good.withColumn(ROW, F.struct((-F.col(POSITION)).alias("p"), F.col(ROW).alias("r")))
-    locations = D.location_rows(by_file, kinds, country)
+    locations = D.location_rows(by_file, kinds)
     wh.write_snapshot(
         "dim_location", D.upsert_location(locations, wh.read("dim_location"), merge)
     )
@@ -249,6 +249,11 @@ def _publish_facts(
         # A run that is written again does not conflict with itself.
         loaded = wh.read("normalized_imports").filter(~F.col("ingest_run_id").isin(runs))
         facts = without_conflicts(first_per_key(facts, "id", ROW), loaded)
+    if len(runs) > 1:
+        # The de-duplication spread every run over all tasks; without this each
+        # task would write a file for each run. Large runs are split, small
+        # ones merged.
+        facts = facts.hint("rebalance", F.col("ingest_run_id"))
     wh.write_runs("normalized_imports", facts.withColumn("inserted_at", F.current_timestamp()))
 
 
