@@ -952,17 +952,22 @@ def payload_field(spark, sf):
 
 @query("""
 SELECT event_id, kind, CASE WHEN flag THEN 'true' WHEN NOT flag THEN 'false' END AS flag,
-       5 + (at_rfc3339 IS NOT NULL)::INT * 5 AS marks
+       at_us IS NOT NULL AS has_time, false AS has_number
 FROM events_rows
-""".replace("5 + (at_rfc3339 IS NOT NULL)::INT * 5 AS marks", "at_us IS NOT NULL AS has_time"))
+""")
 def extract_context(spark, sf):
     """Payload fields that are not numbers."""
     facts = fact_load(FD.clean(Q.events_feed(spark, sf)), Q.EVENTS).facts
     facts = PY.extract_context(facts, Q.EVENTS.schema)
     p = PY.parsed(["kind", "flag", "at_us", "value", "event_id"], "attributes")
     key = PY.parsed(["event_id"])["event_id"].cast("bigint").alias("event_id")
-    out = facts.select(key, p.alias("p")).filter("p.value IS NULL AND p.event_id IS NULL")
-    return out.select("event_id", "p.kind", "p.flag", F.col("p.at_us").isNotNull().alias("has_time"))
+    return facts.select(key, p.alias("p")).select(
+        "event_id",
+        "p.kind",
+        "p.flag",
+        F.col("p.at_us").isNotNull().alias("has_time"),
+        F.coalesce("p.value", "p.event_id").isNotNull().alias("has_number"),
+    )
 
 
 # Aggregates

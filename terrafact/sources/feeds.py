@@ -13,7 +13,7 @@ from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,6 +68,12 @@ def file_size(spark: SparkSession, path: str) -> int:
     return fs.getFileStatus(p).getLen()
 
 
+def _odd_quotes() -> Column:
+    """Whether a text line has a quoted value that it does not both open and close."""
+    without = F.replace(F.col("value"), F.lit('"'), F.lit(""))
+    return (F.length("value") - F.length(without)) % 2 != 0
+
+
 def lines_stand_alone(spark: SparkSession, path: str) -> bool:
     """True when no quoted value of the file spans lines.
 
@@ -75,8 +81,7 @@ def lines_stand_alone(spark: SparkSession, path: str) -> bool:
     a quoted value. The scan is split like any text file, so a large file can
     be checked, and then parsed, by many tasks.
     """
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    return spark.read.text(path).filter(quotes % 2 != 0).isEmpty()
+    return spark.read.text(path).filter(_odd_quotes()).isEmpty()
 
 
 def read_header(spark: SparkSession, path: str) -> list[str]:
@@ -102,20 +107,23 @@ def read_csv(
     does not fail a job over many. A column missing from one of the files is
     null there. With equal (lower-cased) names the last column wins.
 
-    Quoted values may span lines. Such a file cannot be split, so larger files
-    are first checked for whether that happens at all; ``multi_line=False``
-    promises that it does not and saves the check.
+    Quoted values may span lines, and Spark cannot split such a file. Large
+    files are therefore first checked for whether that happens at all, and
+    where it does their lines are put together to records by many tasks.
+    ``multi_line=False`` promises that it does not and saves the check.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if not paths:
         raise ConfigError("no files to read")
 
-    def shape(path: str) -> tuple[tuple[str, ...], bool]:
-        spans = multi_line
-        if spans is None:
-            large = file_size(spark, path) > SPLIT_FROM_BYTES
-            spans = not (large and lines_stand_alone(spark, path))
-        return tuple(read_header(spark, path)), spans
+    def shape(path: str) -> tuple[tuple[str, ...], str]:
+        if multi_line is False:
+            how = "lines"
+        elif file_size(spark, path) <= SPLIT_FROM_BYTES:
+            how = "whole files"
+        else:
+            how = "lines" if lines_stand_alone(spark, path) else "records"
+        return tuple(read_header(spark, path)), how
 
     with ThreadPoolExecutor(HEADER_THREADS) as pool:
         shapes = list(pool.map(shape, paths))
@@ -124,10 +132,12 @@ def read_csv(
         if not key[0]:
             raise ConfigError(f"no header in {path}")
         groups.setdefault(key, []).append(path)
-    frames = [
-        _read_group(spark, files, header, spans, lenient)
-        for (header, spans), files in groups.items()
-    ]
+    frames = []
+    for (header, how), files in groups.items():
+        if how == "records":
+            frames += [read_records(spark, f, header, lenient) for f in files]
+        else:
+            frames.append(_read_group(spark, files, header, how == "whole files", lenient))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
@@ -139,27 +149,90 @@ def csv_schema(header: Sequence[str], lenient: bool) -> T.StructType:
     return T.StructType(fields)
 
 
-def name_columns(df: DataFrame, header: Sequence[str], row) -> DataFrame:
+def name_columns(df: DataFrame, header: Sequence[str], file: Column, row: Column) -> DataFrame:
     """Put the lower-cased header names on a positional scan."""
     last = {name.lower(): i for i, name in enumerate(header)}
     bad = [F.col("_bad").isNotNull().alias(MALFORMED)] if "_bad" in df.columns else []
     return df.select(
         *[F.col(f"c{i}").alias(name) for name, i in last.items()],
-        scanned_file().alias(FILE),
+        file.alias(FILE),
         row.alias(ROW),
         *bad,
     )
 
 
+def _mode(lenient: bool) -> dict[str, str]:
+    if lenient:
+        return {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    return {"mode": "FAILFAST"}
+
+
 def _read_group(
     spark: SparkSession, paths: list[str], header: Sequence[str], multi_line: bool, lenient: bool
 ) -> DataFrame:
-    reader = _scan(spark, multi_line).schema(csv_schema(header, lenient))
-    if lenient:
-        reader = reader.options(mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
-    else:
-        reader = reader.option("mode", "FAILFAST")
-    return name_columns(reader.csv(paths, header=True), header, F.monotonically_increasing_id())
+    reader = _scan(spark, multi_line).schema(csv_schema(header, lenient)).options(**_mode(lenient))
+    df = reader.csv(paths, header=True)
+    return name_columns(df, header, scanned_file(), F.monotonically_increasing_id())
+
+
+def read_records(
+    spark: SparkSession, path: str, header: Sequence[str], lenient: bool = False
+) -> DataFrame:
+    """Scan one large CSV file whose quoted values span lines, in many tasks.
+
+    A line starts a record when the quotes in front of it are balanced. Each
+    split of the file counts its own quotes; the counts of the splits before
+    it, a few numbers per split, tell whether it begins inside a value. Only
+    lines that do not make a record by themselves are then grouped.
+    """
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("line"),
+        scanned_file().alias("file"),
+        _odd_quotes().alias("odd"),
+    )
+    in_split = Window.partitionBy("split").orderBy("line")
+    odd = F.col("odd").cast("int")
+    before = F.coalesce(F.sum(odd).over(in_split.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lines = lines.withColumn("before", before % 2)
+
+    # Per split: how its quotes end, and its last record start for either way
+    # it may begin.
+    at = F.struct("split", "line")
+    splits = lines.groupBy("split").agg(
+        (F.sum(odd) % 2).alias("odd_total"),
+        F.max(F.when(F.col("before") == 0, at)).alias("start_if_0"),
+        F.max(F.when(F.col("before") == 1, at)).alias("start_if_1"),
+    )
+    earlier = Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn(
+        "open", F.coalesce(F.sum("odd_total").over(earlier), F.lit(0)) % 2
+    )
+    own = F.when(F.col("open") == 0, F.col("start_if_0")).otherwise(F.col("start_if_1"))
+    splits = splits.withColumn("own", own).withColumn("carried", F.max("own").over(earlier))
+
+    lines = lines.join(splits.select("split", "open", "carried"), "split")
+    starts = (F.col("before") + F.col("open")) % 2 == 0
+    lines = lines.withColumn("starts", starts)
+    alone = lines.filter(F.col("starts") & ~F.col("odd")).select("file", "line", "value")
+    so_far = in_split.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = F.coalesce(F.max(F.when(F.col("starts"), at)).over(so_far), F.col("carried"))
+    parts = lines.withColumn("start", start).filter(~F.col("starts") | F.col("odd"))
+    spanning = parts.groupBy("file", "start").agg(
+        F.array_sort(F.collect_list(F.struct("split", "line", "value"))).alias("parts")
+    )
+    text = F.concat_ws("\n", F.col("parts")["value"])
+    records = alone.unionByName(spanning.select("file", F.col("start.line").alias("line"), text.alias("value")))
+
+    first = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"))
+    records = records.join(first.agg(F.min("line").alias("line")), "line", "left_anti")
+    schema = ", ".join(f"{f.name} string" for f in csv_schema(header, lenient))
+    options = {"sep": ",", "quote": '"', "escape": '"', "maxCharsPerColumn": "-1", **_mode(lenient)}
+    parsed = records.filter(F.col("value") != "").select(
+        F.from_csv("value", schema, options).alias("r"), "file", "line"
+    )
+    return name_columns(parsed.select("r.*", "file", "line"), header, F.col("file"), F.col("line"))
 
 
 def clean(df: DataFrame) -> DataFrame:
