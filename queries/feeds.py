@@ -136,7 +136,7 @@ def _money(c: str) -> Column:
 
 
 def _state_name(number: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(n) for n in STATE_CODES]), number + 1)
+    return F.get(F.array(*[F.lit(n) for n in STATE_CODES]), number)
 
 
 def orders_feed(spark: SparkSession, sf: str) -> DataFrame:
@@ -200,10 +200,8 @@ def events_feed(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("event_id")
     at = F.col("ts")
     seconds = F.unix_seconds(at.cast("timestamp"))
-    flag = F.element_at(
-        F.array(*[F.lit(x) for x in ("yes", "no", "1", "0", "TRUE", "False", "maybe")]),
-        (k % 7 + 1).cast("int"),
-    )
+    words = ("yes", "no", "1", "0", "TRUE", "False", "maybe")
+    flag = F.get(F.array(*[F.lit(x) for x in words]), (k % 7).cast("int"))
     props = (
         F.when(k % 34 == 0, F.concat(F.col("props"), F.lit(" x")))
         .when(k % 17 == 0, F.lit('{"k": 69'))
@@ -257,9 +255,7 @@ def places_feed(spark: SparkSession, sf: str, second: bool = False) -> DataFrame
         F.when(k % 3 == 0, F.lit("{}x")).otherwise(F.concat(F.lit('{"w": '), k.cast("string"), F.lit("}"))).alias(
             "weights"
         ),
-        F.element_at(F.array(*[F.lit(x) for x in ("yes", "0", "perhaps")]), (k % 3 + 1).cast("int")).alias(
-            "military"
-        ),
+        F.get(F.array(*[F.lit(x) for x in ("yes", "0", "perhaps")]), k % 3).alias("military"),
         (k + 10000).cast("string").alias("zip"),
         (k / 4).cast("decimal(18,2)").cast("string").alias("latitude"),
         F.concat(F.lit("-"), k.cast("string"), F.lit(".5")).alias("longitude"),
@@ -269,7 +265,7 @@ def places_feed(spark: SparkSession, sf: str, second: bool = False) -> DataFrame
 
 
 def _code(number: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(c) for c in STATE_CODES.values()]), number + 1)
+    return F.get(F.array(*[F.lit(c) for c in STATE_CODES.values()]), number)
 
 
 def calendar_feed(spark: SparkSession, sf: str) -> DataFrame:
