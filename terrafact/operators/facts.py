@@ -13,7 +13,7 @@ from terrafact.functions.keys import joined_key, key_text, uuid5
 from terrafact.functions.text import finite, quoted, utc_text
 from terrafact.operators.keep import first_per_key, without_conflicts
 from terrafact.sources.feeds import ROW, feed_columns, meta_columns
-from terrafact.types import DIMENSION_FIELDS, FACT_SCHEMA
+from terrafact.types import DIMENSION_FIELDS
 
 # Prefix of looked-up values while they travel next to the canonical fields.
 DERIVED = "_derived_"
@@ -131,7 +131,3 @@ def fact_id(source: SourceConfig, kinds: Mapping[str, str]) -> Column:
 def append_facts(new: DataFrame, existing: DataFrame, order: str = ROW) -> DataFrame:
     """Rows to add: the first row per id, unless the id is already loaded."""
     return without_conflicts(first_per_key(new, "id", order), existing)
-
-
-def fact_columns(df: DataFrame) -> DataFrame:
-    return df.select(*FACT_SCHEMA.names)

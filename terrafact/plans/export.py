@@ -7,7 +7,6 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafact.functions.text import quoted
 from terrafact.operators.analytics import LOCATION_COLUMNS, TIME_COLUMNS, star_view
 from terrafact.operators.payload import parsed
 from terrafact.types import DIMENSION_FIELDS, KIND_TYPES, TYPES
@@ -59,7 +58,3 @@ def write_export(df: DataFrame, path: str) -> None:
 def read_export(spark, path: str, schema) -> DataFrame:
     """An exported source; filters on ``year`` prune folders."""
     return spark.read.schema(schema).parquet(path)
-
-
-def export_columns(df: DataFrame) -> DataFrame:
-    return df.select(*[quoted(c) for c in sorted(df.columns)])
