@@ -187,7 +187,8 @@ def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     counts = np.diff(first)
     for j in range(k):
         step = np.uint64(int(step) * int(_BASE) % (1 << 64))
-        acc[: n - j if j else n] += hashes[j:] * step
+        if j < n:
+            acc[: n - j] += hashes[j:] * step
     left = first[docs + 1] - np.arange(n)
     whole = left >= k
     out, owner = mix(acc[whole]), docs[whole]

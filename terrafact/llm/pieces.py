@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,8 +31,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 
 #: Words and pairs that one Python worker remembers before it starts anew.
-MEMORY = 150_000
-PAIRS = 400_000
+MEMORY = 400_000
+PAIRS = 1_000_000
 
 MARK = "▁"
 NORMAL = 0
@@ -55,8 +57,16 @@ class PieceModel:
         self.by_word = not any(MARK in p.lstrip(MARK) for p in self.ids)
         self._pairs: dict[int, bool] = {}
         self._words: dict[str, tuple[int, ...]] = {}
-        # Pieces that merging can give, and for each the longest shorter one that it starts with.
+        # Pieces that merging can give, how each came about, and the longest shorter one that it starts with.
+        self.halves: dict[str, tuple[str, str]] = {}
         own = {p for p in self.ids if len(p) == 1 or self.merge(p) == [p]}
+        self.late = {p: -s for p, s in self.score.items()}  # merges come in this order
+        # The order of merges can be undone step by step where a piece is merged after its halves and no two at once.
+        tied = {s for s, n in Counter(self.score.values()).items() if n > 1}
+        self.plain = {
+            self.ids[p] for p in own
+            if len(p) == 1 or self.score[p] not in tied and all(len(h) == 1 or self.late[h] < self.late[p] for h in self.halves[p])
+        }
         self.automaton = ahocorasick.Automaton()
         for p in own:
             self.automaton.add_word(p, (self.ids[p], len(p)))
@@ -85,6 +95,8 @@ class PieceModel:
             _, i, j, joined = heapq.heappop(heap)
             if parts[i] is None or parts[j] is None or after[i] != j or parts[i] + parts[j] != joined:
                 continue
+            if joined == text:
+                self.halves[text] = (parts[i], parts[j])
             parts[i], parts[j] = joined, None
             after[i] = after[j]
             if after[j] < len(parts):
@@ -93,6 +105,25 @@ class PieceModel:
             offer(i, after[i])
         return [p for p in parts if p is not None]
 
+    def remerged(self, a: str, b: str) -> bool:
+        """Whether no merge crosses between two pieces: their merges next to the border are taken
+        back, the latest first, and what then meets must not merge before the one taken back last."""
+        late, halves = self.late, self.halves
+        limit = float("inf")
+        while True:
+            crossing = late.get(a + b)
+            if crossing is not None and crossing < limit:
+                return False
+            x = late[a] if len(a) > 1 else -1.0
+            y = late[b] if len(b) > 1 else -1.0
+            if x < 0 and y < 0:
+                return True
+            if x > y:
+                limit, a = x, halves[a][1]
+            else:
+                # merging is leftmost first: of equal merges the one that crosses comes before b's
+                limit, b = math.nextafter(y, math.inf), halves[b][0]
+
     def fits(self, a: int, b: int) -> bool:
         """Whether merging both pieces' text again leaves just these two."""
         key = a << 20 | b
@@ -100,7 +131,9 @@ class PieceModel:
         if known is None:
             if len(self._pairs) >= PAIRS:
                 self._pairs.clear()
-            known = self._pairs[key] = self.merge(self.pieces[a] + self.pieces[b]) == [self.pieces[a], self.pieces[b]]
+            one, two = self.pieces[a], self.pieces[b]
+            plain = a in self.plain and b in self.plain
+            known = self._pairs[key] = self.remerged(one, two) if plain else self.merge(one + two) == [one, two]
         return known
 
     def _segment(self, longest: list[int], lo: int, hi: int) -> list[int]:
@@ -136,15 +169,30 @@ class PieceModel:
         longest = [-1] * n
         for end, (token, size) in self.automaton.iter(word):
             longest[end - size + 1] = token  # later ends are longer
+        # Where the longest pieces fit each other, there is nothing to take back.
+        pairs, length = self._pairs, self.length
+        out: list[int] = []
+        pos = last = 0
+        while pos < n:
+            token = longest[pos]
+            if token < 0 or last and not pairs.get(last << 20 | token):
+                return self._searched(word, longest)
+            out.append(token)
+            pos += length[token]
+            last = token
+        return tuple(out)
+
+    def _searched(self, word: str, longest: list[int]) -> tuple[int, ...]:
+        n = len(word)
         out: list[int] = []
         lo = 0
         while lo < n:
-            if longest[lo] < 0 or word[lo] not in self.ids:
+            if longest[lo] < 0:
                 out += [self.bytes[b] for b in word[lo].encode()] if self.has_bytes else [self.unk]
                 lo += 1
                 continue
             hi = lo + 1
-            while hi < n and word[hi] in self.ids:
+            while hi < n and longest[hi] >= 0:
                 hi += 1
             out += self._segment(longest, lo, hi)
             lo = hi
@@ -217,18 +265,22 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row. Ids as text and surfaces are
-    remembered per word, so a text costs little more than looking its words up."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row. Each distinct word is encoded, and
+    its ids decoded, once while it is remembered; a text costs little more than looking its words up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        known: dict[str, tuple[int, str, str]] = {}
+        known: dict[str, str] = {}
+        changed: dict[str, str] = {}  # words whose ids stand for another text than the word
 
-        def look(word: str) -> tuple[int, str, str]:
+        def look(word: str) -> str:
             if len(known) >= MEMORY:
                 known.clear()
+                changed.clear()
             ids = m.encode_word(word)
-            found = (len(ids), ",".join(map(str, ids)), m.surface(ids))
+            if (surface := m.surface(ids)) != word:
+                changed[word] = surface
+            found = ",".join(map(str, ids))
             if len(word) <= 64:
                 known[word] = found
             return found
@@ -237,11 +289,12 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             counts, coded, plain = [], [], []
             for text in batch.column("text"):
                 get = known.get
-                parts = [get(w) or look(w) for w in m.words(text.as_py() or "")]
-                ns, ids, surfaces = zip(*parts, strict=True) if parts else ((), (), ())
-                counts.append(sum(ns))
-                coded.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
-                plain.append(hashlib.sha256(m.text_of("".join(surfaces)).encode()).hexdigest())
+                words = m.words(text.as_py() or "")
+                ids = ",".join([get(w) or look(w) for w in words])
+                surface = "".join([changed.get(w, w) for w in words] if changed else words)
+                counts.append(ids.count(",") + 1 if ids else 0)
+                coded.append(hashlib.sha256(ids.encode()).hexdigest())
+                plain.append(hashlib.sha256(m.text_of(surface).encode()).hexdigest())
             yield pa.record_batch(
                 [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(plain, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, pieces, separators, toxicity
+from . import language, lines, ngram_join, packing, pieces, repeats, separators, topk, toxicity, vectors
 from .common import Scratch, fold, table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -43,6 +43,28 @@ def op4_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.digests(table(spark, sf, "documents", "doc_id", "text"), public_tokenizers.path(PIECE_MODEL))
 
 
+def op5_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents", "doc_id", "text")
+    return ngram_join.similarity_classes(docs, k=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
+
+
+def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.line_counts(table(spark, sf, "documents", "doc_id", "text"))
+
+
+def op7_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf, "embeddings", "vec_id", "embedding", "label"))
+
+
+def op8_topk(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings", "vec_id", "embedding").select("vec_id", topk.whole_units("embedding").alias("units"))
+    return topk.top_k(rows, F.col("vec_id") % 50 == 0)
+
+
+def op9_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.digests(table(spark, sf, "documents", "doc_id", "text"))
+
+
 def op10_separators(spark: SparkSession, sf: str) -> DataFrame:
     """Token counts of all documents, found again in flat token files that hold nothing but ids."""
     scratch = Scratch(spark, "op10")
@@ -60,9 +82,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_language": op3_language,
     "op4_pieces": op4_pieces,
+    "op5_ngram_join": op5_ngram_join,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_vectors": op7_vectors,
+    "op8_topk": op8_topk,
+    "op9_repeats": op9_repeats,
     "op10_separators": op10_separators,
 }
 
 ORACLES: dict[str, str] = {
     "op2_packing": packing.oracle(),
+    "op6_line_dedup": lines.ORACLE,
 }

@@ -1,6 +1,6 @@
 """Operator 1: toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence's probability is logistic in its hashed words; the
+A document is a bag of sentences. A sentence's probability is logistic in its hashed words and word beginnings; the
 document's is their noisy-or, 1 - prod(1 - p). Only labels of documents are known: the gradient of
 the documents' log-likelihood is passed through the noisy-or to the sentences, so that the model learns which
 sentences make a document toxic. The same weights then locate them.
@@ -21,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_table, flat_text, pieces, word_hashes
+from .common import LOWER, byte_table, flat_text, mix, pieces, prefix_hash, range_hash, word_spans
 
 BITS = 18
+#: Bytes of a word's beginning that are a feature too.
+STEM = 5
 #: Labelled documents of each class in the sample: those with the smallest hashes.
 SAMPLE = 2500
 
@@ -44,24 +46,32 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def sentence_words(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word its bucket and sentence; of each sentence with words its text's index and the
-    start of its first word."""
-    hashes, start, first = word_hashes(buf, at, _IN_WORDS)
-    if not len(hashes):
+    """Of each distinct feature of a sentence (two for a word: the whole word, and its first bytes,
+    which words of one stem share) its bucket and sentence; of each sentence with words its text's index and the start of
+    its first word."""
+    start, end = word_spans(buf, at, _IN_WORDS)
+    if not len(start):
         none = np.zeros(0, np.int64)
         return none, none, none, none
-    doc = np.repeat(np.arange(len(at) - 1), np.diff(first))
+    sums = prefix_hash(LOWER[buf])
+    hashes = np.stack([range_hash(sums, start, end), mix(range_hash(sums, start, np.minimum(end, start + STEM)))], 1).ravel()
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(np.searchsorted(start, at)))
     ends = np.searchsorted(np.flatnonzero(_ENDS[buf]), start)
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (ends[1:] != ends[:-1])
-    return (hashes >> np.uint64(64 - BITS)).astype(np.int64), np.cumsum(new) - 1, doc[new], start[new]
+    sentence = np.repeat(np.cumsum(new) - 1, 2)
+    both = np.sort(sentence << BITS | (hashes >> np.uint64(64 - BITS)).astype(np.int64))
+    once = np.ones(len(both), bool)
+    np.not_equal(both[1:], both[:-1], out=once[1:])
+    both = both[once]
+    return both & (1 << BITS) - 1, both >> BITS, doc[new], start[new]
 
 
 def noisy_or(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), n))
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: int = 250, rate: float = 0.08, decay: float = 2e-6) -> ToxicityModel:
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: int = 300, rate: float = 0.08, decay: float = 3e-5) -> ToxicityModel:
     """Full-batch Adam on the documents' log-likelihood. A bag: buckets of words, and the index of
     the sentence that each word stands in."""
     model = ToxicityModel(np.zeros(1 << BITS, np.float32), -60.0)
