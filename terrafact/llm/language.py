@@ -17,7 +17,7 @@ get a result each; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -171,24 +171,51 @@ def predict(docs: DataFrame, model: LanguageModel | None, accept: float = 0.5) -
         return lettered.select(
             "doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("accepted")
         )
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by BITS and the languages
+    judge = _judge(docs, model, accept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        names = np.array([*m.languages, UNKNOWN], object)
         for batch in batches:
-            buf, at = flat_text(batch.column("text"))
-            has = batch.column("has").to_numpy(zero_copy_only=False)
-            best, score = np.zeros(len(has), np.int64), np.zeros(len(has))
-            for lo, hi, part, offsets in pieces(buf, at, PIECE_BYTES):
-                p = softmax(_scores(m, part, offsets) / m.temperature)
-                best[lo:hi] = p.argmax(1)
-                score[lo:hi] = p.max(1)
-            best[~has] = len(m.languages)
-            score[~has] = 0.0
+            names, score, accepted = judge(batch)
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(names[best], pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(has & (score >= accept))],
+                [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score), pa.array(accepted)],
                 ["doc_id", "lang_pred", "score", "accepted"],
             )
 
     return lettered.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, accepted boolean")
+
+
+def accepted_rows(docs: DataFrame, model: LanguageModel | None, accept: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is accepted; none without a model."""
+    if model is None:
+        return docs.filter("1 = 0")
+    judge = _judge(docs, model, accept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(judge(batch)[2])).select(names)
+
+    names = docs.columns
+    has = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("__has")
+    return docs.select(*names, has).mapInArrow(run, docs.schema)
+
+
+def _judge(docs: DataFrame, model: LanguageModel, accept: float) -> Callable:
+    """From a batch with text and, as its last column, whether the text has a letter: names, scores,
+    whether accepted."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by BITS and the languages
+
+    def run(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        m = shared.value
+        names = np.array([*m.languages, UNKNOWN], object)
+        buf, at = flat_text(batch.column("text"))
+        has = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+        best, score = np.zeros(len(has), np.int64), np.zeros(len(has))
+        for lo, hi, part, offsets in pieces(buf, at, PIECE_BYTES):
+            p = softmax(_scores(m, part, offsets) / m.temperature)
+            best[lo:hi] = p.argmax(1)
+            score[lo:hi] = p.max(1)
+        best[~has] = len(m.languages)
+        score[~has] = 0.0
+        return names[best], np.clip(score, 0, 1), has & (score >= accept)
+
+    return run

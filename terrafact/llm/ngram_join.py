@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import setjoin as S
@@ -118,8 +118,8 @@ def allowed(na: str, nb: str, num: int, den: int) -> tuple:
 
 
 def similarity_classes(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """doc_id, th, n_shingles, component_id for each row of docs (doc_id, text); links at Jaccard
-    num/den or more."""
+    """doc_id, th, n_shingles, component_id, stays (whether it is the first of its component) for each
+    row of docs (doc_id, text); links at Jaccard num/den or more."""
     scratch = Scratch(docs.sparkSession, "ngram")
     tokens = tokens_of(k)
     rows = scratch.stage(signatures(docs, k, num, den), "signatures")
@@ -171,13 +171,29 @@ def similarity_classes(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10)
     more = S.verified(pairs, texts, tokens, num, den)
     labels = connected(scratch, links.unionByName(more)).withColumnRenamed("v", "cls")
     scratch.drop(texts)
-    rooted = classes.select("cls", F.col("rep.doc_id").alias("id")).join(labels, "cls", "left").select("cls", "id", F.coalesce("root", "cls").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("id").alias("least"))
+    rooted = classes.select("cls", "rep").join(labels, "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("rep").alias("least"))
     found = scratch.stage(rooted.join(least, "root").select("cls", "least"), "components")
+    linked = F.col("doc_id").isNotNull() & (F.col("n") > 0)
     return (
         rows.select("doc_id", "th", "n", "cls").join(found, "cls", "left")
         .select(
             "doc_id", "th", F.col("n").alias("n_shingles"),
-            F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("least")), "doc_id")).alias("component_id"),
+            F.when(linked, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+            F.when(linked, F.struct("doc_id", "th") == F.col("least")).otherwise(F.lit(True)).alias("stays"),
         )
     )
+
+
+def first_of_each(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """The rows of docs, with all their columns, without those that reach a smaller one by links: of
+    each component the row with the smallest (doc_id, text hash) stays, once. Rows without words
+    or id stay all."""
+    judged = similarity_classes(docs, k, num, den)
+    key = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("__id"), F.col("th").alias("__th")]
+    gone = judged.filter("NOT stays").select(*key).distinct()
+    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))), "__th": F.xxhash64("text")})
+    left = keyed.join(gone, ["__id", "__th"], "left_anti")
+    copy = F.row_number().over(Window.partitionBy("__id", "__th").orderBy("__id"))  # of rows equal in id and text
+    alone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return left.withColumn("__copy", F.when(alone, F.lit(1)).otherwise(copy)).filter("__copy = 1").select(*docs.columns)

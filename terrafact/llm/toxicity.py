@@ -6,8 +6,8 @@ the documents' log-likelihood is passed through the noisy-or to the sentences, s
 sentences make a document toxic. The same weights then locate them.
 
 Edge cases: null and empty texts have no sentence and score 0; a document without a label, or with a
-null one, is not learned from; with several labels the highest counts; without any label the model
-is all zeros and every score 0. Rows are scored each on their own: null ids and repeated rows get
+null one, is not learned from; with several labels the highest counts; without any label no word
+has a weight and every score is below 1e-12. Rows are scored each on their own: null ids and repeated rows get
 their results; other columns are not read.
 """
 
