@@ -8,6 +8,7 @@ whatever a load adds to carry a row's run and raw text along.
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -24,8 +25,6 @@ FILE, ROW, MALFORMED = "_file", "_row", "_malformed"
 RUN, POSITION, RAW = "_run", "_position", "_raw"
 META = (FILE, ROW, MALFORMED, RUN, POSITION, RAW)
 
-# Files up to this size are one task anyway, so nothing is gained by splitting.
-SPLIT_FROM_BYTES = 128 * 1024 * 1024
 HEADER_THREADS = 8
 
 
@@ -37,10 +36,20 @@ def meta_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c in META]
 
 
-def _scan(spark: SparkSession, multi_line: bool):
-    return spark.read.options(
-        sep=",", quote='"', escape='"', multiLine=multi_line, maxCharsPerColumn=-1
-    )
+OPTIONS = {"sep": ",", "quote": '"', "escape": '"', "maxCharsPerColumn": "-1"}
+
+# How a line leaves the quotes. A quote opens a value only at the start of a
+# field; a quoted value ends at a quote that is not doubled; what follows up to
+# the comma is text. Possessive, so that long lines are matched without backtracking.
+_QUOTED = '"[^"]*+(?:""[^"]*+)*+'
+_FIELDS = f'(?:(?:{_QUOTED}"[^,]*+|[^",][^,]*+)?+,)*+'
+_OPENS = f"^{_FIELDS}{_QUOTED}$"
+_STAYS_OPEN = f'^[^"]*+(?:""[^"]*+)*+(?:$|"[^,]*+,{_FIELDS}{_QUOTED}$)'
+# In Java's patterns `$` also stands before a last line break, of which there are many kinds.
+OPENS, STAYS_OPEN = _OPENS.replace("$", "\\z"), _STAYS_OPEN.replace("$", "\\z")
+
+# Stand-ins for carriage returns inside values, which the parser would change.
+_MARK, _CR, _SELF = "\ue000", "\ue000r", "\ue000m"
 
 
 def _on_file_system(spark: SparkSession, path: str):
@@ -63,34 +72,42 @@ def scanned_file() -> Column:
     return F.regexp_replace(F.col("_metadata.file_path"), LOCAL, "file:/")
 
 
-def file_size(spark: SparkSession, path: str) -> int:
-    fs, p = _on_file_system(spark, path)
-    return fs.getFileStatus(p).getLen()
-
-
-def _odd_quotes() -> Column:
-    """Whether a text line has a quoted value that it does not both open and close."""
-    without = F.replace(F.col("value"), F.lit('"'), F.lit(""))
-    return (F.length("value") - F.length(without)) % 2 != 0
+def spanning_files(spark: SparkSession, paths: Sequence[str]) -> set[str]:
+    """Those files in which some quoted value spans lines.
 
+    If every line that begins outside a quoted value also ends outside one,
+    then, line by line, all of them do. The scan is split like any text file,
+    and one job looks at all files.
+    """
+    lines = spark.read.text([literal(p) for p in paths])
+    spans = lines.filter(F.col("value").rlike(OPENS)).select(scanned_file().alias("file"))
+    return {r["file"] for r in spans.distinct().collect()}
 
-def lines_stand_alone(spark: SparkSession, path: str) -> bool:
-    """True when no quoted value of the file spans lines.
 
-    Quotes are balanced on every line exactly when every line starts outside
-    a quoted value. The scan is split like any text file, so a large file can
-    be checked, and then parsed, by many tasks.
-    """
-    return spark.read.text(path).filter(_odd_quotes()).isEmpty()
+def literal(path: str) -> str:
+    """A path that Spark's readers take by name, not as a pattern."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
 
 
 def read_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names of a file, as written. An empty file has none."""
-    first = _scan(spark, multi_line=True).csv(path, header=False).first()
-    names = [] if first is None else ["" if v is None else v for v in first]
-    if names:
-        names[0] = names[0].lstrip("\ufeff")
-    return names
+    """Column names of a file, as written. An empty file has none.
+
+    Only the first record is read, by the driver and without a Spark job.
+    """
+    fs, p = _on_file_system(spark, path)
+    jvm = spark._jvm.java.io
+    reader = jvm.BufferedReader(jvm.InputStreamReader(fs.open(p), "UTF-8"))
+    try:
+        lines: list[str] = []
+        while (line := reader.readLine()) is not None:
+            if not lines and not line.removeprefix("\ufeff"):
+                continue
+            lines.append(line if lines else line.removeprefix("\ufeff"))
+            if not re.search(_STAYS_OPEN if len(lines) > 1 else _OPENS, lines[-1]):
+                break
+    finally:
+        reader.close()
+    return next(csv.reader(["\n".join(lines)]), []) if lines else []
 
 
 def read_csv(
@@ -107,37 +124,27 @@ def read_csv(
     does not fail a job over many. A column missing from one of the files is
     null there. With equal (lower-cased) names the last column wins.
 
-    Quoted values may span lines, and Spark cannot split such a file. Large
-    files are therefore first checked for whether that happens at all, and
-    where it does their lines are put together to records by many tasks.
-    ``multi_line=False`` promises that it does not and saves the check.
+    LF, CR and CRLF end a record, and are kept as they are inside quotes. Files
+    are split whatever they hold: where no quoted value spans lines, a line is a
+    record; of other files :func:`read_records` puts the lines together. Both
+    follow the same rule of what a quote opens. ``multi_line=False`` promises
+    that no value spans lines and saves looking.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if not paths:
         raise ConfigError("no files to read")
-
-    def shape(path: str) -> tuple[tuple[str, ...], str]:
-        if multi_line is False:
-            how = "lines"
-        elif file_size(spark, path) <= SPLIT_FROM_BYTES:
-            how = "whole files"
-        else:
-            how = "lines" if lines_stand_alone(spark, path) else "records"
-        return tuple(read_header(spark, path)), how
-
     with ThreadPoolExecutor(HEADER_THREADS) as pool:
-        shapes = list(pool.map(shape, paths))
+        headers = list(pool.map(lambda p: read_header(spark, p), paths))
+    spans = set() if multi_line is False else spanning_files(spark, paths)
     groups: dict[tuple, list[str]] = {}
-    for path, key in zip(paths, shapes):
-        if not key[0]:
+    for path, header in zip(paths, headers):
+        if not header:
             raise ConfigError(f"no header in {path}")
-        groups.setdefault(key, []).append(path)
-    frames = []
-    for (header, how), files in groups.items():
-        if how == "records":
-            frames += [read_records(spark, f, header, lenient) for f in files]
-        else:
-            frames.append(_read_group(spark, files, header, how == "whole files", lenient))
+        groups.setdefault((tuple(header), qualify(spark, path) in spans), []).append(path)
+    frames = [
+        (read_records if spanning else _read_lines)(spark, files, header, lenient)
+        for (header, spanning), files in groups.items()
+    ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
@@ -167,72 +174,128 @@ def _mode(lenient: bool) -> dict[str, str]:
     return {"mode": "FAILFAST"}
 
 
-def _read_group(
-    spark: SparkSession, paths: list[str], header: Sequence[str], multi_line: bool, lenient: bool
-) -> DataFrame:
-    reader = _scan(spark, multi_line).schema(csv_schema(header, lenient)).options(**_mode(lenient))
-    df = reader.csv(paths, header=True)
+def _read_lines(spark: SparkSession, paths: list[str], header: Sequence[str], lenient: bool) -> DataFrame:
+    reader = spark.read.options(**OPTIONS, **_mode(lenient)).schema(csv_schema(header, lenient))
+    df = reader.csv([literal(p) for p in paths], header=True)
     return name_columns(df, header, scanned_file(), F.monotonically_increasing_id())
 
 
-def read_records(
-    spark: SparkSession, path: str, header: Sequence[str], lenient: bool = False
-) -> DataFrame:
-    """Scan one large CSV file whose quoted values span lines, in many tasks.
-
-    A line starts a record when the quotes in front of it are balanced. Each
-    split of the file counts its own quotes; the counts of the splits before
-    it, a few numbers per split, tell whether it begins inside a value. Only
-    lines that do not make a record by themselves are then grouped.
-    """
-    lines = spark.read.text(path).select(
-        "value",
-        F.col("_metadata.file_block_start").alias("split"),
-        F.monotonically_increasing_id().alias("line"),
+def _text_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Lines with what ends them: ``file``, ``at`` (order in the file), ``text``, ``end``."""
+    raw = spark.read.option("lineSep", "\n").text([literal(p) for p in paths]).select(
         scanned_file().alias("file"),
-        _odd_quotes().alias("odd"),
+        F.col("_metadata.file_block_start").alias("split"),
+        # A carriage return ends a line too, but not apart from its line feed.
+        F.split("value", "(?<=\r)(?!$)").alias("all"),
     )
-    in_split = Window.partitionBy("split").orderBy("line")
-    odd = F.col("odd").cast("int")
-    before = F.coalesce(F.sum(odd).over(in_split.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lines = lines.withColumn("before", before % 2)
-
-    # Per split: how its quotes end, and its last record start for either way
-    # it may begin.
-    at = F.struct("split", "line")
-    splits = lines.groupBy("split").agg(
-        (F.sum(odd) % 2).alias("odd_total"),
-        F.max(F.when(F.col("before") == 0, at)).alias("start_if_0"),
-        F.max(F.when(F.col("before") == 1, at)).alias("start_if_1"),
+    raw = raw.select("file", "split", F.size("all").alias("parts"), F.posexplode("all").alias("part", "text"))
+    last = F.col("part") == F.col("parts") - 1
+    cr = F.col("text").endswith("\r")
+    return raw.withColumn("line", F.monotonically_increasing_id()).select(
+        "file",
+        "split",
+        F.struct("split", "line").alias("at"),
+        F.when(cr, F.expr("left(text, length(text) - 1)")).otherwise(F.col("text")).alias("text"),
+        F.when(~last, "\r").when(cr, "\r\n").otherwise("\n").alias("end"),
     )
-    earlier = Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn(
-        "open", F.coalesce(F.sum("odd_total").over(earlier), F.lit(0)) % 2
+
+
+def read_records(
+    spark: SparkSession, paths: str | Sequence[str], header: Sequence[str], lenient: bool = False
+) -> DataFrame:
+    """Scan CSV files whose quoted values span lines, in many tasks.
+
+    What a line does to the state (outside or inside a quoted value) is to
+    keep it, swap it, or set it, whatever it was. The state after a number of
+    lines is that of the last line that sets it, swapped by the swaps since;
+    so each split of a file works out its own effect, and the effects of the
+    splits before it, a row for each, tell how it begins. Only lines that do
+    not make a record by themselves are then grouped. A file that ends inside
+    a value is not grouped: it yields one malformed record.
+    """
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    lines = _text_lines(spark, paths)
+    opens, stays = F.col("text").rlike(OPENS), F.col("text").rlike(STAYS_OPEN)
+    lines = lines.withColumns({
+        "swap": (opens & ~stays).cast("int"),
+        "set": F.when(opens == stays, opens.cast("int")),
+    })
+
+    def effect(rows: DataFrame, order: str, *by: str) -> DataFrame:
+        """Swaps so far and, of the last set, its state less the swaps up to it; before each row."""
+        w = Window.partitionBy(*by).orderBy(order)
+        rows = rows.withColumn("swaps", F.sum("swap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        rows = rows.withColumn("base", F.last((F.col("set") + F.col("swaps")) % 2, True).over(w))
+        return rows.withColumns({
+            "swaps_before": F.coalesce(F.lag("swaps").over(w), F.lit(0)),
+            "base_before": F.lag("base").over(w),
+        })
+
+    lines = effect(lines, "at", "file", "split")
+    # The state before a line, had its split begun outside a value; or null if it depends on that.
+    state = (F.col("base_before") + F.col("swaps_before")) % 2
+    # For either way that a split may begin: its last record start.
+    start_if = [
+        F.max(F.when(F.coalesce(state, (F.lit(x) + F.col("swaps_before")) % 2) == 0, F.col("at"))).alias(f"start_if_{x}")
+        for x in (0, 1)
+    ]
+    splits = lines.groupBy("file", "split").agg(
+        (F.sum("swap") % 2).alias("swap"),
+        F.max_by((F.col("base") + F.col("swaps")) % 2, "at").alias("set"),
+        *start_if,
     )
+    # One row for each split; a set counts from behind its split's swaps.
+    splits = splits.withColumn("swap", F.when(F.col("set").isNull(), F.col("swap")).otherwise(F.lit(0)))
+    splits = effect(splits, "split", "file")
+    begins = (F.coalesce("base_before", F.lit(0)) + F.col("swaps_before")) % 2
+    w = Window.partitionBy("file").orderBy("split")
+    splits = splits.withColumns({
+        "open": begins,
+        "ends": F.last((F.coalesce("base", F.lit(0)) + F.col("swaps")) % 2).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+    })
     own = F.when(F.col("open") == 0, F.col("start_if_0")).otherwise(F.col("start_if_1"))
-    splits = splits.withColumn("own", own).withColumn("carried", F.max("own").over(earlier))
-
-    lines = lines.join(splits.select("split", "open", "carried"), "split")
-    starts = (F.col("before") + F.col("open")) % 2 == 0
-    lines = lines.withColumn("starts", starts)
-    alone = lines.filter(F.col("starts") & ~F.col("odd")).select("file", "line", "value")
-    so_far = in_split.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    start = F.coalesce(F.max(F.when(F.col("starts"), at)).over(so_far), F.col("carried"))
-    parts = lines.withColumn("start", start).filter(~F.col("starts") | F.col("odd"))
+    splits = splits.withColumn("own", own)
+    splits = splits.withColumn("carried", F.max("own").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+
+    lines = lines.join(splits.select("file", "split", "open", "carried", "ends"), ["file", "split"])
+    inside = F.coalesce(state, (F.col("open") + F.col("swaps_before")) % 2)
+    after = F.coalesce(F.col("set"), (inside + F.col("swap")) % 2)
+    lines = lines.withColumns({"starts": inside == 0, "whole": (inside == 0) & (after == 0)})
+    closed = lines.filter(F.col("ends") == 0)
+    alone = closed.filter("whole").select("file", F.col("at").alias("start"), "text")
+    so_far = Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = F.coalesce(F.max(F.when(F.col("starts"), F.col("at"))).over(so_far), F.col("carried"))
+    parts = closed.withColumn("start", start).filter(~F.col("whole"))
+    # The line break behind a record's last line is not part of it.
     spanning = parts.groupBy("file", "start").agg(
-        F.array_sort(F.collect_list(F.struct("split", "line", "value"))).alias("parts")
+        F.array_sort(F.collect_list(F.struct("at", "text", "end"))).alias("parts")
     )
-    text = F.concat_ws("\n", F.col("parts")["value"])
-    records = alone.unionByName(spanning.select("file", F.col("start.line").alias("line"), text.alias("value")))
+    body = F.transform("parts", lambda x, i: F.when(i == F.size("parts") - 1, x["text"]).otherwise(F.concat(x["text"], x["end"])))
+    records = alone.unionByName(spanning.select("file", "start", F.array_join(body, "").alias("text")))
 
-    first = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"))
-    records = records.join(first.agg(F.min("line").alias("line")), "line", "left_anti")
+    first = records.groupBy("file").agg(F.min(F.when(F.col("text").rlike("[^\ufeff]"), F.col("start"))).alias("head"))
+    records = records.join(first, "file").filter((F.col("start") > F.col("head")) & (F.col("text") != ""))
     schema = ", ".join(f"{f.name} string" for f in csv_schema(header, lenient))
-    options = {"sep": ",", "quote": '"', "escape": '"', "maxCharsPerColumn": "-1", **_mode(lenient)}
-    parsed = records.filter(F.col("value") != "").select(
-        F.from_csv("value", schema, options).alias("r"), "file", "line"
-    )
-    return name_columns(parsed.select("r.*", "file", "line"), header, F.col("file"), F.col("line"))
+    marked = F.replace(F.replace("text", F.lit(_MARK), F.lit(_SELF)), F.lit("\r"), F.lit(_CR))
+    text = F.when(F.col("text").rlike(f"[\r{_MARK}]"), marked).otherwise(F.col("text"))
+    parsed = records.select(F.from_csv(text, schema, OPTIONS | _mode(lenient)).alias("r"), "file", "start")
+    values = [
+        F.when(F.col(f"r.{f.name}").contains(_MARK), F.replace(F.replace(f"r.{f.name}", F.lit(_CR), F.lit("\r")), F.lit(_SELF), F.lit(_MARK)))
+        .otherwise(F.col(f"r.{f.name}")).alias(f.name)
+        for f in csv_schema(header, lenient)
+    ]
+    out = parsed.select(*values, "file", F.col("start.line").alias("line"))
+    unclosed = splits.filter((F.col("ends") == 1) & (F.col("split") == 0))
+    message = F.lit("a quoted value that never closes")
+    nothing = [
+        (message if f.name == "_bad" else F.lit(None).cast("string")).alias(f.name) for f in csv_schema(header, lenient)
+    ]
+    line = F.lit(0).cast("bigint")
+    if not lenient:
+        error = F.raise_error(F.concat(F.lit("malformed record: "), message, F.lit(" in "), F.col("file")))
+        line = F.when(F.col("ends") == 1, error).cast("bigint")
+    out = out.unionByName(unclosed.select(*nothing, "file", line.alias("line")))
+    return name_columns(out, header, F.col("file"), F.col("line"))
 
 
 def clean(df: DataFrame) -> DataFrame:
