@@ -353,10 +353,16 @@ def rejects(spark, sf):
     )
 
 
-@query("""
-SELECT 'at_rfc3339' AS field, count(*) AS rows,
+@query("".join(f"""
+SELECT '{t}' AS field, count(*) AS rows,
        count(*) FILTER (k % 11 = 0 AND k % 13 <> 0) AS blank,
-       count(*) FILTER (k % 13 = 0) AS failed, count(r.at_rfc3339) AS kept
+       count(*) FILTER (k % 13 = 0) AS failed, count(r.{t}) AS kept
+FROM events_feed f JOIN events_rows r ON f.k = r.event_id
+UNION ALL""" for t in ("at_rfc3339", "at_rfc2822", "at_seconds", "at_millis", "at_us")) + """
+SELECT 'event_id', count(*), 0, 0, count(*) FROM events_feed
+UNION ALL
+SELECT 'user_id', count(*), count(*) FILTER (f."user" IS NULL),
+       count(*) FILTER (f."user" IS NOT NULL AND r.user_id IS NULL), count(r.user_id)
 FROM events_feed f JOIN events_rows r ON f.k = r.event_id
 UNION ALL
 SELECT 'value', count(*), count(*) FILTER (k % 11 = 0),
@@ -373,14 +379,8 @@ UNION ALL
 SELECT 'kind', count(*), 0, 0, count(*) FROM events_feed
 """)
 def type_profile(spark, sf):
-    """What became of the values of some fields, in one pass."""
-    fields = ("at_rfc3339", "value", "props", "flag", "kind")
-    source = changed(
-        Q.EVENTS,
-        unique_key=(),
-        fields=tuple(f for f in Q.EVENTS.fields if f.canonical in fields),
-    )
-    return TR.type_profile(FD.clean(Q.events_feed(spark, sf)), source)
+    """What became of the values of all fields, in one pass."""
+    return TR.type_profile(FD.clean(Q.events_feed(spark, sf)), Q.EVENTS)
 
 
 # Keys, places, calendar
@@ -1003,12 +1003,11 @@ def value_domain(spark, sf):
 SELECT t.id AS time_id, metric_name, round(avg(metric_value), 6) AS avg_value,
        count(metric_value) AS n, t.year, t.quarter, t.month, t.day, t.date_floor
 FROM orders_tall o JOIN orders_times t ON t.id = o.time_id
-WHERE metric_value IS NOT NULL AND metric_name = 'total_price' GROUP BY ALL
+WHERE metric_value IS NOT NULL GROUP BY ALL
 """)
 def avg_by_period(spark, sf):
     load = orders_load(spark, sf)
-    tall = PY.filter_metric(PY.to_observations(load.facts, ["total_price"]), "total_price")
-    out = A.avg_by_period(tall, load.times)
+    out = A.avg_by_period(PY.to_observations(load.facts), load.times)
     return out.select(
         "time_id", "metric_name", F.round("avg_value", 6).alias("avg_value"), "n", "year", "quarter",
         "month", "day", "date_floor",
@@ -1035,12 +1034,12 @@ SELECT count(*) AS observations, count(DISTINCT source_name) AS sources,
 FROM orders_tall
 """)
 def overview(spark, sf):
-    return A.overview(orders_tall(spark, sf))
+    return A.overview(PY.to_observations(orders_load(spark, sf).facts))
 
 
 @query("SELECT DISTINCT metric_name FROM orders_tall")
 def metric_names(spark, sf):
-    return A.metric_names(orders_tall(spark, sf))
+    return A.metric_names(PY.to_observations(orders_load(spark, sf).facts))
 
 
 # Runs of the line feed by return flag, with the facts of each.
@@ -1097,9 +1096,12 @@ FROM orders_linked n LEFT JOIN orders_locations l ON l.id = n.location_id
 LEFT JOIN orders_times t ON t.id = n.time_id
 """)
 def export_frame(spark, sf):
-    """Facts flat and typed, written by year and run and read back."""
+    """Facts flat and typed, written by year and run and read back; the run was exported before,
+    when it held other years."""
     df = export_of(spark, sf, Q.orders_feed(spark, sf), Q.ORDERS)
     path = f"{shared_folder(spark)}/export-{uuid.uuid4()}"
+    earlier = df.withColumn("year", (F.col("year") - 3).cast("smallint"))
+    EX.write_export(earlier, path)
     EX.write_export(df, path)
     return EX.read_export(spark, path, df.schema).select(*df.columns)
 
@@ -1207,16 +1209,59 @@ def fact_load_job(spark, sf):
 
 # Files have no country in their path here, and written files have no order of
 # their own, so that only what does not depend on either is compared.
-@query(f"SELECT {PAYLOAD_SQL}, time_id FROM orders_linked")
+@query(f"SELECT id, {PAYLOAD_SQL}, time_id FROM orders_linked")
 def csv_load_job(spark, sf):
     """CSV files loaded as one job, a run each."""
     wh = new_warehouse(spark)
     files = write_csv(Q.orders_feed(spark, sf), f"{wh.path}/files")
     J.run_source(wh, changed(Q.ORDERS, files=tuple(files)))
-    return flat(wh.read("normalized_imports"), "time_id")
+    return flat(wh.read("normalized_imports"), "id", "time_id")
+
+
+@query("""
+SELECT 'orders' AS source_name, (SELECT count(*) FROM orders_linked) AS facts, 1 AS given_up
+UNION ALL SELECT 'suppliers', (SELECT count(*) FROM supplier), 0
+""")
+def run_all_job(spark, sf):
+    """Two sources loaded, a missing file among them."""
+    wh = new_warehouse(spark)
+    orders = write_csv(Q.orders_feed(spark, sf), f"{wh.path}/orders")
+    suppliers = write_csv(Q.suppliers_feed(spark, sf), f"{wh.path}/suppliers")
+    sources = [
+        changed(Q.ORDERS, files=(*orders, f"{wh.path}/missing.csv")),
+        changed(Q.SUPPLIERS, unique_key=("supplier_key",), files=tuple(suppliers)),
+    ]
+    try:
+        reports = J.run_all(wh, sources)
+    except J.LoadFailed as e:
+        reports = e.reports
+    lost = [(r.source_name, int(r.error is not None)) for r in reports]
+    failed = spark.createDataFrame(lost, "source_name string, n int").groupBy("source_name").agg(F.sum("n").alias("given_up"))
+    facts = wh.read("normalized_imports").groupBy("source_name").agg(F.count(F.lit(1)).alias("facts"))
+    return facts.join(failed, "source_name").select("source_name", "facts", "given_up")
 
 
-@query(f"SELECT {PAYLOAD_SQL}, time_id FROM orders_linked")
+@query("""
+SELECT 0 AS facts, 0 AS places, (SELECT count(*) FROM orders_rows) AS raw_rows, 'given up' AS status
+""")
+def abort_job(spark, sf):
+    """A failure whose policy gives the file up: no facts, no places, raw rows kept."""
+    wh = new_warehouse(spark)
+    try:
+        J.ingest_feed(wh, STRICT_ORDERS, one_run(Q.orders_feed(spark, sf), "run-1"))
+    except J.LoadFailed:
+        pass
+    counts = {
+        name: wh.read(t).agg(F.count(F.lit(1)).alias(name))
+        for name, t in (("facts", "normalized_imports"), ("places", "dim_location"), ("raw_rows", "raw_imports"))
+    }
+    out = wh.read("run_log").select("status")
+    for one in counts.values():
+        out = out.join(one, F.lit(True))
+    return out.select("facts", "places", "raw_rows", "status")
+
+
+@query(f"SELECT id, {PAYLOAD_SQL}, time_id FROM orders_linked")
 def stream_load_job(spark, sf):
     """The same files picked up as they arrive."""
     wh = new_warehouse(spark)
@@ -1225,7 +1270,7 @@ def stream_load_job(spark, sf):
     header = FD.feed_columns(feed)
     q = stream_ingest(wh, Q.ORDERS, f"{wh.path}/files", header, f"{wh.path}/progress")
     q.awaitTermination()
-    return flat(wh.read("normalized_imports"), "time_id")
+    return flat(wh.read("normalized_imports"), "id", "time_id")
 
 
 @query(f"SELECT id, {PAYLOAD_SQL} FROM orders_linked")
@@ -1236,12 +1281,11 @@ def replay_job(spark, sf):
     return flat(wh.read("normalized_imports"), "id")
 
 
-@query(f"SELECT id, {PAYLOAD_SQL} FROM orders_linked WHERE year < 1998 AND total_price IS NOT NULL")
+@query(f"SELECT id, {PAYLOAD_SQL} FROM orders_linked WHERE year < 1998")
 def rollback_run(spark, sf):
     """Two runs loaded, the second rolled back."""
     feed = Q.orders_feed(spark, sf)
-    good = ~F.trim("Total").isin("", "n/a") & (F.trim(F.translate("Total", "\t", "")) != "")
-    early = (F.col("Year") < "1998") & good
+    early = F.col("Year") < "1998"
     wh = loaded(spark, sf, feed.filter(early))
     J.ingest_feed(wh, Q.ORDERS, one_run(feed.filter(~early), "run-2"))
     wh.rollback_run("run-2")
@@ -1258,7 +1302,10 @@ def dimension_load_job(spark, sf):
     return wh.read("dim_location").select("id", "county", "population", "density")
 
 
-@query()
+@query("""
+SELECT 'places' AS source_name, 'dim_location' AS target, count(*) AS row_count FROM nation
+UNION ALL SELECT 'places', 'dim_location', count(*) FROM nation
+""")
 def dimension_log(spark, sf):
     """The log of dimension loads after loading two files."""
     wh = new_warehouse(spark)
@@ -1270,7 +1317,10 @@ def dimension_log(spark, sf):
     return wh.read("dim_file_log").select("source_name", "target", "row_count")
 
 
-@query()
+@query("""
+SELECT 'dim_location' AS dimension, count(*) AS rows FROM orders_locations
+UNION ALL SELECT 'dim_time', count(*) FROM orders_times
+""")
 def export_dimensions(spark, sf):
     """Both dimensions written beside the exports, read back."""
     wh = loaded(spark, sf)

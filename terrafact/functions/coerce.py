@@ -15,6 +15,11 @@ UNSIGNED = r"^\+?[0-9]+$"
 DECIMAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 INFINITY = r"(?i)^[+-]?(inf|infinity)$"
 NOT_A_NUMBER = r"(?i)^[+-]?nan$"
+# Numbers that may be beyond a double, and halves of a surrogate pair by themselves.
+NUMBER = r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
+LARGE = r"[eE]\+?0*[1-9][0-9]{2}|[0-9]{300}|[0-9]{9}[eE]\+?[0-9]{2}"
+LONE_HIGH = r"(?<!\\)(?:\\\\)*+\\u[dD][89abAB][0-9a-fA-F]{2}(?!\\u[dD][c-fC-F])"
+LONE_LOW = r"(?<!\\)(?:\\\\)*+(?<!\\u[dD][89abAB][0-9a-fA-F]{2})\\u[dD][c-fC-F]"
 MONTHS = (
     "january",
     "february",
@@ -104,7 +109,15 @@ def json_text(c: Column) -> Column:
     """
     as_element = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
     as_member = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
-    return F.when(as_element.isNotNull() & as_member.isNotNull(), c)
+    # Strings are blanked before numbers are looked at.
+    plain = F.regexp_replace(c, r'"(?:[^"\\]|\\.)*+"', '""')
+    huge = F.exists(
+        F.regexp_extract_all(plain, F.lit(NUMBER), F.lit(0)),
+        lambda n: F.abs(n.cast("double")) == F.lit(float("inf")),
+    )
+    too_large = plain.rlike(LARGE) & huge
+    alone = c.rlike(LONE_HIGH) | c.rlike(LONE_LOW)
+    return F.when(as_element.isNotNull() & as_member.isNotNull() & ~too_large & ~alone, c)
 
 
 def date(c: Column, fmt: str | None = None) -> Column:

@@ -157,46 +157,47 @@ def orphaned_raw(raw: DataFrame, fact: DataFrame, now: Column, days: int = 7) ->
 def check_integrity(
     fact: DataFrame, location: DataFrame, time: DataFrame, raw: DataFrame
 ) -> DataFrame:
-    """Violations per check: links without a parent, repeated keys, impossible periods."""
+    """Violations per check: links without a parent, repeated keys, impossible periods.
 
-    def count(df: DataFrame, check: str) -> DataFrame:
-        return df.agg(F.count(F.lit(1)).alias("violations")).select(
-            F.lit(check).alias("check"), "violations"
-        )
+    One aggregate for each table; its results become rows afterwards.
+    """
+    keys = {"location_id": location, "time_id": time}
+    rows = fact.select("id", "raw_import_id", "ingest_run_id", *keys)
+    for key, parent in keys.items():
+        known = parent.select(F.col("id").alias(key)).distinct().withColumn(f"_{key}", F.lit(1))
+        rows = rows.join(known, key, "left")
+    lineage = ["ingest_run_id", "raw_import_id"]
+    rows = rows.join(raw.select(*lineage).distinct().withColumn("_raw_import_id", F.lit(1)), lineage, "left")
 
-    def no_parent(key: str, parent: DataFrame, parent_key: str) -> DataFrame:
-        # Distinct keys first: the join then sees each key once, not each fact.
-        links = fact.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-        lost = links.join(parent.select(F.col(parent_key).alias(key)), key, "left_anti")
-        return lost.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("violations"))
+    def lost(key: str) -> Column:
+        return F.count_if(F.col(key).isNotNull() & F.col(f"_{key}").isNull()).alias(key)
 
-    def repeated(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    def total(key: str) -> Column:
+        return F.coalesce(F.sum(key), F.lit(0))
 
-    lineage = ["ingest_run_id", "raw_import_id"]
-    lost_raw = fact.filter(F.col("raw_import_id").isNotNull()).join(
-        raw.select(*lineage), lineage, "left_anti"
-    )
-    bad_time = time.filter(
+    def as_rows(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
+        one = df.agg(*[c.alias(name) for name, c in checks.items()])
+        pairs = [F.struct(F.lit(n).alias("check"), F.col(n).alias("violations")) for n in checks]
+        return one.select(F.inline(F.array(*pairs)))
+
+    repeated = F.count_if(F.col("n") > 1)
+    n = F.count(F.lit(1)).alias("n")
+    facts = rows.groupBy("id").agg(n, *[lost(k) for k in (*keys, "raw_import_id")])
+    bad_time = (
         F.col("year").isNull()
         | ~F.col("quarter").between(1, 4)
         | ~F.col("month").between(1, 12)
         | ~F.col("day").between(1, 31)
     )
-    checks = [
-        no_parent("location_id", location, "id").select(
-            F.lit("fact_without_location").alias("check"), "violations"
-        ),
-        no_parent("time_id", time, "id").select(
-            F.lit("fact_without_time").alias("check"), "violations"
-        ),
-        count(lost_raw, "fact_without_raw"),
-        count(repeated(fact, ["id"]), "repeated_fact_id"),
-        count(repeated(location, ["id"]), "repeated_location_id"),
-        count(repeated(time, ["id"]), "repeated_time_id"),
-        count(bad_time, "impossible_period"),
-    ]
-    out = checks[0]
-    for c in checks[1:]:
-        out = out.unionByName(c)
-    return out
+    out = as_rows(facts, {
+        "fact_without_location": total("location_id"),
+        "fact_without_time": total("time_id"),
+        "fact_without_raw": total("raw_import_id"),
+        "repeated_fact_id": repeated,
+    })
+    places = as_rows(location.groupBy("id").agg(n), {"repeated_location_id": repeated})
+    periods = as_rows(
+        time.groupBy("id").agg(n, F.count_if(bad_time).alias("bad")),
+        {"repeated_time_id": repeated, "impossible_period": total("bad")},
+    )
+    return out.unionByName(places).unionByName(periods)

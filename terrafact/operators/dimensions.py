@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafact.functions import access
@@ -12,12 +12,13 @@ from terrafact.functions.keys import joined_key, key_text, uuid5
 from terrafact.functions.places import date_floor, within
 from terrafact.functions.text import quoted
 from terrafact.operators.keep import first_per_key, last_per_key, upsert
-from terrafact.sources.feeds import ROW
+from terrafact.sources.feeds import POSITION, ROW
 from terrafact.types import LOCATION_KEY, LOCATION_SCHEMA, TIME_KEY, TIME_SCHEMA
 
 Kinds = Mapping[str, str]
 
 # Location columns a fact feed can fill; only dimension feeds fill the others.
+# Column names.
 FACT_LOCATION_COLUMNS = (
     "county",
     "country",
@@ -34,6 +35,7 @@ FACT_LOCATION_COLUMNS = (
 COUNTRY = "_country"
 
 # A row with none of these names no place.
+# Column names.
 PLACE_COLUMNS = ("county", "country", "zip_code", "fips_code")
 
 _READERS = {"string": access.as_text, "double": access.as_double, "boolean": access.as_boolean}
@@ -92,6 +94,45 @@ def location_rows(df: DataFrame, kinds: Kinds) -> DataFrame:
     return _shape_location(first_per_key(rows, "id", ROW))
 
 
+def versions(rows: DataFrame, existing: DataFrame, merge: str = "replace") -> DataFrame:
+    """What a dimension holds for a key once each of a load's files is merged.
+
+    ``rows`` are dimension rows with ``_position`` (of their file) and
+    ``_row``. The result has one row per key and file that names it, so a
+    look-up by key and position gives what loading file by file would.
+    """
+    names = existing.columns
+    file_key = F.concat_ws("#", "id", POSITION)
+    own = first_per_key(rows.withColumn("_version", file_key), "_version", ROW).select(*names, POSITION)
+    if merge == "replace":
+        return own
+    known = existing.join(own.select("id"), "id", "left_semi").withColumn(POSITION, F.lit(-1))
+    so_far = Window.partitionBy("id").orderBy(POSITION)
+    filled = own.unionByName(known).select(
+        "id", POSITION, *[F.last(c, ignorenulls=True).over(so_far).alias(c) for c in names if c != "id"]
+    )
+    return filled.filter(F.col(POSITION) >= 0).select(*names, POSITION)
+
+
+def location_versions(df: DataFrame, kinds: Kinds, existing: DataFrame, merge: str) -> DataFrame:
+    country, _ = _country(kinds, F.col(COUNTRY) if COUNTRY in df.columns else None)
+    filled = {n: _attribute(kinds, n) for n in FACT_LOCATION_COLUMNS} | {"country": country}
+    rows = df.filter(F.col("location_id").isNotNull()).select(
+        F.col("location_id").alias("id"),
+        *[filled.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in LOCATION_SCHEMA if f.name != "id"],
+        POSITION, ROW,
+    )
+    return versions(rows, existing, merge)
+
+
+def time_versions(df: DataFrame, kinds: Kinds, existing: DataFrame) -> DataFrame:
+    parts = df.filter(F.col("time_id").isNotNull()).select(
+        F.col("time_id").alias("id"), *[c.alias(n) for n, c in _calendar(kinds).items()], POSITION, ROW
+    )
+    floor = date_floor(F.col("year"), F.col("quarter"), F.col("month"), F.col("day"))
+    return versions(parts.withColumn("date_floor", floor), existing)
+
+
 def _shape_location(df: DataFrame) -> DataFrame:
     return df.select(
         *[

@@ -12,7 +12,7 @@ from terrafact.config import ConfigError, DerivedDef, SourceConfig
 from terrafact.functions.keys import joined_key, key_text, uuid5
 from terrafact.functions.text import finite, quoted, utc_text
 from terrafact.operators.keep import first_per_key, without_conflicts
-from terrafact.sources.feeds import ROW, feed_columns, meta_columns
+from terrafact.sources.feeds import POSITION, ROW, feed_columns, meta_columns
 from terrafact.types import DIMENSION_FIELDS
 
 # Prefix of looked-up values while they travel next to the canonical fields.
@@ -65,13 +65,14 @@ def resolve_derived(
         if len(texts) < len(fields):
             warnings.warn(f"derived fields of {table} need text columns", stacklevel=2)
             return df.filter(F.lit(False))
-        found = dim.select(
-            F.col("id").alias(key),
-            *[F.col(d.output).alias(DERIVED + d.canonical) for d in fields],
+        # A dimension with positions holds a version of each row for each file.
+        keys = [key, POSITION] if POSITION in dim.columns else [key]
+        found = dim.withColumnRenamed("id", key).select(
+            *keys, *[F.col(d.output).alias(DERIVED + d.canonical) for d in fields]
         )
         # A row without a match or with a null value is dropped, which makes
         # this an inner join over the dimension rows that have every value.
-        df = df.join(found.dropna(), key, "inner")
+        df = df.join(found.dropna(), keys, "inner")
     return df
 
 

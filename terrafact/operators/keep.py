@@ -3,28 +3,41 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _rank(df: DataFrame, order: str) -> Column:
+    """The order as one number where it is one or two whole numbers: numbers are
+    folded in place by a hash aggregate, anything else needs sorted rows."""
+    kind = df.schema[order].dataType
+    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    if isinstance(kind, T.StructType) and len(kind) == 2 and all(isinstance(f.dataType, whole) for f in kind):
+        high, low = (F.col(f"{order}.{f.name}").cast("decimal(19,0)") for f in kind)
+        return (high * F.lit(Decimal(10) ** 18 * 10) + low).cast("decimal(38,0)")
+    return F.col(order)
 
 
 def _one_per_key(df: DataFrame, key: str, order: str, pick) -> DataFrame:
     # An aggregate, not a window: each task folds its copies of a key into one
-    # before the shuffle, so a key that holds much of the data stays cheap.
-    rest = [c for c in df.columns if c not in (key, order)]
-    row = F.struct(*rest) if rest else F.struct(F.lit(0).alias("_none"))
-    picked = df.groupBy(key).agg(pick(row, F.col(order)).alias("_r"), pick(order, order).alias(order))
-    return picked.select(*[F.col(f"_r.{c}") if c in rest else F.col(c) for c in df.columns])
+    # before the shuffle, so a key that holds much of the data stays cheap. Only
+    # keys and orders take part; whole rows are then looked up by both.
+    ranked = df.withColumn("_rank", _rank(df, order))
+    best = ranked.groupBy(key).agg(pick("_rank").alias("_rank"))
+    return ranked.join(best, [key, "_rank"], "left_semi").select(*df.columns)
 
 
 def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The row with the lowest ``order`` of every key."""
-    return _one_per_key(df, key, order, F.min_by)
+    """The row with the lowest ``order`` of every key. An order occurs once in a key; no key is null."""
+    return _one_per_key(df, key, order, F.min)
 
 
 def last_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
     """The row with the highest ``order`` of every key."""
-    return _one_per_key(df, key, order, F.max_by)
+    return _one_per_key(df, key, order, F.max)
 
 
 def without_conflicts(new: DataFrame, existing: DataFrame, key: str = "id") -> DataFrame:

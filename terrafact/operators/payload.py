@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Mapping
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,12 +31,31 @@ def payload_field(df: DataFrame, key: str, spark_type: str = "string", name: str
     return df.withColumn(name or key, value if spark_type == "string" else value.try_cast(spark_type))
 
 
-def payload_contains(df: DataFrame, values: Mapping[str, str]) -> DataFrame:
-    """Rows whose payload has all the given field values."""
-    found = parsed(list(values))
+def payload_contains(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
+    """Rows whose payload has all the given field values, by type and value.
+
+    A text is not the number it spells; numbers are equal by value, however
+    written; lists and objects are compared whole, whatever the order of members.
+    """
+    doc = F.try_parse_json(PAYLOAD)
     test = F.lit(True)
     for key, value in values.items():
-        test = test & (found[key] == F.lit(value))
+        name = key.replace("\\", "\\\\").replace('"', '\\"')
+        found = F.try_variant_get(doc, f'$["{name}"]', "variant")
+        kind = F.schema_of_variant(found)
+        if value is None:
+            same = F.is_variant_null(found)
+        elif isinstance(value, bool):
+            same = (kind == "BOOLEAN") & (F.try_variant_get(found, "$", "boolean") == F.lit(value))
+        elif isinstance(value, int | float | Decimal):
+            number = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+            exact = "decimal(38,18)" if not isinstance(value, float) and abs(value) < 10**20 else "double"
+            same = number & (F.try_variant_get(found, "$", exact) == F.lit(str(value)).cast(exact))
+        elif isinstance(value, str):
+            same = (kind == "STRING") & (F.try_variant_get(found, "$", "string") == F.lit(value))
+        else:
+            same = F.to_json(found) == F.to_json(F.parse_json(F.lit(json.dumps(value))))
+        test = test & F.coalesce(same, F.lit(False))
     return df.filter(test)
 
 

@@ -79,9 +79,15 @@ def log_row(spark: SparkSession, source_name: str, target: str, path: str, rows:
     ).select(*DIM_LOG_SCHEMA.names)
 
 
-def pending_files(files: DataFrame, raw: DataFrame) -> DataFrame:
-    """Listed files that no raw row came from, under any source."""
-    loaded = raw.select("source_file").distinct()
+def run_log_rows(spark: SparkSession, source_name: str, runs: list[tuple[str, str, str]]) -> DataFrame:
+    """Log rows of finished runs: (file, run, status)."""
+    df = spark.createDataFrame(runs, "source_file string, ingest_run_id string, status string")
+    return df.withColumns({"source_name": F.lit(source_name), "logged_at": F.current_timestamp()})
+
+
+def pending_files(files: DataFrame, log: DataFrame) -> DataFrame:
+    """Listed files that the log of runs does not name, under any source."""
+    loaded = log.select("source_file").distinct()
     return files.join(loaded, "source_file", "left_anti")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,12 +40,34 @@ def export_frame(
     return star.select(*fixed, *[cast(n) for n in names if n not in fixed])
 
 
-def write_export(df: DataFrame, path: str) -> None:
-    """Write by year and run; exporting a run again replaces that run's files.
+def _run_files(spark, path: str, runs: Iterable[str]) -> dict[str, frozenset[str]]:
+    """Folders of the given runs under an export, with the files they hold."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    base = jvm.Path(path)
+    fs = base.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(base):
+        return {}
+    out = {}
+    for year in fs.listStatus(base):
+        for run in runs:
+            folder = jvm.Path(year.getPath(), f"ingest_run_id={run}")
+            if year.isDirectory() and fs.exists(folder):
+                out[folder.toString()] = frozenset(f.getPath().getName() for f in fs.listStatus(folder))
+    return out
 
-    The rebalance hint lets Spark split a year that holds much of the data and
-    merge small ones, so that files come out of even size.
+
+def write_export(df: DataFrame, path: str, runs: Sequence[str] | None = None) -> None:
+    """Write by year and run; exporting a run again replaces all of that run.
+
+    Years in which a run has no rows any more are removed after the write.
+    ``runs`` names the runs, where a run may have become empty; else they are
+    those of the rows. The rebalance hint lets Spark split a year that holds
+    much of the data and merge small ones, so that files come out of even size.
     """
+    spark = df.sparkSession
+    if runs is None:
+        runs = [r[0] for r in df.select("ingest_run_id").distinct().collect()]
+    before = _run_files(spark, path, runs)
     (
         df.hint("rebalance", F.col("year"))
         .write.mode("overwrite")
@@ -53,6 +75,11 @@ def write_export(df: DataFrame, path: str) -> None:
         .partitionBy("year", "ingest_run_id")
         .parquet(path)
     )
+    after = _run_files(spark, path, runs)
+    for folder, files in before.items():
+        if after.get(folder) == files:  # a folder that was written has new files
+            p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
 def read_export(spark, path: str, schema) -> DataFrame:

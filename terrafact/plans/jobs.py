@@ -6,6 +6,7 @@ import logging
 import uuid
 import warnings
 from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -18,7 +19,8 @@ from terrafact.operators import dimensions as D
 from terrafact.operators import facts as FA
 from terrafact.operators import registry as R
 from terrafact.operators import transform as TR
-from terrafact.operators.keep import first_per_key, without_conflicts
+from terrafact.operators.analytics import orphaned_raw
+from terrafact.operators.keep import first_per_key, last_per_key, without_conflicts
 from terrafact.plans import fact_load as PL
 from terrafact.plans.export import export_frame, write_export
 from terrafact.sources import feeds as FD
@@ -28,7 +30,10 @@ from terrafact.sources.warehouse import Warehouse
 log = logging.getLogger("terrafact")
 
 # Files per job: bounds the file list that is joined to the rows and collected.
+# Results do not depend on it.
 FILES_PER_JOB = 10_000
+LOOK_THREADS = 8
+MISSING = "no such file"
 
 
 @dataclass(frozen=True)
@@ -102,10 +107,22 @@ def ingest_files(
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     source.validate()
+    with ThreadPoolExecutor(LOOK_THREADS) as pool:
+        there = list(pool.map(wh.exists, paths))
+    missing = [RunReport(source.name, p, "", 0, 0, 0, MISSING) for p, ok in zip(paths, there) if not ok]
+    paths = [p for p, ok in zip(paths, there) if ok]
+    if not paths:
+        raise LoadFailed(missing)
     feed = FD.read_csv(wh.spark, paths, lenient=True, multi_line=source.multi_line)
     files = _file_list(wh, paths, [str(uuid.uuid4()) for _ in paths])
     feed = feed.join(files, FILE).withColumn(FILE, F.col("_path")).drop("_path")
-    return ingest_feed(wh, source, feed, merge=merge, stale=stale)
+    if not missing:
+        return ingest_feed(wh, source, feed, merge=merge, stale=stale)
+    try:
+        reports = ingest_feed(wh, source, feed, merge=merge, stale=stale)
+    except LoadFailed as e:
+        reports = e.reports
+    raise LoadFailed(reports + missing)
 
 
 def ingest_feed(
@@ -120,7 +137,10 @@ def ingest_feed(
     """Load a feed whose rows carry ``_file``, ``_run``, ``_position`` and ``_row``.
 
     The feed is read once: cleaned, typed and linked rows go to a staging
-    table that every later step reads the columns it needs from.
+    table that every later step reads the columns it needs from. The log of
+    runs is written last: a load that breaks off leaves no facts and no raw
+    rows of its own, and its files are still to be loaded. With ``audit=False``
+    the runs are there already; what they hold stays until it is replaced.
     """
     source.validate()
     source.validate_columns(FD.feed_columns(feed))
@@ -141,6 +161,7 @@ def ingest_feed(
 
     folder = wh.staging()
     runs: list[str] = []
+    started = wh.spark.range(1).select(F.current_timestamp()).first()[0]
     try:
         linked.write.parquet(folder)
         stage = wh.spark.read.schema(linked.schema).parquet(folder)
@@ -153,15 +174,23 @@ def ingest_feed(
             good = stage.filter(F.col(TR.LEVEL) == 0)
             good = good.filter(~F.col(RUN).isin(bad)) if bad else good
             good = TR.check_complete(good, schema, source.derived_names, stale)
-            _merge_dimensions(wh, good, kinds, merge)
+            before = wh.read("dim_location"), wh.read("dim_time")
+            _merge_dimensions(wh, good, kinds, merge, f"{folder}-dims")
             extra = tuple(TR.unmapped_columns(cleaned, source))
-            _publish_facts(wh, source, good, schema, extra, runs)
+            _publish_facts(wh, source, good, schema, extra, runs, merge, before)
+        if not audit:
+            _remove_stale(wh, source, [r for r in runs if r not in bad], started)
         reports = _with_inserted(wh, outcome)
+        done = [(r.source_file, r.ingest_run_id, "given up" if r.error else "loaded") for r in reports]
+        if done:
+            wh.append_log("run_log", R.run_log_rows(wh.spark, source.name, done))
     except Exception:
-        wh.rollback_runs(runs)
+        for run in runs if audit else ():
+            wh.remove_run(run)
         raise
     finally:
         wh.remove(folder)
+        wh.remove(f"{folder}-dims")
     for r in reports:
         log.info("%s", r)
     if any(r.error for r in reports):
@@ -213,18 +242,36 @@ def _write_raw(wh: Warehouse, source: SourceConfig, stage: DataFrame) -> None:
     )
 
 
-def _merge_dimensions(wh: Warehouse, good: DataFrame, kinds, merge: str) -> None:
+def _remove_stale(wh: Warehouse, source: SourceConfig, runs: list[str], started) -> None:
+    """Facts of replayed runs that the replay did not write again."""
+    facts = wh.read("normalized_imports").filter(
+        (F.col("source_name") == F.lit(source.name)) & F.col("ingest_run_id").isin(runs)
+    )
+    old = facts.filter(F.col("inserted_at") < F.lit(started)).select("ingest_run_id").distinct()
+    for r in old.collect():
+        wh.remove(f"{wh.path}/normalized_imports/source_name={source.name}/ingest_run_id={r[0]}")
+
+
+def _merge_dimensions(wh: Warehouse, good: DataFrame, kinds, merge: str, folder: str) -> None:
     # Files are loaded in list order: within one the first row of a place
-    # wins, and a later file's row replaces an earlier one's.
+    # wins, and a later file's row replaces an earlier one's. A dimension that
+    # already has all these rows is not written again.
     by_file = good.withColumn(ROW, F.struct((-F.col(POSITION)).alias("p"), F.col(ROW).alias("r")))
-    locations = D.location_rows(by_file, kinds)
-    wh.write_snapshot(
-        "dim_location", D.upsert_location(locations, wh.read("dim_location"), merge)
-    )
+
+    def merge_into(table: str, rows: DataFrame, upsert) -> None:
+        rows.write.parquet(f"{folder}/{table}")
+        new, known = wh.spark.read.schema(rows.schema).parquet(f"{folder}/{table}"), wh.read(table)
+        if not new.select(*known.columns).exceptAll(known).isEmpty():
+            wh.write_snapshot(table, upsert(new, known))
+
+    if merge == "coalesce":
+        # What each file leaves out is filled from the files before it, one by one.
+        so_far = D.location_versions(good, kinds, wh.read("dim_location"), merge)
+        merge_into("dim_location", last_per_key(so_far, "id", POSITION).drop(POSITION), D.upsert_location)
+    else:
+        merge_into("dim_location", D.location_rows(by_file, kinds), lambda n, k: D.upsert_location(n, k, merge))
     if "year" in kinds:
-        wh.write_snapshot(
-            "dim_time", D.upsert_time(D.time_rows(by_file, kinds), wh.read("dim_time"))
-        )
+        merge_into("dim_time", D.time_rows(by_file, kinds), D.upsert_time)
 
 
 def _publish_facts(
@@ -234,7 +281,13 @@ def _publish_facts(
     schema: dict[str, str],
     extra: tuple[str, ...],
     runs: list[str],
+    merge: str,
+    before: tuple[DataFrame, DataFrame],
 ) -> None:
+    # A file's look-ups see the dimensions as of that file, whatever is loaded with it.
+    kinds = field_kinds(source.by_canonical)
+    places = D.location_versions(good, kinds, before[0], merge)
+    periods = D.time_versions(good, kinds, before[1])
     rows = good.withColumns(
         {
             "raw_import_id": F.col(ROW),
@@ -242,9 +295,7 @@ def _publish_facts(
             ROW: F.struct(F.col(POSITION).alias("p"), F.col(ROW).alias("r")),
         }
     )
-    facts = PL.finish(
-        rows, source, wh.read("dim_location"), wh.read("dim_time"), schema, extra
-    )
+    facts = PL.finish(rows, source, places, periods, schema, extra)
     if source.unique_key:
         # A run that is written again does not conflict with itself.
         loaded = wh.read("normalized_imports").filter(~F.col("ingest_run_id").isin(runs))
@@ -263,7 +314,7 @@ def _with_inserted(wh: Warehouse, outcome: list[RunReport]) -> list[RunReport]:
     counts = dict(facts.groupBy("ingest_run_id").count().collect())
     out = []
     for r in outcome:
-        inserted = counts.get(r.ingest_run_id, 0)
+        inserted = 0 if r.error else counts.get(r.ingest_run_id, 0)
         lost = r.rows - r.skipped - inserted
         if not r.error and lost:
             warnings.warn(
@@ -280,7 +331,7 @@ def pending(wh: Warehouse, source: SourceConfig) -> list[str]:
     if not source.files:
         return []
     files = wh.spark.createDataFrame([(f,) for f in source.files], "source_file string")
-    todo = {r[0] for r in R.pending_files(files, wh.read("raw_imports")).collect()}
+    todo = {r[0] for r in R.pending_files(files, wh.read("run_log")).collect()}
     return [f for f in source.files if f in todo]
 
 
@@ -325,7 +376,10 @@ def replay(
     if files is not None:
         raw = raw.filter(F.col("source_file").isin(list(files)))
     columns = [f.column for f in source.by_canonical.values()]
-    feed = FA.read_raw(raw, columns)
+    if source.unmapped == "keep":
+        found = raw.select(F.explode(F.json_object_keys("raw_data")).alias("k")).distinct()
+        columns += [r["k"] for r in found.collect()]  # names of columns
+    feed = FA.read_raw(raw, [c.lower() for c in columns])
     # Earlier runs come first, as they were loaded.
     order = raw.groupBy("ingest_run_id").agg(F.min("imported_at").alias("t")).collect()
     if not order:
@@ -405,6 +459,36 @@ def run_all_dims(
     return {s.name: run_dim(wh, s, merge=merge) for s in sources}
 
 
+# Clean-up
+
+
+def remove_orphaned_raw(wh: Warehouse, days: int = 7) -> int:
+    """Remove raw rows older than some days that no fact refers to; returns how many.
+
+    Only runs that have such rows are written again.
+    """
+    raw = wh.read("raw_imports")
+    keys = ["ingest_run_id", "raw_import_id"]
+    lost = orphaned_raw(raw, wh.read("normalized_imports"), F.current_timestamp(), days).select("source_name", *keys)
+    counts = lost.groupBy("source_name", "ingest_run_id").agg(F.count(F.lit(1)).alias("n")).collect()  # runs
+    if not counts:
+        return 0
+    folder = wh.staging()
+    try:
+        runs = [r["ingest_run_id"] for r in counts]
+        left = raw.filter(F.col("ingest_run_id").isin(runs)).join(lost.select(*keys), keys, "left_anti")
+        left.write.parquet(folder)
+        left = wh.spark.read.schema(raw.schema).parquet(folder)
+        kept = {r[0] for r in left.select("ingest_run_id").distinct().collect()}
+        wh.write_runs("raw_imports", left)
+        for run in runs:
+            if run not in kept:
+                wh.remove_run(run, ["raw_imports"])
+    finally:
+        wh.remove(folder)
+    return sum(r["n"] for r in counts)
+
+
 # Exports
 
 
@@ -418,7 +502,7 @@ def export_run(
     schema = R.load_schema(wh.read("import_schema"), source_name)
     df = export_frame(fact, wh.read("dim_location"), wh.read("dim_time"), schema, strict_types)
     path = f"{base.rstrip('/')}/{source_name}"
-    write_export(df, path)
+    write_export(df, path, [run_id])
     return path
 
 

@@ -26,6 +26,7 @@ SNAPSHOT_TABLES = {
     "import_schema": S.FIELD_REGISTRY_SCHEMA,
 }
 LOG_TABLES = {
+    "run_log": S.RUN_LOG_SCHEMA,
     "dim_file_log": S.DIM_LOG_SCHEMA,
     "import_sources": S.SOURCE_REGISTRY_SCHEMA,
 }
@@ -116,8 +117,13 @@ class Warehouse:
 
     def write_snapshot(self, table: str, df: DataFrame) -> None:
         names = SNAPSHOT_TABLES[table].names
-        path = f"{self.path}/{table}/v={self._snapshot(table) + 1}"
+        last = self._snapshot(table)
+        path = f"{self.path}/{table}/v={last + 1}"
         df.select(*names).write.mode("overwrite").parquet(path)
+        # The one before stays for readers that have just looked it up.
+        for name in self.folders(f"{self.path}/{table}"):
+            if (m := re.fullmatch(r"v=(\d+)", name)) and int(m[1]) < last:
+                self.remove(f"{self.path}/{table}/{name}")
 
     def append_log(self, table: str, df: DataFrame) -> None:
         df.select(*LOG_TABLES[table].names).write.mode("append").parquet(f"{self.path}/{table}")
@@ -144,12 +150,17 @@ class Warehouse:
         found = [f"{base}/{s}/ingest_run_id={run_id}" for s in self.folders(base)]
         return [p for p in found if self.exists(p)]
 
+    def remove_run(self, run_id: str, tables: Iterable[str] = tuple(RUN_TABLES)) -> None:
+        """Remove what a run left in the given tables."""
+        for table in tables:
+            for path in self.runs_of(run_id, table):
+                self.remove(path)
+
     def rollback_run(self, run_id: str) -> int:
         """Delete the facts of a run and return how many there were."""
         facts = self.read("normalized_imports").filter(F.col("ingest_run_id") == F.lit(run_id))
         deleted = facts.count()
-        for path in self.runs_of(run_id):
-            self.remove(path)
+        self.remove_run(run_id, ["normalized_imports"])
         return deleted
 
     def rollback_runs(self, run_ids: Iterable[str]) -> int:

@@ -133,6 +133,10 @@ FIELD_REGISTRY_SCHEMA = _table(
 SOURCE_REGISTRY_SCHEMA = _table(
     "id string, name string, description string, created_at timestamp"
 )
+RUN_LOG_SCHEMA = _table(
+    "source_name string, source_file string, ingest_run_id string, status string, "
+    "logged_at timestamp"
+)
 DIM_LOG_SCHEMA = _table(
     "id string, source_name string, target string, file_path string, "
     "persisted_at timestamp, row_count bigint"
