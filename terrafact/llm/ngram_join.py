@@ -6,7 +6,8 @@ least l tokens of their prefixes. Each document chooses its own l from 1 to `MOS
 tokens to look up but asks for more of them to be shared; the choice is the l for which
 looking up plus verifying the expected candidates is cheapest, by the counts of the token buckets.
 Two documents are verified if they share min(l, l') prefix tokens and lengths and positions allow
-the overlap. Verification counts the shingles of both whole texts.
+the overlap. What the sets' parity maps also leave possible is verified by counting the shingles of both
+whole texts.
 
 Steps:
 1. Equal sets are a class; the rest works on one document of each (copies cost one row).
@@ -40,6 +41,10 @@ MOST = 4
 #: Cost of verifying a candidate, in prefix tokens looked up.
 VERIFY = 200
 GROUPS = 3
+#: 64-bit words of the parity maps that candidates are compared by before their texts are.
+MAP = 32
+#: Classes whose texts are fetched are marked in so many buckets.
+BUCKETS = 1 << 20
 
 
 def tokens_of(k: int) -> S.Tokens:
@@ -92,23 +97,37 @@ def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                         batch.column("doc_id")[lo:hi], batch.column("th")[lo:hi], pa.array(n),
                         pa.array(S.fingerprints(numbers, n)), pa.array(matches),
                         list_column(prefix.view(np.int64), length, pa.int64()),
+                        list_column(S.parity_maps(numbers, n, MAP).ravel(), np.full(hi - lo, MAP), pa.int64()),
                         *[pa.array(h) for h in S.min_hashes(numbers, n, GROUPS)],
                     ],
-                    ["doc_id", "th", "n", "cls", "l", "prefix", *[f"m{j}" for j in range(GROUPS)]],
+                    ["doc_id", "th", "n", "cls", "l", "prefix", "map", *[f"m{j}" for j in range(GROUPS)]],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     mins = ", ".join(f"m{j} bigint" for j in range(GROUPS))
     return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(
-        run, f"doc_id {kind}, th bigint, n bigint, cls bigint, l bigint, prefix array<bigint>, {mins}"
+        run, f"doc_id {kind}, th bigint, n bigint, cls bigint, l bigint, prefix array<bigint>, map array<bigint>, {mins}"
     )
 
 
 def texts_of(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """cls, text of the classes that stand in pairs."""
+    """cls, text of the classes that stand in pairs. Buckets of what is wanted, at most BUCKETS
+    numbers, go to all tasks, so that few other texts are shuffled."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    rows = classes.select("cls", F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th")).join(needed, "cls")
-    return scratch.stage(docs.select("doc_id", "text", F.xxhash64("text").alias("th")).join(rows, ["doc_id", "th"]).select("cls", "text"), "texts")
+    rows = scratch.stage(classes.select("cls", F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th")).join(needed, "cls"), "wanted")
+    bucket = F.pmod("th", F.lit(BUCKETS))
+    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).withColumn("bucket", bucket)
+    few = marked.join(F.broadcast(rows.select(bucket.alias("bucket")).distinct()), "bucket", "left_semi").drop("bucket")
+    return scratch.stage(few.join(rows, ["doc_id", "th"]).select("cls", "text"), "texts")
+
+
+def close(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that the parity maps of both sets leave possible."""
+    a = classes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("map").alias("map_a"))
+    b = classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("map").alias("map_b"))
+    _, need = allowed("na", "nb", num, den)
+    differ = F.aggregate(F.zip_with("map_a", "map_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return pairs.join(a, "a").join(b, "b").filter(differ <= F.col("na") + F.col("nb") - 2 * need).select("a", "b")
 
 
 def allowed(na: str, nb: str, num: int, den: int) -> tuple:
@@ -126,7 +145,7 @@ def similarity_classes(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10)
     classes = scratch.stage(
         rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(
             F.min(F.struct("doc_id", "th")).alias("rep"),
-            *[F.first(c).alias(c) for c in ("n", "l", "prefix", *[f"m{j}" for j in range(GROUPS)])],
+            *[F.first(c).alias(c) for c in ("n", "l", "prefix", "map", *[f"m{j}" for j in range(GROUPS)])],
         ),
         "classes",
     )
@@ -138,11 +157,11 @@ def similarity_classes(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10)
     ).select("cls", "n", "id", F.xxhash64("g.j", "g.m").alias("g"))
     lead = member.groupBy("g").agg(F.min_by("cls", "id").alias("lead"), F.min_by("n", "id").alias("lead_n"))
     fits, _ = allowed("n", "lead_n", num, den)
-    star = scratch.stage(
+    star = (
         member.join(lead, "g").filter(fits & (F.col("cls") != F.col("lead")))
-        .select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct(),
-        "star",
+        .select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
     )
+    star = scratch.stage(close(star, classes, num, den), "star")
     texts = texts_of(scratch, docs, classes, star)
     links = scratch.stage(S.verified(star, texts, tokens, num, den), "links")
     scratch.drop(texts)
@@ -151,22 +170,28 @@ def similarity_classes(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10)
     # Step 3: prefixes of all classes; only pairs of two components are of interest.
     posting = (
         classes.join(known, "cls", "left")
-        .select("cls", F.coalesce("root", "cls").alias("root"), "n", "l", F.posexplode("prefix").alias("pos", "token"))
-    )
+        .select("cls", F.coalesce("root", "cls").alias("root"), "n", "l", F.col("prefix")[0].alias("least"), F.posexplode("prefix").alias("pos", "token"))
+    )
     a, b = posting.alias("x"), posting.alias("y")
     fits, need = allowed("x.n", "y.n", num, den)
     rest = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    # the m-th shared token leaves at most m - 1 + rest in common; the first MOST of a link fulfil this
-    met = a.join(b, (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root")) & fits & (rest + MOST - 1 >= need))
-    pairs = scratch.stage(
+    matches = F.least("x.l", "y.l")
+    # Of a link the m-th shared token leaves at most m - 1 + rest in common, and the first `matches` tell
+    # all. Where one is enough and both sets begin with the same token, that token is it.
+    one = (matches > 1) | (F.col("x.least") != F.col("y.least")) | (F.col("x.token") == F.col("x.least"))
+    met = a.join(
+        b,
+        (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root"))
+        & fits & (rest + matches - 1 >= need) & one,
+    )
+    pairs = (
         met.select(
-            F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), rest.alias("rest"), need.alias("need"),
-            F.least("x.l", "y.l").alias("matches"),
+            F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), rest.alias("rest"), need.alias("need"), matches.alias("matches")
         ).groupBy("a", "b").agg(
             F.count(F.lit(1)).alias("shared"), F.max("rest").alias("rest"), F.max("need").alias("need"), F.max("matches").alias("matches")
-        ).filter("shared >= matches AND rest >= need").select("a", "b"),
-        "pairs",
+        ).filter("shared >= matches AND rest >= need").select("a", "b")
     )
+    pairs = scratch.stage(close(pairs, classes, num, den), "pairs")
     texts = texts_of(scratch, docs, classes, pairs)
     more = S.verified(pairs, texts, tokens, num, den)
     labels = connected(scratch, links.unionByName(more)).withColumnRenamed("v", "cls")

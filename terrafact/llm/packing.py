@@ -71,9 +71,11 @@ def pack(docs: DataFrame, length: Column, buckets: int = BUCKETS, budget: int =
     batch), batch (from 0 in each bucket), padding. Columns of these names are replaced."""
     extra = ("n_tokens", "bucket", "capacity", "batch", "padding")
     sized = docs.drop(*extra).withColumn("n_tokens", length)
-    counts = sized.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("n_tokens")
-    bounds = best_bounds(counts["n_tokens"].to_numpy(np.int64), counts["n"].to_numpy(np.int64), buckets)
-    shards = max(1, -(-int(counts["n"].sum()) // SHARD))
+    found = sized.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    lengths, counts = found.column("n_tokens").to_numpy(), found.column("n").to_numpy()
+    order = np.argsort(lengths)
+    bounds = best_bounds(lengths[order], counts[order], buckets)
+    shards = max(1, -(-int(counts.sum()) // SHARD))
     upper = F.lit(None).cast("bigint")
     for b in reversed(bounds):
         upper = F.when(F.col("n_tokens") <= b, F.lit(b).cast("bigint")).otherwise(upper)

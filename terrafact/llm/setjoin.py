@@ -43,9 +43,9 @@ def count_buckets(docs: DataFrame, tokens: Tokens, bits: int = SKETCH_BITS) -> n
             yield pa.record_batch([pa.array(some), pa.array(total[some])], ["bucket", "n"])
 
     rows = docs.select("text").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    found = rows.toPandas()
+    found = rows.toArrow()  # at most 2**bits rows of two numbers
     out = np.zeros(1 << bits, np.int64)
-    out[found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    out[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     return out
 
 
@@ -93,6 +93,21 @@ def min_hashes(numbers: np.ndarray, sizes: np.ndarray, n: int) -> list[np.ndarra
     return [reduced(np.minimum, mix(numbers ^ np.uint64(0x2545F4914F6CDD1D * (j + 1) % (1 << 64))), sizes).view(np.int64) for j in range(n)]
 
 
+def parity_maps(numbers: np.ndarray, sizes: np.ndarray, words: int) -> np.ndarray:
+    """For each set `words` 64-bit words: bit j tells whether an odd number of tokens fall on j. Maps
+    of two sets differ in at most as many bits as the sets differ in tokens."""
+    out = np.zeros((len(sizes), words), np.int64)
+    bits = 64 * words
+    place = (mix(numbers) % np.uint64(bits)).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    for lo in range(0, len(sizes), OWNERS):
+        hi = min(lo + OWNERS, len(sizes))
+        owner = np.repeat(np.arange(hi - lo), sizes[lo:hi])
+        odd = np.bincount(owner * bits + place[ends[lo] : ends[hi]], minlength=(hi - lo) * bits) & 1
+        out[lo:hi] = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).reshape(hi - lo, words)
+    return out
+
+
 def least_overlap(n: np.ndarray, num: int, den: int) -> np.ndarray:
     """Smallest overlap of a set of n with any partner at Jaccard num/den or more."""
     return -(-num * n // den)
