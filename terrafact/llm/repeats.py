@@ -172,25 +172,43 @@ class RunLengthIndex:
         """Suffixes in order (up to their end marks, then by place), and whether each agrees
         with the one before in LENGTH bytes."""
         n = len(symbols)
-        rank = np.zeros(n, np.int64)
+        first = np.zeros(n, np.int64)
         for j in range(7):
             part = np.zeros(n, np.int64)
             part[: n - j] = symbols[j:]
-            rank = rank << 9 | np.where(left >= j, part, 0)
-        rank = np.unique(rank, return_inverse=True)[1]
+            first = first << 9 | np.where(left >= j, part, 0)
+        rows = np.argsort(first, kind="stable")
+        # A suffix's rank is the row where those begin that agree with it so far.
+        new = np.ones(n, bool)
+        ordered = first[rows]
+        new[1:] = ordered[1:] != ordered[:-1]
+        rank = np.empty(n, np.int64)
+        rank[rows] = np.flatnonzero(new)[np.cumsum(new) - 1]
         known, half = 7, None
         most = int(left.max()) + 1
         while True:
             if known < LENGTH <= 2 * known:
-                half = (rank, known)
-            if known >= most:
+                half = (rank.copy(), known)
+            # only rows whose rank is shared, and whose texts go on, can change
+            shared = np.zeros(n, bool)
+            shared[:-1] = ~new[1:]
+            shared |= ~new
+            at = np.flatnonzero(shared)
+            if known >= most or not len(at):
                 break
-            after = np.zeros(n, np.int64)
-            after[: n - known] = rank[known:] + 1
-            after[left < known] = 0
-            rank = np.unique(rank * (n + 1) + after, return_inverse=True)[1]
+            here = rows[at]
+            after = np.where(left[here] < known, 0, rank[np.minimum(here + known, n - 1)] + 1)
+            order = np.argsort(rank[here] * (n + 1) + after, kind="stable")
+            here, after = here[order], after[order]
+            old = rank[here]
+            rows[at] = here
+            split = np.ones(len(at), bool)
+            split[1:] = (old[1:] != old[:-1]) | (after[1:] != after[:-1])
+            new[at] = split
+            rank[here] = at[np.flatnonzero(split)[np.cumsum(split) - 1]]
             known *= 2
-        rows = np.argsort(rank, kind="stable")
+        if half is None:  # all suffixes differ before LENGTH bytes
+            half = (rank, LENGTH)
         short, known = half
         far = np.minimum(np.arange(n) + LENGTH - known, n - 1)
         key = np.where(left >= LENGTH, short * (n + 1) + short[far], -1 - np.arange(n))[rows]
@@ -206,15 +224,15 @@ class RunLengthIndex:
         base = np.cumsum(np.maximum(self.size - LENGTH + 1, 0)) - np.maximum(self.size - LENGTH + 1, 0)
         live = np.arange(self.n)
         row = np.arange(self.n)  # end marks come first, in the order of the texts
+        run = np.searchsorted(self.run_start, row, "right") - 1
         for length in range(1, int(self.size.max(initial=0)) + 1):
-            run = np.searchsorted(self.run_start, row, "right") - 1
             row = self.run_to[run] + row - self.run_start[run]
+            run = np.searchsorted(self.run_start, row, "right") - 1
             if length >= LENGTH:
-                run = np.searchsorted(self.run_start, row, "right") - 1
                 window = self.size[live] - length
                 flat[base[live] + window] = self.sample[run] < self.start[live] + window
             more = self.size[live] > length
-            live, row = live[more], row[more]
+            live, row, run = live[more], row[more], run[more]
         for i, b in enumerate(base):
             out[i] = flat[b : b + len(out[i])]
         return out
