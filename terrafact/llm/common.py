@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +36,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers that see this file system import the package from where the driver has
+    it; elsewhere it is installed or sent along, as any package is."""
+    known = spark.sparkContext.environment
+    root = str(Path(__file__).resolve().parents[2])
+    if root not in known.get("PYTHONPATH", "").split(os.pathsep):
+        known["PYTHONPATH"] = os.pathsep.join([root, *filter(None, [known.get("PYTHONPATH")])])
+
+
 class Scratch:
     """Tables written by one operator call under the shared folder. A lost executor costs the
     tasks that it ran, since every later stage reads them again from there."""
 
     def __init__(self, spark: SparkSession, name: str):
+        importable(spark)
         self.spark = spark
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
@@ -70,6 +82,7 @@ def fold(column: str, n: int) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 

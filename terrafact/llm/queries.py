@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, lines, ngram_join, packing, pieces, repeats, separators, topk, toxicity, vectors
+from . import language, lines, ngram_join, packing, pieces, repeats, separators, sql, topk, toxicity, vectors
 from .common import Scratch, fold, table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -92,5 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_packing": packing.oracle(),
+    "op5_ngram_join": sql.NGRAM_JOIN,
     "op6_line_dedup": lines.ORACLE,
+    "op7_vectors": sql.VECTORS,
+    "op8_topk": sql.TOP_K,
 }
