@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 import warnings
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -1242,7 +1243,8 @@ def run_all_job(spark, sf):
 
 
 @query("""
-SELECT 0 AS facts, 0 AS places, (SELECT count(*) FROM orders_rows) AS raw_rows, 'given up' AS status
+SELECT 'facts' AS what, 0 AS n UNION ALL SELECT 'places', 0 UNION ALL SELECT 'given up', 1
+UNION ALL SELECT 'raw_rows', count(*) FROM orders_rows
 """)
 def abort_job(spark, sf):
     """A failure whose policy gives the file up: no facts, no places, raw rows kept."""
@@ -1255,10 +1257,9 @@ def abort_job(spark, sf):
         name: wh.read(t).agg(F.count(F.lit(1)).alias(name))
         for name, t in (("facts", "normalized_imports"), ("places", "dim_location"), ("raw_rows", "raw_imports"))
     }
-    out = wh.read("run_log").select("status")
-    for one in counts.values():
-        out = out.join(one, F.lit(True))
-    return out.select("facts", "places", "raw_rows", "status")
+    rows = [df.select(F.lit(name).alias("what"), F.col(name).alias("n")) for name, df in counts.items()]
+    rows.append(wh.read("run_log").groupBy(F.col("status").alias("what")).agg(F.count(F.lit(1)).alias("n")))
+    return reduce(DataFrame.unionByName, rows)
 
 
 @query(f"SELECT id, {PAYLOAD_SQL}, time_id FROM orders_linked")
@@ -1304,7 +1305,7 @@ def dimension_load_job(spark, sf):
 
 @query("""
 SELECT 'places' AS source_name, 'dim_location' AS target, count(*) AS row_count FROM nation
-UNION ALL SELECT 'places', 'dim_location', count(*) FROM nation
+UNION ALL SELECT 'places', 'dim_location', count(*) FROM nation WHERE n_nationkey % 2 = 1
 """)
 def dimension_log(spark, sf):
     """The log of dimension loads after loading two files."""
