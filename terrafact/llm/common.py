@@ -60,9 +60,12 @@ class Scratch:
         return f"{self.path}/{self._n:03d}-{name}"
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
-        """The same rows, written as Parquet and read back."""
+        """The same rows, written as Parquet and read back. Shuffle files of the write are garbage then;
+        they go when the driver's collector finds that out, which it is asked to do at once: left to
+        itself it may take until the disks are full."""
         path = self.new_path(name)
         df.write.parquet(path)
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *frames: DataFrame) -> None:

@@ -9,10 +9,13 @@ of work.
 2. Min-hash groups: each class against its group's first, verified. A class that matches an
    earlier one is settled; large groups of similar lines take a linear number of pairs. This only
    saves work in step 3.
-3. Prefix join: two similar sets share a token in their prefixes of n - ceil(t * n) + 1. Classes that
-   aren't settled are joined with earlier ones, under filters of length, of position, and of a
-   64-bit parity map of the tokens (bits that differ are at most the tokens that differ).
-   What passes is verified on the lines' texts.
+3. Prefix join: two similar sets share a token in their prefixes of n - ceil(t * n) + 1. Classes of
+   which one isn't settled are joined under filters of length, of position, and of a parity map of
+   the tokens (bits that differ are at most the tokens that differ). What passes is verified on the
+   lines' texts, and the later of two similar classes goes.
+
+A class is named by 64 bits, 32 of its parity map and 32 of a hash of its set, so a posting is three
+numbers: the token, the class, and its size and position.
 
 Edge cases: null texts count as empty; a text has one line more than line breaks; lines without words
 match nothing and stay; rows of one id and equal text are the same place, so neither removes the
@@ -25,15 +28,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import setjoin as S
 from .common import Scratch, flat_text, list_column, pieces, word_hashes
-from .ngram_join import allowed
+from .ngram_join import BUCKETS, allowed
 
-BITS = 20
+BITS = 19
 GROUPS = 2
+#: 64-bit words of the parity maps that candidates are compared by before their texts are.
+MAP = 4
+#: Bits for a position in a posting.
+PLACE = 24
 NUM, DEN = 4, 5
 
 
@@ -52,8 +59,11 @@ def line_spans(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.append(start[order], at[-1]), doc[order]
 
 
-def parity_maps(numbers: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    return S.reduced(np.bitwise_xor, np.uint64(1) << (numbers & np.uint64(63)), sizes).view(np.int64)
+def names(numbers: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Names of sets: a 32-bit parity map above 32 bits of a hash."""
+    both = S.parity_maps(numbers, sizes, 1).view(np.uint64).ravel()
+    parity = (both ^ (both >> np.uint64(32))) << np.uint64(32)
+    return (parity | (S.fingerprints(numbers, sizes).view(np.uint64) >> np.uint64(32))).view(np.int64)
 
 
 def prepared(docs: DataFrame) -> DataFrame:
@@ -65,7 +75,8 @@ def prepared(docs: DataFrame) -> DataFrame:
 
 
 def line_sets(src: DataFrame) -> DataFrame:
-    """One row for each line with words: id, th, line, n, cls, bits, min-hashes, prefix."""
+    """One row for each line with words: id, th, line, n, cls, min-hashes, prefix. Of equal sets in a
+    batch only one row has the prefix."""
     levels = S.levels_of(S.count_buckets(src, tokens, BITS))
     shared = src.sparkSession.sparkContext.broadcast(levels)  # 2**BITS bytes
 
@@ -73,24 +84,31 @@ def line_sets(src: DataFrame) -> DataFrame:
         levels = shared.value
         for batch in batches:
             buf, at = flat_text(batch.column("text"))
+            seen: set[int] = set()
             for lo, hi, part, offsets in pieces(buf, at):
                 starts, doc = line_spans(part, offsets)
                 numbers, n = S.ordered_sets(*tokens(part, starts), levels)
-                prefix, length = S.head(numbers, n, n - S.least_overlap(n, NUM, DEN) + 1)
+                cls = names(numbers, n)
+                here, first = np.unique(cls, return_index=True)
+                one = np.zeros(len(n), bool)
+                one[first[[c not in seen for c in here.tolist()]]] = True
+                seen.update(here.tolist())
+                prefix, length = S.head(numbers, n, np.where(one, n - S.least_overlap(n, NUM, DEN) + 1, 0))
                 number = np.arange(len(doc)) - np.searchsorted(doc, doc)
                 rows = pa.record_batch(
                     [
                         batch.column("id")[lo:hi].take(pa.array(doc)), batch.column("th")[lo:hi].take(pa.array(doc)),
-                        pa.array(number), pa.array(n), pa.array(S.fingerprints(numbers, n)), pa.array(parity_maps(numbers, n)),
+                        pa.array(number), pa.array(n), pa.array(cls),
                         *[pa.array(h) for h in S.min_hashes(numbers, n, GROUPS)],
+                        *[pa.array(m) for m in S.parity_maps(numbers, n, MAP).T.copy()],
                         list_column(prefix.view(np.int64), length, pa.int64()),
                     ],
-                    ["id", "th", "line", "n", "cls", "bits", *[f"m{j}" for j in range(GROUPS)], "prefix"],
+                    ["id", "th", "line", "n", "cls", *[f"m{j}" for j in range(GROUPS)], *[f"p{j}" for j in range(MAP)], "prefix"],
                 )
                 yield rows.filter(pa.array(n > 0))
 
-    mins = ", ".join(f"m{j} bigint" for j in range(GROUPS))
-    return src.mapInArrow(run, f"id bigint, th bigint, line bigint, n bigint, cls bigint, bits bigint, {mins}, prefix array<bigint>")
+    mins = ", ".join([f"m{j} bigint" for j in range(GROUPS)] + [f"p{j} bigint" for j in range(MAP)])
+    return src.mapInArrow(run, f"id bigint, th bigint, line bigint, n bigint, cls bigint, {mins}, prefix array<bigint>")
 
 
 def texts_of(scratch: Scratch, src: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -99,15 +117,17 @@ def texts_of(scratch: Scratch, src: DataFrame, classes: DataFrame, pairs: DataFr
     wanted = classes.select("cls", "first.*").join(needed, "cls").groupBy("id", "th").agg(
         F.collect_list(F.struct("line", "cls")).alias("lines")  # lines of one text
     )
-    rows = src.join(wanted, ["id", "th"]).select(F.explode("lines").alias("x"), F.split("text", "\n").alias("all"))
+    wanted = scratch.stage(wanted, "wanted")
+    bucket = F.pmod("th", F.lit(BUCKETS))  # marks which texts are wanted; at most BUCKETS numbers go to all tasks
+    few = src.withColumn("bucket", bucket).join(F.broadcast(wanted.select(bucket.alias("bucket")).distinct()), "bucket", "left_semi")
+    rows = few.join(wanted, ["id", "th"]).select(F.explode("lines").alias("x"), F.split("text", "\n").alias("all"))
     return scratch.stage(rows.select("x.cls", F.element_at("all", (F.col("x.line") + 1).cast("int")).alias("text")), "texts")
 
 
-def close(a: str, b: str) -> tuple:
-    """Whether sizes and parity maps of x and y allow the threshold; the overlap needed."""
-    fits, need = allowed(f"{a}n", f"{b}n", NUM, DEN)
-    differ = F.bit_count(F.col(f"{a}bits").bitwiseXOR(F.col(f"{b}bits")))
-    return fits & (differ <= F.col(f"{a}n") + F.col(f"{b}n") - 2 * need), need
+def close(a: Column, na: Column, b: Column, nb: Column) -> tuple[Column, Column]:
+    """Whether sizes and parity maps of two classes allow the threshold; the overlap needed."""
+    fits, need = allowed(na, nb, NUM, DEN)
+    return fits & (F.bit_count(F.shiftrightunsigned(a.bitwiseXOR(b), 32)) <= na + nb - 2 * need), need
 
 
 def similar_lines(docs: DataFrame) -> DataFrame:
@@ -115,24 +135,37 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "lines")
     src = prepared(docs)
     lines = scratch.stage(line_sets(src), "lines")
-    rest = ("n", "bits", *[f"m{j}" for j in range(GROUPS)], "prefix")
+    mins = [F.any_value(c).alias(c) for c in ("n", *[f"m{j}" for j in range(GROUPS)], *[f"p{j}" for j in range(MAP)])]
+    prefix = F.first(F.when(F.size("prefix") > 0, F.col("prefix")), True).alias("prefix")
     classes = scratch.stage(
-        lines.groupBy("cls").agg(F.min(F.struct("id", "th", "line")).alias("first"), *[F.first(c).alias(c) for c in rest]),
-        "classes",
+        lines.groupBy("cls").agg(F.min(F.struct("id", "th", "line")).alias("first"), *mins, prefix), "classes"
     )
 
     member = classes.select(
-        "cls", "n", "bits", F.col("first.id").alias("id"),
+        "cls", "n", F.col("first.id").alias("id"),
         F.explode(F.array(*[F.xxhash64(F.lit(j), F.col(f"m{j}")) for j in range(GROUPS)])).alias("g"),
     )
-    lead = member.groupBy("g").agg(*[F.min_by(c, "id").alias(f"lead_{c}") for c in ("cls", "n", "bits")])
-    fits, _ = close("", "lead_")
+    lead = member.groupBy("g").agg(*[F.min_by(c, "id").alias(f"lead_{c}") for c in ("cls", "n")])
+    fits, _ = close(F.col("cls"), F.col("n"), F.col("lead_cls"), F.col("lead_n"))
     star = scratch.stage(
         member.join(lead, "g").filter((F.col("cls") != F.col("lead_cls")) & fits)
         .select(F.col("cls").alias("a"), F.col("lead_cls").alias("b")).distinct(),
         "star",
     )
 
+    def possible(pairs: DataFrame, name: str) -> DataFrame:
+        """Pairs that the wider parity maps of both classes leave."""
+
+        def side(c: str) -> DataFrame:
+            return classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), *[F.col(f"p{j}").alias(f"p{j}_{c}") for j in range(MAP)])
+
+        _, need = allowed("n_a", "n_b", NUM, DEN)
+        differ = sum((F.bit_count(F.col(f"p{j}_a").bitwiseXOR(F.col(f"p{j}_b"))) for j in range(MAP)), F.lit(0))
+        left = pairs.join(side("a"), "a").join(side("b"), "b").filter(differ <= F.col("n_a") + F.col("n_b") - 2 * need)
+        return scratch.stage(left.select("a", "b"), name)
+
+    star = possible(star, "star-possible")
+
     def later(pairs: DataFrame, name: str) -> DataFrame:
         """Of each verified pair the class that begins later."""
         texts = texts_of(scratch, src, classes, pairs)
@@ -145,18 +178,27 @@ def similar_lines(docs: DataFrame) -> DataFrame:
         return out
 
     settled = later(star, "settled")
+    # size, whether settled, and position in one number
+    size = F.shiftleft("n", PLACE + 1) + F.when(F.col("settled"), F.lit(1 << PLACE)).otherwise(F.lit(0))
     posting = (
         classes.join(settled.withColumn("settled", F.lit(True)), "cls", "left")
-        .select("cls", F.col("first.id").alias("id"), "n", "bits", F.coalesce("settled", F.lit(False)).alias("settled"), F.posexplode("prefix").alias("pos", "token"))
-    )
+        .select("cls", size.cast("bigint").alias("size"), F.posexplode("prefix").alias("pos", "token"))
+        .select("token", "cls", (F.col("size") + F.col("pos")).alias("at"))
+    )
     x, y = posting.alias("x"), posting.alias("y")
-    fits, need = close("x.", "y.")
-    left = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+
+    def parts(side: str) -> tuple[Column, Column, Column]:
+        at = F.col(f"{side}.at")
+        return F.shiftright(at, PLACE + 1), at.bitwiseAND(F.lit((1 << PLACE) - 1)), at.bitwiseAND(F.lit(1 << PLACE)) != 0
+
+    (nx, px, done_x), (ny, py, done_y) = parts("x"), parts("y")
+    fits, need = close(F.col("x.cls"), nx, F.col("y.cls"), ny)
     pairs = scratch.stage(
-        x.join(y, (F.col("x.token") == F.col("y.token")) & ~F.col("y.settled") & (F.col("x.id") <= F.col("y.id")) & (F.col("x.cls") != F.col("y.cls")) & fits & (left >= need))
+        x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") < F.col("y.cls")) & ~(done_x & done_y) & fits & (F.least(nx - px, ny - py) >= need))
         .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct(),
         "pairs",
     )
+    pairs = possible(pairs, "pairs-possible")
     gone = settled.unionByName(later(pairs, "found")).distinct().withColumn("gone", F.lit(True))
     judged = classes.select("cls", "first").join(gone, "cls", "left")
     marked = lines.select("id", "th", "line", "cls").join(judged, "cls")
