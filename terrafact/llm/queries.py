@@ -74,7 +74,9 @@ def op10_separators(spark: SparkSession, sf: str) -> DataFrame:
     )
     order = scratch.stage(order, "order")
     blocks = separators.blocks_of(spark, folder, order, 2, separators.BLOCK_IDS)
-    return order.join(separators.scan(blocks, folder, SEPARATOR, 2), ["file", "ordinal"]).select("doc_id", "n_tokens")
+    # Both sides grow with the corpus, however well the order is compressed on disk.
+    found = separators.scan(blocks, folder, SEPARATOR, 2).hint("merge")
+    return order.join(found, ["file", "ordinal"]).select("doc_id", "n_tokens")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
