@@ -11,9 +11,10 @@ whole texts.
 
 Steps:
 1. Equal sets are a class; the rest works on one document of each (copies cost one row).
-2. Min-hash groups: each class is verified against its group's first; what links is one component.
-   This settles large groups of near copies in a linear number of pairs. It is not needed for
-   completeness: it only names pairs that step 3 need not look at.
+2. Min-hash groups: each class is verified against its group's most common member, the one whose
+   tokens have the highest mean level: among near copies that is their source, which they all link with
+   even where they don't with each other. What links is one component. This settles large groups of near copies in a
+   linear number of pairs. It is not needed for completeness: it only names pairs that step 3 need not look at.
 3. Prefix join of all classes that aren't in one component yet, verification, components again.
 So every link between different components is found, and no list of all pairs of a group is made.
 
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import setjoin as S
@@ -98,15 +99,16 @@ def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                         pa.array(S.fingerprints(numbers, n)), pa.array(matches),
                         list_column(prefix.view(np.int64), length, pa.int64()),
                         list_column(S.parity_maps(numbers, n, MAP).ravel(), np.full(hi - lo, MAP), pa.int64()),
+                        pa.array(S.reduced(np.add, numbers >> np.uint64(S.HASH_BITS), n) / np.maximum(n, 1)),
                         *[pa.array(h) for h in S.min_hashes(numbers, n, GROUPS)],
                     ],
-                    ["doc_id", "th", "n", "cls", "l", "prefix", "map", *[f"m{j}" for j in range(GROUPS)]],
+                    ["doc_id", "th", "n", "cls", "l", "prefix", "map", "common", *[f"m{j}" for j in range(GROUPS)]],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     mins = ", ".join(f"m{j} bigint" for j in range(GROUPS))
     return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(
-        run, f"doc_id {kind}, th bigint, n bigint, cls bigint, l bigint, prefix array<bigint>, map array<bigint>, {mins}"
+        run, f"doc_id {kind}, th bigint, n bigint, cls bigint, l bigint, prefix array<bigint>, map array<bigint>, common double, {mins}"
     )
 
 
@@ -130,9 +132,9 @@ def close(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame
     return pairs.join(a, "a").join(b, "b").filter(differ <= F.col("na") + F.col("nb") - 2 * need).select("a", "b")
 
 
-def allowed(na: str, nb: str, num: int, den: int) -> tuple:
+def allowed(na: Column | str, nb: Column | str, num: int, den: int) -> tuple[Column, Column]:
     """Whether two sizes can reach the threshold, and the overlap that they then need."""
-    a, b = F.col(na), F.col(nb)
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (na, nb))
     return (den * a >= num * b) & (den * b >= num * a), F.ceil((a + b) * num / F.lit(float(num + den)) - 1e-9)
 
 
@@ -145,17 +147,17 @@ def similarity_classes(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10)
     classes = scratch.stage(
         rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(
             F.min(F.struct("doc_id", "th")).alias("rep"),
-            *[F.first(c).alias(c) for c in ("n", "l", "prefix", "map", *[f"m{j}" for j in range(GROUPS)])],
+            *[F.first(c).alias(c) for c in ("n", "l", "prefix", "map", "common", *[f"m{j}" for j in range(GROUPS)])],
         ),
         "classes",
     )
 
     # Step 2: each class and the first of its min-hash groups.
     member = classes.select(
-        "cls", "n", F.col("rep.doc_id").alias("id"),
+        "cls", "n", "common",
         F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"m{j}").alias("m")) for j in range(GROUPS)])).alias("g"),
-    ).select("cls", "n", "id", F.xxhash64("g.j", "g.m").alias("g"))
-    lead = member.groupBy("g").agg(F.min_by("cls", "id").alias("lead"), F.min_by("n", "id").alias("lead_n"))
+    ).select("cls", "n", "common", F.xxhash64("g.j", "g.m").alias("g"))
+    lead = member.groupBy("g").agg(F.max_by("cls", "common").alias("lead"), F.max_by("n", "common").alias("lead_n"))
     fits, _ = allowed("n", "lead_n", num, den)
     star = (
         member.join(lead, "g").filter(fits & (F.col("cls") != F.col("lead")))
