@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ from .common import PIECE_BYTES, Scratch, flat_text, pieces, prefix_hash, range_
 LENGTH = 100
 GRAM = 24
 #: Snippet bytes that one index covers, about.
-INDEX_BYTES = 1 << 20
+INDEX_BYTES = 1 << 18
 _PLACE = 28
 
 
@@ -311,23 +312,23 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     return scratch.stage(marks.groupBy("id").agg(F.collect_list(F.struct("at", "c", "lo", "hi")).alias("marks")), "marks")
 
 
-def covered(data: bytes, marks: list[dict]) -> np.ndarray:
-    """Which bytes the marked windows cover. Marks of another text with the same id don't apply."""
-    change = np.zeros(len(data) + 1, np.int64)
-    sums = prefix_hash(np.frombuffer(data, np.uint8))
-    at = np.array([m["at"] for m in marks])
-    start, count = at >> 7, at & 127
-    end = np.minimum(start + count + LENGTH - 1, len(data))
+def covered(buf: np.ndarray, at: np.ndarray, doc: np.ndarray, marks: dict[str, np.ndarray]) -> np.ndarray:
+    """Which bytes of texts laid end to end the marked windows cover; doc: the text of each mark.
+    Marks of another text with the same id don't apply."""
+    sums = prefix_hash(buf)
+    count = marks["at"] & 127
+    start = at[doc] + (marks["at"] >> 7)
+    end = np.minimum(start + count + LENGTH - 1, at[doc + 1])
     start = np.minimum(start, end)
-    right = range_hash(sums, start, end).view(np.int64) == np.array([m["c"] for m in marks])
-    for m, s, n, ok in zip(marks, start.tolist(), count.tolist(), right, strict=True):
-        if not ok:
-            continue
-        bits = (m["lo"] | m["hi"] << 63) & (1 << n) - 1
-        if bits == (1 << n) - 1:
-            change[s] += 1
-            change[s + n - 1 + LENGTH] -= 1
-            continue
+    right = range_hash(sums, start, end).view(np.int64) == marks["c"]
+    start, count, lo, hi = start[right], count[right], marks["lo"][right], marks["hi"][right]
+    ones = [(np.int64(1) << np.clip(n, 0, 62)) - 1 | np.where(n >= 63, np.int64(1) << 62, 0) for n in (count, count - 63)]
+    full = ((lo & ones[0]) == ones[0]) & ((hi & ones[1]) == ones[1])
+    change = np.zeros(len(buf) + 1, np.int64)
+    np.add.at(change, start[full], 1)
+    np.add.at(change, start[full] + count[full] - 1 + LENGTH, -1)
+    for s, n, x, y in zip(*(v[~full].tolist() for v in (start, count, lo, hi)), strict=True):
+        bits = (x | y << 63) & (1 << n) - 1
         for w in range(n):
             if bits >> w & 1:
                 change[s + w] += 1
@@ -335,6 +336,20 @@ def covered(data: bytes, marks: list[dict]) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
+def judged(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For a batch with text and marks, in groups of rows: first and last row, bytes, offsets, bytes to remove."""
+    buf, at = flat_text(batch.column("text"))
+    lists = batch.column("marks")
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    flat = lists.flatten()
+    values = {n: flat.field(n).to_numpy(zero_copy_only=False) for n in ("at", "c", "lo", "hi")}
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    for lo, hi, part, offsets in pieces(buf, at):
+        own = slice(ends[lo], ends[hi])
+        doc = np.repeat(np.arange(hi - lo), sizes[lo:hi])
+        yield lo, hi, part, offsets, covered(part, offsets, doc, {n: v[own] for n, v in values.items()})
+
+
 def _joined(docs: DataFrame, *columns: str) -> DataFrame:
     marks = repeated_windows(docs).withColumnRenamed("id", "__id")
     return docs.select(*columns).join(marks, F.col("doc_id") == F.col("__id"), "left").drop("__id")
@@ -346,15 +361,17 @@ def digests(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple[int, int, int, str]] = []
-            for text, marks in zip(batch.column("text"), batch.column("marks"), strict=True):
-                data = text.as_buffer().to_pybytes() if text.is_valid else b""
-                gone = covered(data, marks.as_py()) if marks.is_valid else None
-                if gone is None or not gone.any():
-                    rows.append((len(data), 0, 0, hashlib.sha256(data).hexdigest()))
-                    continue
-                kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                rows.append((len(data), len(data) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
+            for lo, hi, part, offsets, gone in judged(batch):
+                begins = gone.copy()
+                begins[1:] &= ~gone[:-1]
+                inner = offsets[:-1][np.diff(offsets) > 0]
+                begins[inner] = gone[inner]  # a run ends with its text
+                totals = [np.concatenate([[0], np.cumsum(x)])[offsets] for x in (gone, begins)]
+                for i in range(hi - lo):
+                    a, b = offsets[i], offsets[i + 1]
+                    removed = int(totals[0][i + 1] - totals[0][i])
+                    kept = part[a:b][~gone[a:b]] if removed else part[a:b]
+                    rows.append((int(b - a), removed, int(totals[1][i + 1] - totals[1][i]), hashlib.sha256(kept.tobytes()).hexdigest()))
             columns = zip(*rows, strict=True) if rows else [()] * 4
             kinds = [pa.int64()] * 3 + [pa.string()]
             yield pa.record_batch(
@@ -374,16 +391,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts: list[str | None] = []
-            for text, marks in zip(batch.column("text"), batch.column("marks"), strict=True):
-                if not text.is_valid or not marks.is_valid:
-                    texts.append(text.as_py())
+            texts: list[str | None] = batch.column("text").to_pylist()
+            for lo, hi, part, offsets, gone in judged(batch):
+                if not gone.any():
                     continue
-                data = np.frombuffer(text.as_buffer().to_pybytes(), np.uint8)
-                begins = (data & 0xC0) != 0x80
-                char = np.cumsum(begins) - 1
-                bad = np.bincount(char, covered(data.tobytes(), marks.as_py()), int(begins.sum())) > 0
-                texts.append(data[~bad[char]].tobytes().decode())
+                char = np.cumsum((part & 0xC0) != 0x80) - 1
+                bad = np.bincount(char, gone, int(char[-1]) + 1)[char] > 0
+                for i in range(hi - lo):
+                    a, b = offsets[i], offsets[i + 1]
+                    if bad[a:b].any():
+                        texts[lo + i] = part[a:b][~bad[a:b]].tobytes().decode()
             keep = pa.array([t != "" or not m.is_valid for t, m in zip(texts, batch.column("marks"), strict=True)], pa.bool_())
             at = batch.schema.get_field_index("text")
             out = batch.set_column(at, "text", pa.array(texts, batch.schema.field("text").type)).filter(keep)
