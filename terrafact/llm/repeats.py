@@ -12,7 +12,7 @@ same document, earlier start) is removed, judged on the input. Steps:
    later members repeat those of the first.
 3. First members meet by anchor. Of each group of anchors a run-compressed Burrows-Wheeler transform
    is built over its snippets in corpus order; runs end where the character changes or where
-   neighbouring rows agree in fewer than LENGTH bytes, and carry as their sample the earliest text place
+   neighbouring rows agree in fewer than LENGTH bytes, and carry as their sample the earliest (doc_id, start)
    among their rows. All snippets are streamed backwards through the index, many at a time; as soon as
    a match is LENGTH long, the sample says whether an earlier place has it.
 4. The windows found are turned into bytes of each document.
@@ -45,6 +45,8 @@ GRAM = 24
 #: Snippet bytes that one index covers, about.
 INDEX_BYTES = 1 << 18
 _PLACE = 28
+#: Bits for a start in a text, which is below 2**31.
+_START = 32
 
 
 # --- step 1: anchors -----------------------------------------------------------------------
@@ -136,9 +138,10 @@ def anchors(docs: DataFrame) -> DataFrame:
 
 
 class RunLengthIndex:
-    """The run-compressed transform of some texts (each of LENGTH bytes or more), in corpus order."""
+    """The run-compressed transform of some texts (each of LENGTH bytes or more), in corpus order;
+    owner and begin: of each text the number of its document, in corpus order, and where it starts there."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], owner: np.ndarray, begin: np.ndarray):
         self.n = len(texts)
         self.size = np.array([len(t) for t in texts])
         ends = np.cumsum(self.size + 1) - 1  # places of the end marks
@@ -148,6 +151,8 @@ class RunLengthIndex:
         inside[ends] = False
         symbols[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
         left = np.repeat(ends, self.size + 1) - np.arange(len(symbols))  # bytes before the end mark
+        # Earlier is by document and start there: rows that share an id have snippets that overlap.
+        self.place = np.repeat((owner << _START) + begin - self.start, self.size + 1) + np.arange(len(symbols))
         rows, same = self._sort(symbols, left)
         before = symbols[rows - 1]
         before[rows == 0] = 0
@@ -163,7 +168,7 @@ class RunLengthIndex:
         self.run_to[by_char] = np.cumsum(length[by_char]) - length[by_char]
         self.run_char = char
         # samples: the earliest place of each run, then of all runs that agree in LENGTH bytes
-        least = np.minimum.reduceat(rows, self.run_start)
+        least = np.minimum.reduceat(self.place[rows], self.run_start)
         group = np.cumsum(~same[self.run_start]) - 1
         heads = np.flatnonzero(np.diff(group, prepend=-1))
         self.sample = np.minimum.reduceat(least, heads)[group]
@@ -231,7 +236,7 @@ class RunLengthIndex:
             run = np.searchsorted(self.run_start, row, "right") - 1
             if length >= LENGTH:
                 window = self.size[live] - length
-                flat[base[live] + window] = self.sample[run] < self.start[live] + window
+                flat[base[live] + window] = self.sample[run] < self.place[self.start[live] + window]
             more = self.size[live] > length
             live, row, run = live[more], row[more], run[more]
         for i, b in enumerate(base):
@@ -240,14 +245,17 @@ class RunLengthIndex:
 
 
 def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """c and the windows found (two 64-bit maps) of snippets that come grouped by anchor."""
+    """c and the windows found (two 64-bit maps) of snippets that come sorted by anchor, id, place and
+    snippet. Rows that repeat an id may bring a snippet more than once; it counts once."""
     held: list[tuple[int, int, int, int, bytes]] = []
     held_bytes = 0
 
     def flush(rows: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
         rows = sorted(rows, key=lambda r: (r[1], r[2], r[3]))
         lo, hi, c = [], [], []
-        for r, found in zip(rows, RunLengthIndex([r[4] for r in rows]).matches(), strict=True):
+        _, owner = np.unique([r[1] for r in rows], return_inverse=True)
+        index = RunLengthIndex([r[4] for r in rows], owner, np.array([r[2] >> 7 for r in rows]))
+        for r, found in zip(rows, index.matches(), strict=True):
             bits = int.from_bytes(np.packbits(found, bitorder="little").tobytes(), "little")
             if bits:
                 c.append(r[3])
@@ -255,15 +263,17 @@ def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hi.append(bits >> 63)
         return pa.record_batch([pa.array(c, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["c", "lo", "hi"])
 
-    last = None
+    last: tuple = (None,)
     for batch in batches:
         for row in zip(*(batch.column(x).to_pylist() for x in ("f", "id", "at", "c", "bytes")), strict=True):
-            if held_bytes >= INDEX_BYTES and row[0] != last:
+            if row[:4] == last[:4]:
+                continue
+            if held_bytes >= INDEX_BYTES and row[0] != last[0]:
                 yield flush(held)
                 held, held_bytes = [], 0
             held.append(row)
             held_bytes += len(row[4])
-            last = row[0]
+            last = row
     if held:
         yield flush(held)
 
@@ -297,9 +307,9 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.binary()]
             yield pa.record_batch([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["f", "id", "at", "c", "bytes"])
 
-    known = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("id"), "text")
+    known = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("id"), "text")
     texts = known.join(wanted, "id").mapInArrow(cut, "f bigint, id bigint, at bigint, c bigint, bytes binary")
-    masks = texts.repartition("f").sortWithinPartitions("f").mapInArrow(_masks, "c bigint, lo bigint, hi bigint")
+    masks = texts.repartition("f").sortWithinPartitions("f", "id", "at", "c").mapInArrow(_masks, "c bigint, lo bigint, hi bigint")
     masks = scratch.stage(masks, "masks")
     judged = first.select("c", "first").join(masks, "c", "left")
     is_first = (F.col("id") == F.col("first.id")) & (F.col("at") == F.col("first.at"))
