@@ -14,8 +14,8 @@ of work.
    the tokens (bits that differ are at most the tokens that differ). What passes is verified on the
    lines' texts, and the later of two similar classes goes.
 
-A class is named by 64 bits, 32 of its parity map and 32 of a hash of its set, so a posting is three
-numbers: the token, the class, and its size and position.
+A class is named by a 64-bit hash of all bits of its words' hashes, since nothing compares the members of a
+class again. A posting is the token, the class, its size and position, and 32 bits of its parity map.
 
 Edge cases: null texts count as empty; a text has one line more than line breaks; lines without words
 match nothing and stay; rows of one id and equal text are the same place, so neither removes the
@@ -25,6 +25,7 @@ other's lines; a null id comes before all others; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import setjoin as S
-from .common import Scratch, flat_text, list_column, pieces, word_hashes
+from .common import Scratch, flat_text, list_column, mix, pieces, word_hashes
 from .ngram_join import BUCKETS, allowed
 
 BITS = 19
@@ -59,11 +60,12 @@ def line_spans(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.append(start[order], at[-1]), doc[order]
 
 
-def names(numbers: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Names of sets: a 32-bit parity map above 32 bits of a hash."""
-    both = S.parity_maps(numbers, sizes, 1).view(np.uint64).ravel()
-    parity = (both ^ (both >> np.uint64(32))) << np.uint64(32)
-    return (parity | (S.fingerprints(numbers, sizes).view(np.uint64) >> np.uint64(32))).view(np.int64)
+def names(h: np.ndarray, first: np.ndarray, numbers: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit names of sets of words: fingerprints of the numbers, which have the upper 48 bits of each
+    hash, with fingerprints of the lower 48 bits."""
+    low, lows = S.ordered_sets(h << np.uint64(64 - S.HASH_BITS), first, np.zeros(2, np.uint8))
+    both = S.fingerprints(low, lows).view(np.uint64)
+    return mix(S.fingerprints(numbers, sizes).view(np.uint64) + mix(both)).view(np.int64)
 
 
 def prepared(docs: DataFrame) -> DataFrame:
@@ -87,8 +89,9 @@ def line_sets(src: DataFrame) -> DataFrame:
             seen: set[int] = set()
             for lo, hi, part, offsets in pieces(buf, at):
                 starts, doc = line_spans(part, offsets)
-                numbers, n = S.ordered_sets(*tokens(part, starts), levels)
-                cls = names(numbers, n)
+                h, first_word = tokens(part, starts)
+                numbers, n = S.ordered_sets(h, first_word, levels)
+                cls = names(h, first_word, numbers, n)
                 here, first = np.unique(cls, return_index=True)
                 one = np.zeros(len(n), bool)
                 one[first[[c not in seen for c in here.tolist()]]] = True
@@ -124,29 +127,37 @@ def texts_of(scratch: Scratch, src: DataFrame, classes: DataFrame, pairs: DataFr
     return scratch.stage(rows.select("x.cls", F.element_at("all", (F.col("x.line") + 1).cast("int")).alias("text")), "texts")
 
 
+def folded_map() -> Column:
+    """The parity map of a class in 32 bits."""
+    word = reduce(Column.bitwiseXOR, [F.col(f"p{j}") for j in range(MAP)])
+    return word.bitwiseXOR(F.shiftrightunsigned(word, 32)).bitwiseAND(F.lit((1 << 32) - 1)).alias("bits")
+
+
 def close(a: Column, na: Column, b: Column, nb: Column) -> tuple[Column, Column]:
-    """Whether sizes and parity maps of two classes allow the threshold; the overlap needed."""
+    """Whether sizes and folded parity maps of two classes allow the threshold; the overlap needed."""
     fits, need = allowed(na, nb, NUM, DEN)
-    return fits & (F.bit_count(F.shiftrightunsigned(a.bitwiseXOR(b), 32)) <= na + nb - 2 * need), need
+    return fits & (F.bit_count(a.bitwiseXOR(b)) <= na + nb - 2 * need), need
 
 
 def similar_lines(docs: DataFrame) -> DataFrame:
     """id, th, line of the lines to remove."""
     scratch = Scratch(docs.sparkSession, "lines")
     src = prepared(docs)
-    lines = scratch.stage(line_sets(src), "lines")
+    sets = scratch.stage(line_sets(src), "sets")
     mins = [F.any_value(c).alias(c) for c in ("n", *[f"m{j}" for j in range(GROUPS)], *[f"p{j}" for j in range(MAP)])]
     prefix = F.first(F.when(F.size("prefix") > 0, F.col("prefix")), True).alias("prefix")
     classes = scratch.stage(
-        lines.groupBy("cls").agg(F.min(F.struct("id", "th", "line")).alias("first"), *mins, prefix), "classes"
+        sets.groupBy("cls").agg(F.min(F.struct("id", "th", "line")).alias("first"), *mins, prefix), "classes"
     )
+    lines = scratch.stage(sets.select("id", "th", "line", "cls"), "lines")
+    scratch.drop(sets)  # what else it has, classes have
 
     member = classes.select(
-        "cls", "n", F.col("first.id").alias("id"),
+        "cls", "n", folded_map(), F.col("first.id").alias("id"),
         F.explode(F.array(*[F.xxhash64(F.lit(j), F.col(f"m{j}")) for j in range(GROUPS)])).alias("g"),
     )
-    lead = member.groupBy("g").agg(*[F.min_by(c, "id").alias(f"lead_{c}") for c in ("cls", "n")])
-    fits, _ = close(F.col("cls"), F.col("n"), F.col("lead_cls"), F.col("lead_n"))
+    lead = member.groupBy("g").agg(*[F.min_by(c, "id").alias(f"lead_{c}") for c in ("cls", "n", "bits")])
+    fits, _ = close(F.col("bits"), F.col("n"), F.col("lead_bits"), F.col("lead_n"))
     star = scratch.stage(
         member.join(lead, "g").filter((F.col("cls") != F.col("lead_cls")) & fits)
         .select(F.col("cls").alias("a"), F.col("lead_cls").alias("b")).distinct(),
@@ -162,7 +173,9 @@ def similar_lines(docs: DataFrame) -> DataFrame:
         _, need = allowed("n_a", "n_b", NUM, DEN)
         differ = sum((F.bit_count(F.col(f"p{j}_a").bitwiseXOR(F.col(f"p{j}_b"))) for j in range(MAP)), F.lit(0))
         left = pairs.join(side("a"), "a").join(side("b"), "b").filter(differ <= F.col("n_a") + F.col("n_b") - 2 * need)
-        return scratch.stage(left.select("a", "b"), name)
+        out = scratch.stage(left.select("a", "b"), name)
+        scratch.drop(pairs)
+        return out
 
     star = possible(star, "star-possible")
 
@@ -178,12 +191,13 @@ def similar_lines(docs: DataFrame) -> DataFrame:
         return out
 
     settled = later(star, "settled")
+    scratch.drop(star)
     # size, whether settled, and position in one number
     size = F.shiftleft("n", PLACE + 1) + F.when(F.col("settled"), F.lit(1 << PLACE)).otherwise(F.lit(0))
     posting = (
         classes.join(settled.withColumn("settled", F.lit(True)), "cls", "left")
-        .select("cls", size.cast("bigint").alias("size"), F.posexplode("prefix").alias("pos", "token"))
-        .select("token", "cls", (F.col("size") + F.col("pos")).alias("at"))
+        .select("cls", folded_map(), size.cast("bigint").alias("size"), F.posexplode("prefix").alias("pos", "token"))
+        .select("token", "cls", "bits", (F.col("size") + F.col("pos")).alias("at"))
     )
     x, y = posting.alias("x"), posting.alias("y")
 
@@ -192,7 +206,7 @@ def similar_lines(docs: DataFrame) -> DataFrame:
         return F.shiftright(at, PLACE + 1), at.bitwiseAND(F.lit((1 << PLACE) - 1)), at.bitwiseAND(F.lit(1 << PLACE)) != 0
 
     (nx, px, done_x), (ny, py, done_y) = parts("x"), parts("y")
-    fits, need = close(F.col("x.cls"), nx, F.col("y.cls"), ny)
+    fits, need = close(F.col("x.bits"), nx, F.col("y.bits"), ny)
     pairs = scratch.stage(
         x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") < F.col("y.cls")) & ~(done_x & done_y) & fits & (F.least(nx - px, ny - py) >= need))
         .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct(),
