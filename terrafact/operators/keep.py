@@ -10,33 +10,55 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _rank(df: DataFrame, order: str) -> Column:
-    """The order as one number where it is one or two whole numbers: numbers are
-    folded in place by a hash aggregate, anything else needs sorted rows."""
+def _rank(df: DataFrame, order: str, rest: Sequence[str]) -> Column | None:
+    """The order as one number where it is a whole number or an int and a whole number: numbers are
+    folded in place by a hash aggregate. Its last digits are a hash of the row, which breaks ties."""
     kind = df.schema[order].dataType
-    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-    if isinstance(kind, T.StructType) and len(kind) == 2 and all(isinstance(f.dataType, whole) for f in kind):
-        high, low = (F.col(f"{order}.{f.name}").cast("decimal(19,0)") for f in kind)
-        return (high * F.lit(Decimal(10) ** 18 * 10) + low).cast("decimal(38,0)")
-    return F.col(order)
+    small = (T.ByteType, T.ShortType, T.IntegerType)
+    whole = (*small, T.LongType)
+    row = F.xxhash64(*rest) if rest else F.lit(0).cast("bigint")
+
+    def digits(n: int) -> Column:
+        return F.lit(Decimal(10) ** n)
+
+    def number(c: Column) -> Column:
+        return c.cast("decimal(19,0)")
+
+    if isinstance(kind, whole):
+        return (number(F.col(order)) * digits(18) + F.pmod(row, F.lit(10**18))).cast("decimal(38,0)")
+    if isinstance(kind, T.StructType) and len(kind) == 2:
+        (high, low), types = (F.col(f"{order}.{f.name}") for f in kind), [f.dataType for f in kind]
+        if isinstance(types[0], small) and isinstance(types[1], whole):
+            both = (number(high) * digits(19) * F.lit(2) + number(low)).cast("decimal(29,0)")
+            return (both * digits(8) + F.pmod(row, F.lit(10**8))).cast("decimal(38,0)")
+    return None
 
 
 def _one_per_key(df: DataFrame, key: str, order: str, pick) -> DataFrame:
-    # An aggregate, not a window: each task folds its copies of a key into one
-    # before the shuffle, so a key that holds much of the data stays cheap. Only
-    # keys and orders take part; whole rows are then looked up by both.
-    ranked = df.withColumn("_rank", _rank(df, order))
+    # Aggregates, not a window: each task folds its copies of a key into one
+    # before the shuffle, so a key that holds much of the data stays cheap.
+    df = df.filter(F.col(key).isNotNull() & F.col(order).isNotNull())
+    rest = [c for c in df.columns if c not in (key, order)]
+    rank = _rank(df, order, rest)
+    if rank is None:
+        # One pass over rows that may be dear to make; the other columns break ties.
+        best = df.groupBy(key).agg(pick(F.struct(order, *rest)).alias("_best"))
+        return best.select(*[F.col(c if c == key else f"_best.{c}") for c in df.columns])
+    # Only keys and ranks take part; whole rows are then looked up by both, and of
+    # equal rows one is left where they already lie.
+    ranked = df.withColumn("_rank", rank)
     best = ranked.groupBy(key).agg(pick("_rank").alias("_rank"))
-    return ranked.join(best, [key, "_rank"], "left_semi").select(*df.columns)
+    return ranked.join(best, [key, "_rank"], "left_semi").distinct().select(*df.columns)
 
 
 def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The row with the lowest ``order`` of every key. An order occurs once in a key; no key is null."""
+    """One row of every key: that with the lowest ``order``. Of rows that tie the other columns
+    decide which, whatever the order of rows; rows without a key go."""
     return _one_per_key(df, key, order, F.min)
 
 
 def last_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The row with the highest ``order`` of every key."""
+    """One row of every key: that with the highest ``order``; ties and missing keys as above."""
     return _one_per_key(df, key, order, F.max)
 
 
