@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, lines, ngram_join, packing, pieces, repeats, separators, sql, topk, toxicity, vectors
+from . import language, lines, ngram_join, packing, pieces, quality, repeats, separators, spelling, sql, topk, toxicity, vectors, whitening
 from .common import Scratch, fold, table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -79,6 +79,24 @@ def op10_separators(spark: SparkSession, sf: str) -> DataFrame:
     return order.join(found, ["file", "ordinal"]).select("doc_id", "n_tokens")
 
 
+def op11_quality(spark: SparkSession, sf: str) -> DataFrame:
+    stats = quality.staged_statistics(table(spark, sf, "documents", "doc_id", "text"))
+    learn = fold("doc_id", 4) != 2
+    model = quality.fit(stats.filter(learn), table(spark, sf, "labels", "doc_id", "quality").filter(learn))
+    return quality.score(stats, model).select(
+        "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
+def op12_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf, "documents", "doc_id", "text"))
+
+
+def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf, "embeddings", "vec_id", "embedding"), "vec_id", "embedding", 8)
+    return rows.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -90,6 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op9_repeats": op9_repeats,
     "op10_separators": op10_separators,
+    "op11_quality": op11_quality,
+    "op12_spelling": op12_spelling,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES: dict[str, str] = {
@@ -98,4 +119,5 @@ ORACLES: dict[str, str] = {
     "op6_line_dedup": lines.ORACLE,
     "op7_vectors": sql.VECTORS,
     "op8_topk": sql.TOP_K,
+    "op12_spelling": sql.SPELLING,
 }
