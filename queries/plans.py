@@ -25,6 +25,7 @@ from terrafact.operators import keep as KP
 from terrafact.operators import payload as PY
 from terrafact.operators import reads as RD
 from terrafact.operators import registry as RG
+from terrafact.operators import runtables as RT
 from terrafact.operators import transform as TR
 from terrafact.plans import export as EX
 from terrafact.plans import jobs as J
@@ -1293,6 +1294,135 @@ def rollback_run(spark, sf):
     return flat(wh.read("normalized_imports"), "id")
 
 
+# What is kept beside the facts
+
+
+def kept(spark, sf, *tables: str) -> Warehouse:
+    """Orders in three runs, with the given tables kept up: one before 1998, one of everything, of which
+    only what is new goes in, and, after the first is rolled back, one of everything again. All that
+    is left is then made again from the audit rows."""
+    wh = new_warehouse(spark)
+    for name in tables:
+        wh.derived.create(name)
+    feed = Q.orders_feed(spark, sf)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        J.ingest_feed(wh, Q.ORDERS, one_run(feed.filter(F.col("Year") < "1998"), "run-1"))
+        J.ingest_feed(wh, Q.ORDERS, one_run(feed, "run-2"))
+        wh.rollback_run("run-1")
+        J.ingest_feed(wh, Q.ORDERS, one_run(feed, "run-3"))
+    return wh
+
+
+@query(f"SELECT id, {PAYLOAD_SQL}, CASE WHEN year < 1998 THEN 'run-3' ELSE 'run-2' END AS ingest_run_id FROM orders_linked")
+def insert_by_bucket(spark, sf):
+    """Conflicts found in the id index, which follows loads and a rollback."""
+    return flat(kept(spark, sf).read("normalized_imports"), "id", "ingest_run_id")
+
+
+@query("SELECT id, CASE WHEN year < 1998 THEN 'run-3' ELSE 'run-2' END AS ingest_run_id FROM orders_linked")
+def id_index(spark, sf):
+    """The ids that the index holds, made anew with another number of buckets."""
+    wh = kept(spark, sf)
+    wh.derived.ids.rebuild(buckets=5)
+    return wh.derived.ids.live().select("id", "ingest_run_id")
+
+
+@query("SELECT id, total_price AS price, try_cast(priority AS DOUBLE) AS priority FROM orders_linked")
+def stored_payload_field(spark, sf):
+    """Payload fields from the columns of the parsed payload."""
+    values = kept(spark, sf, "fact_values").derived.read("fact_values")
+    price = RT.value_field(values, "total_price", "double", "price")
+    return RT.value_field(price, "priority", "double").select("id", "price", "priority")
+
+
+@query("SELECT id, metric_name, metric_value FROM orders_tall")
+def stored_observations(spark, sf):
+    """One row per fact and field, from the parsed payload."""
+    values = kept(spark, sf, "fact_values").derived.read("fact_values")
+    return RT.value_observations(values, ORDER_FIELDS).select("id", "metric_name", "metric_value")
+
+
+@query(f"""
+SELECT 'orders' AS source_name, CASE WHEN n.year < 1998 THEN 'run-3' ELSE 'run-2' END AS ingest_run_id, l.state_code,
+       NULL :: VARCHAR AS state_name, l.county, l.fips_code, t.year, t.quarter, t.month, {PAYLOAD_SQL}
+FROM orders_linked n LEFT JOIN orders_locations l ON l.id = n.location_id
+LEFT JOIN orders_times t ON t.id = n.time_id
+""")
+def stored_export(spark, sf):
+    """The flat, typed form of the facts from the parsed payload."""
+    wh = kept(spark, sf, "fact_values")
+    values = wh.derived.read("fact_values")
+    return EX.export_frame(values, wh.read("dim_location"), wh.read("dim_time"), Q.ORDERS.schema)
+
+
+@query(f"SELECT id, {PAYLOAD_SQL} FROM orders_linked WHERE priority = '1-URGENT' AND status = 'O'")
+def contains_by_terms(spark, sf):
+    """Payload containment from the postings, kept up through loads, a rollback and a replay."""
+    wh = kept(spark, sf, "payload_terms")
+    J.replay(wh, Q.ORDERS)
+    wanted = {"priority": "1-URGENT", "status": "O"}
+    return flat(RT.contains_by_terms(wh.read("normalized_imports"), wh.derived.read("payload_terms"), wanted), "id")
+
+
+STATE_MEANS = """
+SELECT upper(l.state_code) AS state_code, metric_name, round(avg(metric_value), 6) AS avg_value,
+       count(metric_value) AS n
+FROM orders_tall t JOIN orders_locations l ON l.id = t.location_id
+WHERE metric_value IS NOT NULL AND l.state_code IS NOT NULL GROUP BY ALL
+"""
+
+
+@query(STATE_MEANS)
+def stored_avg_by_state(spark, sf):
+    """Means by state from sums that each run left."""
+    wh = kept(spark, sf, "metric_partials")
+    J.replay(wh, Q.ORDERS)
+    sums = A.stored_sums(wh.derived.read("metric_partials"), "location_id")
+    return A.state_means(sums, wh.read("dim_location")).withColumn("avg_value", F.round("avg_value", 6))
+
+
+@query("""
+SELECT t.id AS time_id, metric_name, round(avg(metric_value), 6) AS avg_value,
+       count(metric_value) AS n, t.year, t.quarter, t.month, t.day, t.date_floor
+FROM orders_tall o JOIN orders_times t ON t.id = o.time_id
+WHERE metric_value IS NOT NULL GROUP BY ALL
+""")
+def stored_avg_by_period(spark, sf):
+    """Means by period from sums that each run left."""
+    wh = kept(spark, sf, "metric_partials")
+    sums = A.stored_sums(wh.derived.read("metric_partials"), "time_id")
+    return A.period_means(sums, wh.read("dim_time")).withColumn("avg_value", F.round("avg_value", 6))
+
+
+@query(f"SELECT metric_name, round(min(avg_value), 6) AS min_value, round(max(avg_value), 6) AS max_value FROM ({STATE_MEANS}) GROUP BY metric_name")
+def stored_value_domain(spark, sf):
+    """Lowest and highest mean of each metric, from the same sums."""
+    wh = kept(spark, sf, "metric_partials")
+    sums = A.stored_sums(wh.derived.read("metric_partials"), "location_id")
+    out = A.value_domain(A.state_means(sums, wh.read("dim_location")))
+    return out.select("metric_name", F.round("min_value", 6).alias("min_value"), F.round("max_value", 6).alias("max_value"))
+
+
+@query("""
+SELECT count(*) AS observations, count(DISTINCT source_name) AS sources,
+       count(DISTINCT location_id) AS locations, count(DISTINCT metric_name) AS metrics
+FROM orders_tall
+""")
+def stored_overview(spark, sf):
+    """The overview without a look at facts."""
+    return A.stored_overview(kept(spark, sf, "metric_partials").derived.read("metric_partials"))
+
+
+@query("""
+SELECT metric_name, min(metric_value) AS least, max(metric_value) AS most, count(*) AS n
+FROM orders_tall WHERE metric_value IS NOT NULL GROUP BY metric_name
+""")
+def metric_ranges(spark, sf):
+    """Lowest and highest value of each metric, without a look at facts."""
+    return A.metric_ranges(kept(spark, sf, "metric_partials").derived.read("metric_partials"))
+
+
 @query("SELECT id, county, population, density FROM places_rows")
 def dimension_load_job(spark, sf):
     """A dimension file loaded as a job."""

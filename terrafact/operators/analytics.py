@@ -41,14 +41,24 @@ def _mean() -> Column:
     return (F.sum("_sum") / F.sum("_n")).alias("avg_value")
 
 
+def stored_sums(partials: DataFrame, key: str) -> DataFrame:
+    """Sum and count per dimension key and metric, from what was added up when runs were loaded."""
+    rows = partials.filter((F.col("axis") == key) & (F.col("n") > 0) & F.col("key").isNotNull())
+    return rows.groupBy(F.col("key").alias(key), "metric_name").agg(F.sum("total").alias("_sum"), F.sum("n").alias("_n"))
+
+
 def avg_by_state(tall: DataFrame, location: DataFrame) -> DataFrame:
     """Mean of every metric by upper-cased state code; empty values are left out."""
+    return state_means(_partial_mean(tall, "location_id"), location)
+
+
+def state_means(sums: DataFrame, location: DataFrame) -> DataFrame:
+    """The same from sums per place."""
     states = location.filter(F.length("state_code") > 0).select(
         F.col("id").alias("location_id"), F.upper("state_code").alias("state_code")
     )
     return (
-        _partial_mean(tall, "location_id")
-        .join(states, "location_id")
+        sums.join(states, "location_id")
         .groupBy("state_code", "metric_name")
         .agg(_mean(), F.sum("_n").alias("n"))
     )
@@ -63,10 +73,14 @@ def value_domain(averages: DataFrame) -> DataFrame:
 
 def avg_by_period(tall: DataFrame, time: DataFrame) -> DataFrame:
     """Mean of every metric by period, in calendar order."""
+    return period_means(_partial_mean(tall, "time_id"), time)
+
+
+def period_means(sums: DataFrame, time: DataFrame) -> DataFrame:
+    """The same from sums per period."""
     periods = time.select(F.col("id").alias("time_id"), "year", "quarter", "month", "day", "date_floor")
     return (
-        _partial_mean(tall, "time_id")
-        .withColumn("avg_value", F.col("_sum") / F.col("_n"))
+        sums.withColumn("avg_value", F.col("_sum") / F.col("_n"))
         .withColumnRenamed("_n", "n")
         .drop("_sum")
         .join(periods, "time_id")
@@ -96,6 +110,25 @@ def overview(tall: DataFrame) -> DataFrame:
     )
 
 
+def stored_overview(partials: DataFrame) -> DataFrame:
+    """The overview from partial sums: every observation counts once under its place."""
+    rows = partials.filter(F.col("axis") == "location_id")
+    return rows.agg(
+        F.coalesce(F.sum("n_rows"), F.lit(0)).alias("observations"),
+        F.count_distinct("source_name").alias("sources"),
+        F.count_distinct("key").alias("locations"),
+        F.count_distinct("metric_name").alias("metrics"),
+    )
+
+
+def metric_ranges(partials: DataFrame) -> DataFrame:
+    """Lowest and highest single value, and count, of each metric."""
+    rows = partials.filter((F.col("axis") == "location_id") & (F.col("n") > 0))
+    return rows.groupBy("metric_name").agg(
+        F.min("least").alias("least"), F.max("most").alias("most"), F.sum("n").alias("n")
+    )
+
+
 def metric_names(tall: DataFrame) -> DataFrame:
     return tall.select("metric_name").distinct().orderBy("metric_name")
 

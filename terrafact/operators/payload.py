@@ -31,6 +31,15 @@ def payload_field(df: DataFrame, key: str, spark_type: str = "string", name: str
     return df.withColumn(name or key, value if spark_type == "string" else value.try_cast(spark_type))
 
 
+def member(doc: Column | str, key: str, spark_type: str = "variant") -> Column:
+    """A field of a variant object; null where there is none, or where it does not fit the type."""
+    for quote in "\"'":
+        if quote not in key:  # paths know no escapes
+            return F.try_variant_get(doc, f"$[{quote}{key}{quote}]", spark_type)
+    found = F.try_variant_get(doc, "$", "map<string,variant>")[key]
+    return found if spark_type == "variant" else F.try_variant_get(found, "$", spark_type)
+
+
 def payload_contains(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
     """Rows whose payload has all the given field values, by type and value.
 
@@ -40,8 +49,7 @@ def payload_contains(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
     doc = F.try_parse_json(PAYLOAD)
     test = F.lit(True)
     for key, value in values.items():
-        name = key.replace("\\", "\\\\").replace('"', '\\"')
-        found = F.try_variant_get(doc, f'$["{name}"]', "variant")
+        found = member(doc, key)
         kind = F.schema_of_variant(found)
         if value is None:
             same = F.is_variant_null(found)

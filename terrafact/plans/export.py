@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terrafact.operators.analytics import LOCATION_COLUMNS, TIME_COLUMNS, star_view
 from terrafact.operators.payload import parsed
+from terrafact.operators.runtables import value_texts
 from terrafact.types import DIMENSION_FIELDS, KIND_TYPES, TYPES
 
 
@@ -21,12 +22,11 @@ def export_frame(
 ) -> DataFrame:
     """Facts joined to their place and period, payload fields as typed columns.
 
-    Some type names leave their column as text; ``strict_types`` casts all.
+    Facts may come with their payload as JSON text or, from ``fact_values``, as a variant. Some type names leave their column as text; ``strict_types`` casts all.
     """
     names = sorted(n for n in schema if n not in DIMENSION_FIELDS)
-    flat = fact.select(
-        "source_name", "ingest_run_id", "location_id", "time_id", parsed(names).alias("_p")
-    )
+    texts = value_texts(names) if "payload" in fact.columns else parsed(names)
+    flat = fact.select("source_name", "ingest_run_id", "location_id", "time_id", texts.alias("_p"))
     star = star_view(flat, location, time)
 
     def cast(name: str):

@@ -20,7 +20,7 @@ from terrafact.operators import facts as FA
 from terrafact.operators import registry as R
 from terrafact.operators import transform as TR
 from terrafact.operators.analytics import orphaned_raw
-from terrafact.operators.keep import first_per_key, last_per_key, without_conflicts
+from terrafact.operators.keep import first_per_key, last_per_key
 from terrafact.plans import fact_load as PL
 from terrafact.plans.export import export_frame, write_export
 from terrafact.sources import feeds as FD
@@ -177,16 +177,17 @@ def ingest_feed(
             before = wh.read("dim_location"), wh.read("dim_time")
             _merge_dimensions(wh, good, kinds, merge, f"{folder}-dims")
             extra = tuple(TR.unmapped_columns(cleaned, source))
-            _publish_facts(wh, source, good, schema, extra, runs, merge, before)
-        if not audit:
-            _remove_stale(wh, source, [r for r in runs if r not in bad], started)
+            with wh.derived.changing(runs):
+                _publish_facts(wh, source, good, schema, extra, runs, merge, before)
+                if not audit:
+                    _remove_stale(wh, source, [r for r in runs if r not in bad], started)
         reports = _with_inserted(wh, outcome)
         done = [(r.source_file, r.ingest_run_id, "given up" if r.error else "loaded") for r in reports]
         if done:
             wh.append_log("run_log", R.run_log_rows(wh.spark, source.name, done))
     except Exception:
-        for run in runs if audit else ():
-            wh.remove_run(run)
+        if audit:
+            wh.remove_runs(runs)
         raise
     finally:
         wh.remove(folder)
@@ -297,9 +298,10 @@ def _publish_facts(
     )
     facts = PL.finish(rows, source, places, periods, schema, extra)
     if source.unique_key:
-        # A run that is written again does not conflict with itself.
-        loaded = wh.read("normalized_imports").filter(~F.col("ingest_run_id").isin(runs))
-        facts = without_conflicts(first_per_key(facts, "id", ROW), loaded)
+        # A run that is written again does not conflict with itself. Ids come straight
+        # from the staging table: look-ups may drop some of them, which changes nothing.
+        stored = wh.derived.ids.conflicts(good, but=runs)
+        facts = first_per_key(facts, "id", ROW).join(stored, "id", "left_anti")
     if len(runs) > 1:
         # The de-duplication spread every run over all tasks; without this each
         # task would write a file for each run. Large runs are split, small
@@ -481,9 +483,7 @@ def remove_orphaned_raw(wh: Warehouse, days: int = 7) -> int:
         left = wh.spark.read.schema(raw.schema).parquet(folder)
         kept = {r[0] for r in left.select("ingest_run_id").distinct().collect()}
         wh.write_runs("raw_imports", left)
-        for run in runs:
-            if run not in kept:
-                wh.remove_run(run, ["raw_imports"])
+        wh.remove_runs([run for run in runs if run not in kept], ["raw_imports"])
     finally:
         wh.remove(folder)
     return sum(r["n"] for r in counts)

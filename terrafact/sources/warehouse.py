@@ -3,8 +3,8 @@
 Facts and raw rows are partitioned by source and run: a load adds run folders,
 a rollback removes them. Dimensions and the field registry are small and
 rewritten as numbered snapshots; the newest one Spark has marked complete is
-the current one, so readers never see half a snapshot. A warehouse has one
-writer at a time.
+the current one, so readers never see half a snapshot. Beside the facts stand tables
+derived from them (``derived``). A warehouse has one writer at a time.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafact import types as S
+from terrafact.operators.runtables import RUN_DERIVED
+from terrafact.sources.derived import Derived
 
 RUN_TABLES = {"normalized_imports": S.FACT_SCHEMA, "raw_imports": S.RAW_SCHEMA}
 SNAPSHOT_TABLES = {
@@ -60,10 +62,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Warehouse:
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, id_buckets: int | None = None):
+        """``id_buckets``: buckets of the id index when it is first made; as many as shuffle
+        partitions unless given."""
         configure(spark)
         self.spark = spark
         self.path = path.rstrip("/")
+        self.derived = Derived(self, RUN_DERIVED, id_buckets)
 
     # Files
 
@@ -146,22 +151,48 @@ class Warehouse:
 
     def runs_of(self, run_id: str, table: str = "normalized_imports") -> list[str]:
         """Folders that hold a run: one per source."""
+        return [f"{self.path}/{table}/{f}" for f in self.run_folders([run_id], table)]
+
+    def run_folders(self, run_ids: Iterable[str], table: str = "normalized_imports") -> list[str]:
+        """The same for several runs, relative to the table: a listing a source."""
+        wanted = {f"ingest_run_id={r}" for r in run_ids}
         base = f"{self.path}/{table}"
-        found = [f"{base}/{s}/ingest_run_id={run_id}" for s in self.folders(base)]
-        return [p for p in found if self.exists(p)]
+        sources = [s for s in self.folders(base) if s.startswith("source_name=")]
+        return [f"{s}/{r}" for s in sources for r in self.folders(f"{base}/{s}") if r in wanted]
+
+    def facts_of(self, run_ids: Iterable[str]) -> DataFrame | None:
+        """Facts of the given runs; None when there are none."""
+        runs = list(run_ids)
+        if not self.run_folders(runs):
+            return None
+        return self.read("normalized_imports").filter(F.col("ingest_run_id").isin(runs))
 
     def remove_run(self, run_id: str, tables: Iterable[str] = tuple(RUN_TABLES)) -> None:
         """Remove what a run left in the given tables."""
+        self.remove_runs([run_id], tables)
+
+    def remove_runs(self, run_ids: Iterable[str], tables: Iterable[str] = tuple(RUN_TABLES)) -> None:
+        runs = list(run_ids)
         for table in tables:
-            for path in self.runs_of(run_id, table):
-                self.remove(path)
+            found = self.run_folders(runs, table)
+            if table == "normalized_imports" and found:
+                with self.derived.changing(runs):
+                    self._remove_folders(table, found)
+            else:
+                self._remove_folders(table, found)
+
+    def _remove_folders(self, table: str, folders: Iterable[str]) -> None:
+        for folder in folders:
+            self.remove(f"{self.path}/{table}/{folder}")
 
     def rollback_run(self, run_id: str) -> int:
         """Delete the facts of a run and return how many there were."""
-        facts = self.read("normalized_imports").filter(F.col("ingest_run_id") == F.lit(run_id))
-        deleted = facts.count()
-        self.remove_run(run_id, ["normalized_imports"])
-        return deleted
+        return self.rollback_runs([run_id])
 
     def rollback_runs(self, run_ids: Iterable[str]) -> int:
-        return sum(self.rollback_run(r) for r in run_ids)
+        """Delete the facts of several runs, counted in one job; returns how many there were."""
+        runs = list(run_ids)
+        facts = self.facts_of(runs)
+        deleted = 0 if facts is None else facts.count()
+        self.remove_runs(runs, ["normalized_imports"])
+        return deleted
