@@ -64,8 +64,21 @@ def clean_orders(spark: SparkSession, sf: str) -> DataFrame:
     return FD.clean(Q.orders_feed(spark, sf))
 
 
-def orders_load(spark: SparkSession, sf: str, source: SourceConfig = Q.ORDERS) -> FactLoad:
-    return fact_load(clean_orders(spark, sf), source, P.country_of_path(F.col(FILE)))
+def orders_load(spark: SparkSession, sf: str, source: SourceConfig = Q.ORDERS, staged: bool = False) -> FactLoad:
+    """The order feed as a load; staged where more than one of its frames is used."""
+    folder = staging(spark) if staged else None
+    return fact_load(clean_orders(spark, sf), source, P.country_of_path(F.col(FILE)), folder=folder)
+
+
+def staging(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/linked-{uuid.uuid4()}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows as a table, as dimensions are in a warehouse."""
+    folder = staging(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 ORDER_FIELDS = ("order_key", "priority", "region_name", "status", "total_price")
@@ -397,7 +410,10 @@ def uuid5_key(spark, sf):
     return clean_orders(spark, sf).select(F.col(ROW).alias("order_key"), K.uuid5(text).alias("id"))
 
 
-@query()
+@query(f"""
+SELECT order_key, {S.uuid5("'single=' || " + S.float_bits("single", 127, 23) + " || '|total_price=' || " + S.float_bits("total_price", 1023, 52))} AS id
+FROM (SELECT *, CAST(CAST(total_price AS FLOAT) AS DOUBLE) AS single FROM orders_rows)
+""")
 def float_keys(spark, sf):
     """Keys over floats of both widths, spelt by their bits."""
     rows = TR.apply_transforms(clean_orders(spark, sf), Q.ORDERS)
@@ -724,7 +740,7 @@ FROM orders_linked n LEFT JOIN orders_locations l ON l.id = n.location_id
 LEFT JOIN orders_times t ON t.id = n.time_id
 """)
 def star_view(spark, sf):
-    load = orders_load(spark, sf)
+    load = orders_load(spark, sf, staged=True)
     star = A.star_view(load.facts, load.locations, load.times)
     return flat(star, "id", "state_code", "county", "fips_code", "year", "quarter", "month")
 
@@ -852,6 +868,17 @@ def list_sources(spark, sf):
     return RD.list_sources(named_suppliers(spark, sf).drop("s_acctbal"))
 
 
+@query("SELECT s_name AS name, CAST(s_suppkey AS VARCHAR) AS description FROM supplier WHERE s_suppkey = 7")
+def find_source(spark, sf):
+    """A source by name; another name is not found."""
+    sources = named_suppliers(spark, sf).drop("s_acctbal")
+    name = sources.filter("description = '7'").first()["name"]
+    try:
+        RD.find_source(sources, f"{name} ")
+    except RD.NotFound:
+        return spark.createDataFrame([RD.find_source(sources, name)], sources.schema)
+
+
 @query("SELECT s_name AS source_name, 'feeds/' || n_name || '.csv' AS file_path FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal < 2000")
 def pending_dim_files(spark, sf):
     """(source, file) pairs without a successful dimension load in the log."""
@@ -972,6 +999,22 @@ def extract_context(spark, sf):
     )
 
 
+@query("""
+SELECT event_id, kind, CASE WHEN flag THEN 'true' WHEN NOT flag THEN 'false' END AS flag,
+       at_us IS NOT NULL AS has_time, false AS has_number
+FROM events_rows
+""")
+def extract_all_context(spark, sf):
+    """The same without naming fields: whatever each payload holds."""
+    facts = PY.extract_context(fact_load(FD.clean(Q.events_feed(spark, sf)), Q.EVENTS).facts)
+    p = PY.parsed(["kind", "flag", "at_us", "value", "event_id"], "attributes")
+    key = PY.parsed(["event_id"])["event_id"].cast("bigint").alias("event_id")
+    return facts.select(key, p.alias("p")).select(
+        "event_id", "p.kind", "p.flag", F.col("p.at_us").isNotNull().alias("has_time"),
+        F.coalesce("p.value", "p.event_id").isNotNull().alias("has_number"),
+    )
+
+
 # Aggregates
 
 
@@ -982,7 +1025,7 @@ FROM orders_tall t JOIN orders_locations l ON l.id = t.location_id
 WHERE metric_value IS NOT NULL AND l.state_code IS NOT NULL GROUP BY ALL
 """)
 def avg_by_state(spark, sf):
-    load = orders_load(spark, sf)
+    load = orders_load(spark, sf, staged=True)
     out = A.avg_by_state(PY.to_observations(load.facts, ORDER_FIELDS), load.locations)
     return out.withColumn("avg_value", F.round("avg_value", 6))
 
@@ -994,7 +1037,7 @@ SELECT metric_name, round(min(a), 6) AS min_value, round(max(a), 6) AS max_value
   WHERE metric_value IS NOT NULL GROUP BY ALL) GROUP BY metric_name
 """)
 def value_domain(spark, sf):
-    load = orders_load(spark, sf)
+    load = orders_load(spark, sf, staged=True)
     out = A.value_domain(A.avg_by_state(PY.to_observations(load.facts, ORDER_FIELDS), load.locations))
     return out.select(
         "metric_name", F.round("min_value", 6).alias("min_value"), F.round("max_value", 6).alias("max_value")
@@ -1008,7 +1051,7 @@ FROM orders_tall o JOIN orders_times t ON t.id = o.time_id
 WHERE metric_value IS NOT NULL GROUP BY ALL
 """)
 def avg_by_period(spark, sf):
-    load = orders_load(spark, sf)
+    load = orders_load(spark, sf, staged=True)
     out = A.avg_by_period(PY.to_observations(load.facts), load.times)
     return out.select(
         "time_id", "metric_name", F.round("avg_value", 6).alias("avg_value"), "n", "year", "quarter",
@@ -1023,7 +1066,7 @@ LEFT JOIN orders_times t ON t.id = n.time_id GROUP BY ALL
 """)
 def avg_order_by_quarter_and_place(spark, sf):
     """Average order value by quarter and place, end to end from the text feed."""
-    load = orders_load(spark, sf)
+    load = orders_load(spark, sf, staged=True)
     star = A.star_view(load.facts, load.locations, load.times)
     value = PY.parsed(["total_price"])["total_price"].cast("double")
     out = A.avg_by(star.withColumn("v", value), ["county", "year", "quarter"], F.col("v"))
@@ -1067,7 +1110,7 @@ def run_summary(spark, sf):
 
 
 def export_of(spark, sf, feed: DataFrame, source: SourceConfig) -> DataFrame:
-    load = fact_load(FD.clean(feed), source, P.country_of_path(F.col(FILE)))
+    load = fact_load(FD.clean(feed), source, P.country_of_path(F.col(FILE)), folder=staging(spark))
     facts = load.facts.withColumn("ingest_run_id", F.lit("run"))
     return EX.export_frame(facts, load.locations, load.times, source.schema)
 
@@ -1108,7 +1151,7 @@ def export_frame(spark, sf):
     return EX.read_export(spark, path, df.schema).select(*df.columns)
 
 
-def raw_and_facts(spark, sf) -> tuple[DataFrame, DataFrame]:
+def raw_and_facts(spark, sf, load: FactLoad | None = None) -> tuple[DataFrame, DataFrame]:
     """Raw rows of the order feed, dated by their order, and the facts that came of them."""
     feed = clean_orders(spark, sf)
     raw = FA.raw_rows(feed).select(
@@ -1118,7 +1161,7 @@ def raw_and_facts(spark, sf) -> tuple[DataFrame, DataFrame]:
         "raw_data",
         F.to_timestamp(F.get_json_object("raw_data", "$.year")).alias("imported_at"),
     )
-    facts = orders_load(spark, sf).facts.withColumns(
+    facts = (load or orders_load(spark, sf)).facts.withColumns(
         {"ingest_run_id": F.lit("run"), "raw_import_id": F.col(ROW)}
     )
     return raw, facts
@@ -1156,8 +1199,8 @@ UNION ALL SELECT 'impossible_period', 0
     .replace("(SELECT count(*) FROM lost)", "(SELECT count(*) FROM orders_linked WHERE CAST(fips_code AS INTEGER) % 2 = 1)"))
 def check_integrity(spark, sf):
     """Violations in a star with missing parents and repeated keys."""
-    raw, facts = raw_and_facts(spark, sf)
-    load = orders_load(spark, sf)
+    load = orders_load(spark, sf, staged=True)
+    raw, facts = raw_and_facts(spark, sf, load)
     columns = ["id", "raw_import_id", "ingest_run_id", "location_id", "time_id"]
     none = F.lit(None).cast("string")
     lines = fact_load(FD.clean(Q.lines_feed(spark, sf)), Q.LINES).facts.select(
@@ -1169,8 +1212,8 @@ def check_integrity(spark, sf):
     )
     return A.check_integrity(
         facts.select(*columns).unionByName(lines),
-        load.locations.filter(F.col("fips_code").cast("int") % 2 == 0),
-        load.times.filter("year >= 1997"),
+        written(load.locations).filter(F.col("fips_code").cast("int") % 2 == 0),
+        written(load.times).filter("year >= 1997"),
         raw.filter(F.col("source_file").contains("USA")),
     )
 
@@ -1243,6 +1286,32 @@ def run_all_job(spark, sf):
     return facts.join(failed, "source_name").select("source_name", "facts", "given_up")
 
 
+@query("""
+SELECT 'orders' AS source_name, id, time_id, order_key, total_price, NULL :: BIGINT AS supplier_key, NULL :: DOUBLE AS acct_balance
+FROM orders_linked
+UNION ALL SELECT 'suppliers', supplier_id, time_id, NULL, NULL, supplier_key, acct_balance FROM suppliers_by_key
+""")
+def run_all_facts(spark, sf):
+    """The facts of two sources loaded together, a missing file among them."""
+    wh = new_warehouse(spark)
+    orders = write_csv(Q.orders_feed(spark, sf), f"{wh.path}/orders")
+    suppliers = write_csv(Q.suppliers_feed(spark, sf), f"{wh.path}/suppliers")
+    sources = [
+        changed(Q.ORDERS, files=(*orders, f"{wh.path}/missing.csv")),
+        changed(Q.SUPPLIERS, unique_key=("supplier_key",), files=tuple(suppliers)),
+    ]
+    try:
+        J.run_all(wh, sources)
+    except J.LoadFailed:
+        pass
+    p = PY.parsed(["order_key", "total_price", "supplier_key", "acct_balance"])
+    return wh.read("normalized_imports").select("source_name", "id", "time_id", p.alias("p")).select(
+        "source_name", "id", "time_id", F.col("p.order_key").cast("bigint").alias("order_key"),
+        F.col("p.total_price").cast("double").alias("total_price"), F.col("p.supplier_key").cast("bigint").alias("supplier_key"),
+        F.col("p.acct_balance").cast("double").alias("acct_balance"),
+    )
+
+
 @query("""
 SELECT 'facts' AS what, 0 AS n UNION ALL SELECT 'places', 0 UNION ALL SELECT 'given up', 1
 UNION ALL SELECT 'raw_rows', count(*) FROM orders_rows
@@ -1275,6 +1344,31 @@ def stream_load_job(spark, sf):
     return flat(wh.read("normalized_imports"), "id", "time_id")
 
 
+def write_by_country(spark, sf, folder: str) -> list[str]:
+    """The order feed as CSV files below folders that tell the country, or none, as the feed's own paths do."""
+    feed, usa = Q.orders_feed(spark, sf), F.col(FILE).contains("/USA/")
+    return write_csv(feed.filter(usa), f"{folder}/usa") + write_csv(feed.filter(~usa), f"{folder}/usable")
+
+
+@query(f"SELECT id, {PAYLOAD_SQL}, location_id, time_id FROM orders_linked")
+def csv_load_links(spark, sf):
+    """CSV files of two folders loaded as one job, with both links of every fact."""
+    wh = new_warehouse(spark)
+    files = write_by_country(spark, sf, f"{wh.path}/files")
+    J.run_source(wh, changed(Q.ORDERS, files=tuple(files)))
+    return flat(wh.read("normalized_imports"), "id", "location_id", "time_id")
+
+
+@query(f"SELECT id, {PAYLOAD_SQL}, location_id, time_id FROM orders_linked")
+def stream_load_links(spark, sf):
+    """The same files as they arrive, with both links of every fact."""
+    wh = new_warehouse(spark)
+    write_by_country(spark, sf, f"{wh.path}/files")
+    header = FD.feed_columns(Q.orders_feed(spark, sf))
+    stream_ingest(wh, Q.ORDERS, f"{wh.path}/files/*", header, f"{wh.path}/progress").awaitTermination()
+    return flat(wh.read("normalized_imports"), "id", "location_id", "time_id")
+
+
 @query(f"SELECT id, {PAYLOAD_SQL} FROM orders_linked")
 def replay_job(spark, sf):
     """Facts made again from the audit rows."""
@@ -1448,6 +1542,20 @@ def dimension_log(spark, sf):
     return wh.read("dim_file_log").select("source_name", "target", "row_count")
 
 
+@query("""
+SELECT id, county, country, fips_code, state_code, NULL :: SMALLINT AS year, NULL :: SMALLINT AS quarter,
+       NULL :: SMALLINT AS month, NULL :: SMALLINT AS day, NULL :: DATE AS date_floor FROM orders_locations
+UNION ALL SELECT id, NULL, NULL, NULL, NULL, year, quarter, month, day, date_floor FROM orders_times
+""")
+def export_dimension_rows(spark, sf):
+    """The rows of both dimensions as they are read back from the export."""
+    wh = loaded(spark, sf)
+    out = J.export_dims(wh, f"{wh.path}/exports")
+    places = spark.read.parquet(out["dim_location"]).select("id", "county", "country", "fips_code", "state_code")
+    times = spark.read.parquet(out["dim_time"]).select("id", "year", "quarter", "month", "day", "date_floor")
+    return places.unionByName(times, allowMissingColumns=True)
+
+
 @query("""
 SELECT 'dim_location' AS dimension, count(*) AS rows FROM orders_locations
 UNION ALL SELECT 'dim_time', count(*) FROM orders_times

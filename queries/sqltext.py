@@ -37,6 +37,14 @@ def number(c: str, sql_type: str = "DOUBLE") -> str:
     return f"CASE WHEN regexp_matches({c}, '{DECIMAL}') THEN try_cast({c} AS {sql_type}) END"
 
 
+def float_bits(c: str, bias: int, digits: int) -> str:
+    """IEEE bits of a positive number: its exponent, put right where the logarithm is rounded, and its digits."""
+    e = f"floor(log2({c}))"
+    e = f"({e} + CASE WHEN {c} < pow(2.0, {e}) THEN -1 WHEN {c} >= pow(2.0, {e} + 1) THEN 1 ELSE 0 END)"
+    bits = f"CAST({e} + {bias} AS HUGEINT) * {2**digits} + CAST(({c} / pow(2.0, {e}) - 1) * {2**digits} AS HUGEINT)"
+    return f"coalesce(CAST({bits} AS VARCHAR), '')"
+
+
 def clean(c: str) -> str:
     return f"nullif(trim({c}, E' \\t'), '')"
 
@@ -227,6 +235,8 @@ FROM (SELECT lpad(CAST(s_nationkey AS VARCHAR), 5, '0') AS fips_code, n_name AS
 SELECT *, {uuid5("'location_id=' || location_id || '|time_id=' || time_id")} AS id,
        row_number() OVER (PARTITION BY location_id, time_id ORDER BY supplier_key) AS rn
 FROM suppliers_linked""",
+    "suppliers_by_key": f"""
+SELECT *, {uuid5("'supplier_key=' || CAST(supplier_key AS VARCHAR)")} AS supplier_id FROM suppliers_linked""",
     "orders_tall": """
 SELECT id, location_id, time_id, 'orders' AS source_name, unnest(['order_key', 'priority',
        'region_name', 'status', 'total_price']) AS metric_name,

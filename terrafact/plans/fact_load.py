@@ -56,17 +56,23 @@ def fact_load(
     time: DataFrame | None = None,
     schema: dict[str, str] | None = None,
     stale: str = "reject",
+    folder: str | None = None,
 ) -> FactLoad:
     """Plan a load of a cleaned feed into the given dimensions.
 
     Dimension rows come from every kept row, also from those a look-up drops
-    afterwards, and look-ups see the dimensions as merged with them.
+    afterwards, and look-ups see the dimensions as merged with them. With a
+    folder the linked rows are written there first, so that all that is made
+    of them reads the columns it needs instead of the feed again.
     """
     source.validate()
     kinds = field_kinds(source.by_canonical)
     rows = TR.kept_rows(TR.apply_transforms(feed, source))
     rows = TR.check_complete(rows, schema or source.schema, source.derived_names, stale)
     linked = link(rows, source, default_country)
+    if folder is not None:
+        linked.write.parquet(folder)
+        linked = linked.sparkSession.read.schema(linked.schema).parquet(folder)
     locations = D.location_rows(linked, kinds)
     times = D.time_rows(linked, kinds)
     merged_location = D.upsert_location(locations, location) if location is not None else locations
