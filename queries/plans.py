@@ -1508,6 +1508,16 @@ def stored_overview(spark, sf):
     return A.stored_overview(kept(spark, sf, "metric_partials").derived.read("metric_partials"))
 
 
+@query("""
+SELECT count(*) AS observations, count(DISTINCT source_name) AS sources,
+       count(DISTINCT location_id) AS locations, count(DISTINCT metric_name) AS metrics
+FROM orders_tall
+""")
+def bitmap_overview(spark, sf):
+    """The overview from bitmaps of numbered keys, which each run left."""
+    return A.bitmap_overview(kept(spark, sf, "key_bitmaps").derived.read("key_bitmaps"))
+
+
 @query("""
 SELECT metric_name, min(metric_value) AS least, max(metric_value) AS most, count(*) AS n
 FROM orders_tall WHERE metric_value IS NOT NULL GROUP BY metric_name

@@ -121,6 +121,22 @@ def stored_overview(partials: DataFrame) -> DataFrame:
     )
 
 
+def bitmap_overview(bitmaps: DataFrame) -> DataFrame:
+    """The overview from sets of numbered keys: sets of runs are united, bits counted. No
+    key is looked at, and the work is one row for each run, axis and 32,768 keys."""
+    united = bitmaps.groupBy("axis", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"), F.sum("n").alias("n"))
+
+    def counted(axis: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("axis") == axis, F.bitmap_count("bits"))), F.lit(0))
+
+    return united.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("observations"),
+        counted("source_name").alias("sources"),
+        counted("location_id").alias("locations"),
+        counted("metric_name").alias("metrics"),
+    )
+
+
 def metric_ranges(partials: DataFrame) -> DataFrame:
     """Lowest and highest single value, and count, of each metric."""
     rows = partials.filter((F.col("axis") == "location_id") & (F.col("n") > 0))

@@ -25,7 +25,7 @@ TINY = 1e-9
 
 
 def _schema(columns: str) -> T.StructType:
-    kinds = {"string": T.StringType(), "bigint": T.LongType(), "double": T.DoubleType(), "variant": T.VariantType()}
+    kinds = {"string": T.StringType(), "bigint": T.LongType(), "double": T.DoubleType(), "binary": T.BinaryType(), "variant": T.VariantType()}
     return T.StructType([T.StructField(n, kinds[k]) for n, k in (c.split() for c in columns.split(","))])
 
 
@@ -175,6 +175,42 @@ def metric_partials(fact: DataFrame) -> DataFrame:
     )
 
 
+# --- distinct counts ----------------------------------------------------------------------
+
+
+def _combos(fact: DataFrame) -> DataFrame:
+    """How many observations each run has of each place and metric."""
+    names = F.explode(F.json_object_keys(PAYLOAD)).alias("metric_name")
+    tall = fact.select(*RUN, "location_id", names)
+    return tall.groupBy(*RUN, "location_id", "metric_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+_AXES = {"source_name": "source_name", "location_id": "location_id", "metric_name": "metric_name"}
+
+
+def _axis_keys(combos: DataFrame, *columns: str) -> DataFrame:
+    pairs = F.array(*[F.struct(F.lit(a).alias("axis"), F.col(c).alias("key")) for a, c in _AXES.items()])
+    return combos.select(*columns, F.inline(pairs).alias("axis", "key")).filter(F.col("key").isNotNull())
+
+
+def counted_keys(fact: DataFrame) -> DataFrame:
+    """The sources, places and metrics of facts, to be numbered."""
+    return _axis_keys(_combos(fact))
+
+
+def key_bitmaps(fact: DataFrame, numbers: DataFrame) -> DataFrame:
+    """For each run and axis (source, place, metric) the set of its keys as bitmaps over their numbers,
+    32,768 a row; and on the axis ``rows`` how many observations there are."""
+    combos = _combos(fact)
+    keyed = _axis_keys(combos, *RUN).join(numbers, ["axis", "key"])
+    sets = keyed.groupBy(*RUN, "axis", F.bitmap_bucket_number("number").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits")
+    )
+    rows = combos.groupBy(*RUN).agg(F.sum("n").alias("n"))
+    rows = rows.select(*RUN, F.lit("rows").alias("axis"), F.lit(None).cast("bigint").alias("bucket"), F.lit(None).cast("binary").alias("bits"), "n")
+    return sets.withColumn("n", F.lit(None).cast("bigint")).unionByName(rows)
+
+
 RUN_DERIVED = {
     t.name: t
     for t in (
@@ -186,5 +222,6 @@ RUN_DERIVED = {
             metric_partials,
             ("axis", "metric_name"),
         ),
+        RunTable("key_bitmaps", _schema("axis string, bucket bigint, bits binary, n bigint" + _RUN_COLUMNS), key_bitmaps, ("axis",), counted_keys),
     )
 }

@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -181,11 +181,26 @@ def bucket_of(column: str, buckets: int):
     return F.pmod(F.hash(column), F.lit(buckets))
 
 
+NUMBER_SCHEMA = T.StructType(
+    [T.StructField("axis", T.StringType()), T.StructField("key", T.StringType()), T.StructField("number", T.LongType())]
+)
+# Numbers are given out in so many sequences, interleaved, so that no task sees all new keys.
+SEQUENCES = 64
+
+
 class RunTable:
-    """What ``build`` makes of facts, in a folder for each run."""
+    """What ``build`` makes of facts, in a folder for each run. With ``keys``, which names the
+    (axis, key) pairs of facts, ``build`` is also given a number for each of them."""
 
-    def __init__(self, name: str, schema: T.StructType, build: Callable[[DataFrame], DataFrame], sort: tuple[str, ...] = ()):
-        self.name, self.schema, self.build, self.sort = name, schema, build, sort
+    def __init__(
+        self,
+        name: str,
+        schema: T.StructType,
+        build: Callable[..., DataFrame],
+        sort: tuple[str, ...] = (),
+        keys: Callable[[DataFrame], DataFrame] | None = None,
+    ):
+        self.name, self.schema, self.build, self.sort, self.keys = name, schema, build, sort, keys
 
 
 class Derived:
@@ -213,8 +228,30 @@ class Derived:
             raise LookupError(f"{name} is not kept here: create it first")
         return self.wh.spark.read.schema(self.tables[name].schema).parquet(path)
 
+    def numbers(self) -> DataFrame:
+        """The number of every key that was met so far; a key keeps its number for good."""
+        path = f"{self.wh.path}/key_numbers"
+        if not self.wh.exists(path):
+            return self.wh.spark.createDataFrame([], NUMBER_SCHEMA)
+        return self.wh.spark.read.schema(NUMBER_SCHEMA).parquet(path)
+
+    def _number(self, keys: DataFrame) -> DataFrame:
+        """Numbers for keys that have none yet, then all numbers. Numbers are nearly dense: each sequence
+        counts on where it ended, and a hash deals keys to sequences evenly."""
+        known = self.numbers()
+        sequence = F.pmod(F.xxhash64("axis", "key"), F.lit(SEQUENCES))
+        last = known.groupBy("axis", sequence.alias("_s")).agg(F.max(F.floor(F.col("number") / SEQUENCES)).alias("_last"))
+        new = keys.distinct().join(known, ["axis", "key"], "left_anti").withColumn("_s", sequence)
+        place = F.row_number().over(Window.partitionBy("axis", "_s").orderBy("key"))
+        after = F.coalesce(F.col("_last") + 1, F.lit(0)) + F.col("_n") - 1
+        given = new.withColumn("_n", place).join(last, ["axis", "_s"], "left")
+        rows = given.select("axis", "key", (after * SEQUENCES + F.col("_s")).cast("bigint").alias("number"))
+        rows.write.mode("append").parquet(f"{self.wh.path}/key_numbers")
+        return self.numbers()
+
     def _write(self, table: RunTable, facts: DataFrame) -> None:
-        rows = table.build(facts).select(*table.schema.names).hint("rebalance", F.col("source_name"), F.col("ingest_run_id"))
+        more = (self._number(table.keys(facts)),) if table.keys else ()
+        rows = table.build(facts, *more).select(*table.schema.names).hint("rebalance", F.col("source_name"), F.col("ingest_run_id"))
         if table.sort:
             rows = rows.sortWithinPartitions("source_name", "ingest_run_id", *table.sort)
         writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
