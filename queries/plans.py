@@ -1377,6 +1377,24 @@ def replay_job(spark, sf):
     return flat(wh.read("normalized_imports"), "id")
 
 
+@query("""
+SELECT id, order_key, priority, region_name, status, NULL :: DOUBLE AS total_price, 'run-1' AS ingest_run_id
+FROM orders_linked
+""")
+def replay_changed(spark, sf):
+    """Facts made again under the same definition, which writes nothing, then under one whose totals are whole
+    numbers, which none of them is."""
+    wh = loaded(spark, sf)
+    wh.derived.create("fact_digests")
+    before = wh.read("normalized_imports").inputFiles()
+    J.replay(wh, Q.ORDERS)
+    if sorted(wh.read("normalized_imports").inputFiles()) != sorted(before):
+        raise AssertionError("facts that did not change were written again")
+    whole = tuple(FieldDef("Total", "total_price", "integer") if f.canonical == "total_price" else f for f in Q.ORDERS.fields)
+    J.replay(wh, changed(Q.ORDERS, fields=whole))
+    return flat(wh.read("normalized_imports"), "id", "ingest_run_id")
+
+
 @query(f"SELECT id, {PAYLOAD_SQL} FROM orders_linked WHERE year < 1998")
 def rollback_run(spark, sf):
     """Two runs loaded, the second rolled back."""

@@ -211,6 +211,22 @@ def key_bitmaps(fact: DataFrame, numbers: DataFrame) -> DataFrame:
     return sets.withColumn("n", F.lit(None).cast("bigint")).unionByName(rows)
 
 
+# --- contents -----------------------------------------------------------------------------
+
+CONTENT = ("id", "raw_import_id", "location_id", "time_id", PAYLOAD, "source_name")
+
+
+def fact_digests(fact: DataFrame) -> DataFrame:
+    """For each run how many facts it has, and sum and parity of the hashes of what they say. Order and
+    files do not matter, nor when a fact was written."""
+    hashed = fact.select(*RUN, F.xxhash64(*CONTENT).alias("_h"))
+    return hashed.groupBy(*RUN).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("_h").cast("decimal(38,0)")).cast("string").alias("total"),
+        F.bit_xor("_h").alias("parity"),
+    )
+
+
 RUN_DERIVED = {
     t.name: t
     for t in (
@@ -223,5 +239,6 @@ RUN_DERIVED = {
             ("axis", "metric_name"),
         ),
         RunTable("key_bitmaps", _schema("axis string, bucket bigint, bits binary, n bigint" + _RUN_COLUMNS), key_bitmaps, ("axis",), counted_keys),
+        RunTable("fact_digests", _schema("n bigint, total string, parity bigint" + _RUN_COLUMNS), fact_digests),
     )
 }

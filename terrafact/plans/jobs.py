@@ -21,6 +21,7 @@ from terrafact.operators import registry as R
 from terrafact.operators import transform as TR
 from terrafact.operators.analytics import orphaned_raw
 from terrafact.operators.keep import first_per_key, last_per_key
+from terrafact.operators.runtables import fact_digests
 from terrafact.plans import fact_load as PL
 from terrafact.plans.export import export_frame, write_export
 from terrafact.sources import feeds as FD
@@ -140,7 +141,8 @@ def ingest_feed(
     table that every later step reads the columns it needs from. The log of
     runs is written last: a load that breaks off leaves no facts and no raw
     rows of its own, and its files are still to be loaded. With ``audit=False``
-    the runs are there already; what they hold stays until it is replaced.
+    the runs are there already; what they hold stays until it is replaced, and a run
+    whose facts come out as they are is left alone.
     """
     source.validate()
     source.validate_columns(FD.feed_columns(feed))
@@ -177,10 +179,8 @@ def ingest_feed(
             before = wh.read("dim_location"), wh.read("dim_time")
             _merge_dimensions(wh, good, kinds, merge, f"{folder}-dims")
             extra = tuple(TR.unmapped_columns(cleaned, source))
-            with wh.derived.changing(runs):
-                _publish_facts(wh, source, good, schema, extra, runs, merge, before)
-                if not audit:
-                    _remove_stale(wh, source, [r for r in runs if r not in bad], started)
+            again = None if audit else (f"{folder}-facts", [r for r in runs if r not in bad], started)
+            _publish_facts(wh, source, good, schema, extra, runs, merge, before, again)
         reports = _with_inserted(wh, outcome)
         done = [(r.source_file, r.ingest_run_id, "given up" if r.error else "loaded") for r in reports]
         if done:
@@ -192,6 +192,7 @@ def ingest_feed(
     finally:
         wh.remove(folder)
         wh.remove(f"{folder}-dims")
+        wh.remove(f"{folder}-facts")
     for r in reports:
         log.info("%s", r)
     if any(r.error for r in reports):
@@ -229,6 +230,8 @@ def _outcome(stage: DataFrame, source: SourceConfig) -> list[RunReport]:
 
 
 def _write_raw(wh: Warehouse, source: SourceConfig, stage: DataFrame) -> None:
+    # Files of one load are a microsecond apart, in list order, which a replay follows.
+    at = F.timestamp_micros(F.unix_micros(F.current_timestamp()) + F.col(POSITION))
     wh.write_runs(
         "raw_imports",
         stage.filter(~F.col(MALFORMED)).select(
@@ -236,13 +239,29 @@ def _write_raw(wh: Warehouse, source: SourceConfig, stage: DataFrame) -> None:
             F.lit(None).cast("bigint").alias("source_id"),
             F.col(FILE).alias("source_file"),
             F.col(RAW).alias("raw_data"),
-            F.current_timestamp().alias("imported_at"),
+            at.alias("imported_at"),
             F.lit(source.name).alias("source_name"),
             F.col(RUN).alias("ingest_run_id"),
         ),
     )
 
 
+def _changed(wh: Warehouse, facts: DataFrame, runs: list[str]) -> list[str]:
+    """Those of the runs whose facts are to be others than they are, or none any more. Where digests are
+    kept, nothing of the stored facts is read for that."""
+    stored = wh.facts_of(runs)
+    if stored is None:
+        return runs
+    kept = any(t.name == "fact_digests" for t in wh.derived.kept())
+    now = wh.derived.read("fact_digests").filter(F.col("ingest_run_id").isin(runs)) if kept else fact_digests(stored)
+    parts = ["source_name", "ingest_run_id", "n", "total", "parity"]
+    same = fact_digests(facts).select(*parts).join(now.select(*parts), parts, "left_semi")
+    gone = now.select("ingest_run_id").distinct()
+    equal = {r[0] for r in same.select("ingest_run_id").collect()}  # runs of this replay
+    new = {r[0] for r in facts.select("ingest_run_id").distinct().unionByName(gone).distinct().collect()}
+    return [r for r in runs if r in new and r not in equal]
+
+
 def _remove_stale(wh: Warehouse, source: SourceConfig, runs: list[str], started) -> None:
     """Facts of replayed runs that the replay did not write again."""
     facts = wh.read("normalized_imports").filter(
@@ -284,7 +303,35 @@ def _publish_facts(
     runs: list[str],
     merge: str,
     before: tuple[DataFrame, DataFrame],
+    again: tuple[str, list[str], object] | None,
 ) -> None:
+    """Write the facts of new runs; of runs made again, those that differ. ``again`` names a folder for
+    what they come out as, the runs that may change, and when the replay began."""
+    wh.derived.recover()
+    facts = _plan_facts(wh, source, good, schema, extra, runs, merge, before)
+    if again is None:
+        with wh.derived.changing(runs):
+            _write_facts(wh, facts, runs)
+        return
+    folder, mine, started = again
+    facts.write.parquet(folder)
+    facts = wh.spark.read.schema(facts.schema).parquet(folder)
+    todo = _changed(wh, facts, mine)
+    with wh.derived.changing(todo):
+        _write_facts(wh, facts.filter(F.col("ingest_run_id").isin(todo)), todo)
+        _remove_stale(wh, source, todo, started)
+
+
+def _plan_facts(
+    wh: Warehouse,
+    source: SourceConfig,
+    good: DataFrame,
+    schema: dict[str, str],
+    extra: tuple[str, ...],
+    runs: list[str],
+    merge: str,
+    before: tuple[DataFrame, DataFrame],
+) -> DataFrame:
     # A file's look-ups see the dimensions as of that file, whatever is loaded with it.
     kinds = field_kinds(source.by_canonical)
     places = D.location_versions(good, kinds, before[0], merge)
@@ -302,6 +349,10 @@ def _publish_facts(
         # from the staging table: look-ups may drop some of them, which changes nothing.
         stored = wh.derived.ids.conflicts(good, but=runs)
         facts = first_per_key(facts, "id", ROW).join(stored, "id", "left_anti")
+    return facts.drop(ROW)
+
+
+def _write_facts(wh: Warehouse, facts: DataFrame, runs: list[str]) -> None:
     if len(runs) > 1:
         # The de-duplication spread every run over all tasks; without this each
         # task would write a file for each run. Large runs are split, small
