@@ -9,7 +9,7 @@ from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from terrafact.config import ConfigError, SourceConfig
@@ -34,6 +34,9 @@ log = logging.getLogger("terrafact")
 # Results do not depend on it.
 FILES_PER_JOB = 10_000
 LOOK_THREADS = 8
+# Up to so many files are counted while their rows are written, a few figures each; more are
+# counted by a scan of the staging table.
+OBSERVED_FILES = 32
 MISSING = "no such file"
 
 
@@ -115,12 +118,14 @@ def ingest_files(
     if not paths:
         raise LoadFailed(missing)
     feed = FD.read_csv(wh.spark, paths, lenient=True, multi_line=source.multi_line)
-    files = _file_list(wh, paths, [str(uuid.uuid4()) for _ in paths])
+    runs = [str(uuid.uuid4()) for _ in paths]
+    files = _file_list(wh, paths, runs)
+    options = {"merge": merge, "stale": stale, "files": list(zip(paths, runs))}
     feed = feed.join(files, FILE).withColumn(FILE, F.col("_path")).drop("_path")
     if not missing:
-        return ingest_feed(wh, source, feed, merge=merge, stale=stale)
+        return ingest_feed(wh, source, feed, **options)
     try:
-        reports = ingest_feed(wh, source, feed, merge=merge, stale=stale)
+        reports = ingest_feed(wh, source, feed, **options)
     except LoadFailed as e:
         reports = e.reports
     raise LoadFailed(reports + missing)
@@ -134,6 +139,7 @@ def ingest_feed(
     merge: str = "replace",
     stale: str = "reject",
     audit: bool = True,
+    files: Sequence[tuple[str, str]] | None = None,
 ) -> list[RunReport]:
     """Load a feed whose rows carry ``_file``, ``_run``, ``_position`` and ``_row``.
 
@@ -142,7 +148,8 @@ def ingest_feed(
     runs is written last: a load that breaks off leaves no facts and no raw
     rows of its own, and its files are still to be loaded. With ``audit=False``
     the runs are there already; what they hold stays until it is replaced, and a run
-    whose facts come out as they are is left alone.
+    whose facts come out as they are is left alone. ``files`` names file and run of each position
+    where they are known beforehand: rows are then counted as they are written.
     """
     source.validate()
     source.validate_columns(FD.feed_columns(feed))
@@ -163,11 +170,12 @@ def ingest_feed(
 
     folder = wh.staging()
     runs: list[str] = []
+    inserted: dict[str, int] | None = None
     started = wh.spark.range(1).select(F.current_timestamp()).first()[0]
     try:
-        linked.write.parquet(folder)
+        counts = _write_counted(linked, folder, len(files or ()))
         stage = wh.spark.read.schema(linked.schema).parquet(folder)
-        outcome = _outcome(stage, source)
+        outcome = _outcome(stage, source) if counts is None else _observed_outcome(counts, files, source)
         runs = [r.ingest_run_id for r in outcome]
         if audit:
             _write_raw(wh, source, stage)
@@ -180,8 +188,8 @@ def ingest_feed(
             _merge_dimensions(wh, good, kinds, merge, f"{folder}-dims")
             extra = tuple(TR.unmapped_columns(cleaned, source))
             again = None if audit else (f"{folder}-facts", [r for r in runs if r not in bad], started)
-            _publish_facts(wh, source, good, schema, extra, runs, merge, before, again)
-        reports = _with_inserted(wh, outcome)
+            inserted = _publish_facts(wh, source, good, schema, extra, runs, merge, before, again)
+        reports = _with_inserted(wh, outcome, inserted)
         done = [(r.source_file, r.ingest_run_id, "given up" if r.error else "loaded") for r in reports]
         if done:
             wh.append_log("run_log", R.run_log_rows(wh.spark, source.name, done))
@@ -200,6 +208,34 @@ def ingest_feed(
     return reports
 
 
+def _write_counted(linked: DataFrame, folder: str, files: int) -> dict | None:
+    """Write the staging table and count what becomes of each file's rows on the way."""
+    if not 0 < files <= OBSERVED_FILES:
+        linked.write.parquet(folder)
+        return None
+    figures: list[Column] = []
+    for i in range(files):
+        here, gave_up = F.col(POSITION) == i, F.col(TR.LEVEL) == 2
+        figures += [
+            F.count_if(here).alias(f"rows{i}"),
+            F.count_if(here & (F.col(TR.LEVEL) == 1)).alias(f"skipped{i}"),
+            F.min_by(F.struct(TR.BLAME, ROW), F.when(here & gave_up, F.col(ROW))).alias(f"first{i}"),
+        ]
+    seen = Observation()
+    linked.observe(seen, *figures).write.parquet(folder)
+    return seen.get or None  # nothing where Spark saw that there are no rows
+
+
+def _observed_outcome(counts: dict, files: Sequence[tuple[str, str]], source: SourceConfig) -> list[RunReport]:
+    """What ``_outcome`` finds by a scan, from figures of the write."""
+    out = []
+    for i, (path, run) in enumerate(files):
+        first = counts[f"first{i}"]
+        error = f"{first[0]} at row {first[1]}" if first is not None else None
+        out.append(RunReport(source.name, path, run, counts[f"rows{i}"], counts[f"skipped{i}"], 0, error))
+    return sorted((r for r in out if r.rows), key=lambda r: r.source_file)
+
+
 def _outcome(stage: DataFrame, source: SourceConfig) -> list[RunReport]:
     """Rows, skipped rows and reason to give up, per run. As long as the file list."""
     gave_up = F.col(TR.LEVEL) == 2
@@ -304,15 +340,15 @@ def _publish_facts(
     merge: str,
     before: tuple[DataFrame, DataFrame],
     again: tuple[str, list[str], object] | None,
-) -> None:
+) -> dict[str, int] | None:
     """Write the facts of new runs; of runs made again, those that differ. ``again`` names a folder for
-    what they come out as, the runs that may change, and when the replay began."""
+    what they come out as, the runs that may change, and when the replay began. Returns how many
+    facts each new run has, where they were counted."""
     wh.derived.recover()
     facts = _plan_facts(wh, source, good, schema, extra, runs, merge, before)
     if again is None:
         with wh.derived.changing(runs):
-            _write_facts(wh, facts, runs)
-        return
+            return _write_facts(wh, facts, runs)
     folder, mine, started = again
     facts.write.parquet(folder)
     facts = wh.spark.read.schema(facts.schema).parquet(folder)
@@ -320,6 +356,7 @@ def _publish_facts(
     with wh.derived.changing(todo):
         _write_facts(wh, facts.filter(F.col("ingest_run_id").isin(todo)), todo)
         _remove_stale(wh, source, todo, started)
+    return None
 
 
 def _plan_facts(
@@ -352,19 +389,27 @@ def _plan_facts(
     return facts.drop(ROW)
 
 
-def _write_facts(wh: Warehouse, facts: DataFrame, runs: list[str]) -> None:
+def _write_facts(wh: Warehouse, facts: DataFrame, runs: list[str]) -> dict[str, int] | None:
     if len(runs) > 1:
         # The de-duplication spread every run over all tasks; without this each
         # task would write a file for each run. Large runs are split, small
         # ones merged.
         facts = facts.hint("rebalance", F.col("ingest_run_id"))
-    wh.write_runs("normalized_imports", facts.withColumn("inserted_at", F.current_timestamp()))
-
-
-def _with_inserted(wh: Warehouse, outcome: list[RunReport]) -> list[RunReport]:
-    runs = [r.ingest_run_id for r in outcome]
-    facts = wh.read("normalized_imports").filter(F.col("ingest_run_id").isin(runs))
-    counts = dict(facts.groupBy("ingest_run_id").count().collect())
+    facts = facts.withColumn("inserted_at", F.current_timestamp())
+    if not 0 < len(runs) <= OBSERVED_FILES:
+        wh.write_runs("normalized_imports", facts)
+        return None
+    seen = Observation()
+    figures = [F.count_if(F.col("ingest_run_id") == F.lit(r)).alias(f"n{i}") for i, r in enumerate(runs)]
+    wh.write_runs("normalized_imports", facts.observe(seen, *figures))
+    counts = seen.get
+    return {r: counts[f"n{i}"] for i, r in enumerate(runs)} if counts else None
+
+
+def _with_inserted(wh: Warehouse, outcome: list[RunReport], counts: dict[str, int] | None) -> list[RunReport]:
+    if counts is None:
+        facts = wh.facts_of([r.ingest_run_id for r in outcome])
+        counts = dict(facts.groupBy("ingest_run_id").count().collect()) if facts is not None else {}
     out = []
     for r in outcome:
         inserted = 0 if r.error else counts.get(r.ingest_run_id, 0)

@@ -71,7 +71,8 @@ def stream_ingest(
         feed = FD.read_csv(spark, [r["source_file"] for r in good], lenient=True, multi_line=source.multi_line)
         feed = feed.join(listed.withColumnRenamed("source_file", FILE), FILE)
         try:
-            ingest_feed(wh, source, feed)
+            runs = [(r["source_file"], r[RUN]) for r in good]
+            ingest_feed(wh, source, feed, files=runs if len(good) == len(files) else None)
         except LoadFailed:
             pass
 
