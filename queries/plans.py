@@ -1526,6 +1526,15 @@ def stored_overview(spark, sf):
     return A.stored_overview(kept(spark, sf, "metric_partials").derived.read("metric_partials"))
 
 
+@query(f"""
+SELECT id, {PAYLOAD_SQL} FROM orders_linked WHERE id > '80000000-0000-5000-8000-000000000000' ORDER BY id LIMIT 100
+""")
+def clustered_page(spark, sf):
+    """The page behind an id, from files laid out by id."""
+    wh = kept(spark, sf, "fact_pages")
+    return flat(wh.derived.page("fact_pages", "80000000-0000-5000-8000-000000000000", 100), "id")
+
+
 @query("""
 SELECT count(*) AS observations, count(DISTINCT source_name) AS sources,
        count(DISTINCT location_id) AS locations, count(DISTINCT metric_name) AS metrics

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from terrafact.functions import coerce
 from terrafact.operators.payload import PAYLOAD, member, payload_contains, to_observations
 from terrafact.sources.derived import RunTable
+from terrafact.types import FACT_SCHEMA
 
 RUN = ["source_name", "ingest_run_id"]
 # Texts up to so many bytes are a posting's value as they are, others by their md5.
@@ -227,6 +228,14 @@ def fact_digests(fact: DataFrame) -> DataFrame:
     )
 
 
+# --- pages --------------------------------------------------------------------------------
+
+
+def fact_pages(fact: DataFrame) -> DataFrame:
+    """Facts as they are, to be laid out by id."""
+    return fact.select("id", "raw_import_id", "location_id", "time_id", PAYLOAD, "inserted_at", *RUN)
+
+
 RUN_DERIVED = {
     t.name: t
     for t in (
@@ -239,6 +248,7 @@ RUN_DERIVED = {
             ("axis", "metric_name"),
         ),
         RunTable("key_bitmaps", _schema("axis string, bucket bigint, bits binary, n bigint" + _RUN_COLUMNS), key_bitmaps, ("axis",), counted_keys),
+        RunTable("fact_pages", FACT_SCHEMA, fact_pages, cluster="id"),
         RunTable("fact_digests", _schema("n bigint, total string, parity bigint" + _RUN_COLUMNS), fact_digests),
     )
 }

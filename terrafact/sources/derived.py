@@ -19,6 +19,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from typing import TYPE_CHECKING
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -190,7 +191,8 @@ SEQUENCES = 64
 
 class RunTable:
     """What ``build`` makes of facts, in a folder for each run. With ``keys``, which names the
-    (axis, key) pairs of facts, ``build`` is also given a number for each of them."""
+    (axis, key) pairs of facts, ``build`` is also given a number for each of them. With ``cluster``
+    the files of a run hold ranges of that column, in order, and a list says which file holds which."""
 
     def __init__(
         self,
@@ -199,8 +201,20 @@ class RunTable:
         build: Callable[..., DataFrame],
         sort: tuple[str, ...] = (),
         keys: Callable[[DataFrame], DataFrame] | None = None,
+        cluster: str | None = None,
     ):
-        self.name, self.schema, self.build, self.sort, self.keys = name, schema, build, sort, keys
+        self.name, self.schema, self.build, self.sort, self.keys, self.cluster = name, schema, build, sort, keys, cluster
+
+    @property
+    def folders(self) -> list[str]:
+        return [self.name, f"{self.name}_files"] if self.cluster else [self.name]
+
+
+FILE_SCHEMA = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("file", "low", "high")]
+    + [T.StructField("n", T.LongType())]
+    + [T.StructField(n, T.StringType()) for n in ("source_name", "ingest_run_id")]
+)
 
 
 class Derived:
@@ -251,11 +265,61 @@ class Derived:
 
     def _write(self, table: RunTable, facts: DataFrame) -> None:
         more = (self._number(table.keys(facts)),) if table.keys else ()
-        rows = table.build(facts, *more).select(*table.schema.names).hint("rebalance", F.col("source_name"), F.col("ingest_run_id"))
+        run = ("source_name", "ingest_run_id")
+        rows = table.build(facts, *more).select(*table.schema.names)
+        if table.cluster:
+            rows = rows.repartitionByRange(*run, table.cluster).sortWithinPartitions(*run, table.cluster)
+        else:
+            rows = rows.hint("rebalance", *map(F.col, run))
         if table.sort:
-            rows = rows.sortWithinPartitions("source_name", "ingest_run_id", *table.sort)
+            rows = rows.sortWithinPartitions(*run, *table.sort)
+        self._put(rows, table.name)
+        if table.cluster:
+            runs = [r[0] for r in facts.select("ingest_run_id").distinct().collect()]  # those that change
+            stored = self.wh.spark.read.schema(table.schema).parquet(f"{self.wh.path}/{table.name}") if runs else None
+            if stored is not None:
+                files = stored.filter(F.col("ingest_run_id").isin(runs)).groupBy(F.col("_metadata.file_path").alias("file"), *run)
+                key = F.col(table.cluster)
+                self._put(files.agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count(F.lit(1)).alias("n")), f"{table.name}_files")
+
+    def _put(self, rows: DataFrame, name: str) -> None:
         writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("source_name", "ingest_run_id").parquet(f"{self.wh.path}/{table.name}")
+        writer.partitionBy("source_name", "ingest_run_id").parquet(f"{self.wh.path}/{name}")
+
+    def page(self, name: str, after: str | None, limit: int) -> DataFrame:
+        """The rows behind a value of the column that a table is clustered by, in its order, at most
+        ``limit``. Only files that can hold them are opened.
+
+        Every file that ends behind ``after`` has a row there, so the first ``limit`` of them by
+        their ends say where the page is over at the latest.
+        """
+        table = self.tables[name]
+        self.read(name)
+        path = f"{self.wh.path}/{name}"
+        nothing = self.wh.spark.createDataFrame([], table.schema)
+        if not self.wh.exists(f"{path}_files"):
+            return nothing
+        files = self.wh.spark.read.schema(FILE_SCHEMA).parquet(f"{path}_files")
+        if after is not None:
+            files = files.filter(F.col("high") > F.lit(after))
+        first = files.orderBy("high", "file").limit(limit).collect()
+        sure, end = 0, None
+        for f in first:
+            sure += f["n"] if after is None or f["low"] > after else 1
+            if sure >= limit:
+                end = f["high"]
+                break
+        if end is not None:
+            files = files.filter(F.col("low") <= F.lit(end))
+        elif len(first) < limit:  # these are all
+            files = None
+        wanted = [unquote(r["file"]) for r in (first if files is None else files.select("file").collect())]
+        if not wanted:
+            return nothing
+        rows = self.wh.spark.read.schema(table.schema).option("basePath", path).parquet(*wanted)
+        if after is not None:
+            rows = rows.filter(F.col(table.cluster) > F.lit(after))
+        return rows.orderBy(table.cluster).limit(limit)
 
     def _derive(self, load: str, runs: list[str]) -> None:
         self.ids.finish(load, runs)
@@ -267,9 +331,10 @@ class Derived:
         for table in kept:
             if facts is not None:
                 self._write(table, facts)
-            for folder in self.wh.run_folders(runs, table.name):
-                if folder not in there:
-                    self.wh.remove(f"{self.wh.path}/{table.name}/{folder}")
+            for name in table.folders:
+                for folder in self.wh.run_folders(runs, name):
+                    if folder not in there:
+                        self.wh.remove(f"{self.wh.path}/{name}/{folder}")
 
     def recover(self) -> None:
         """Make good what changes that never closed left behind."""
