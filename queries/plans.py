@@ -28,6 +28,7 @@ from terrafact.operators import registry as RG
 from terrafact.operators import runtables as RT
 from terrafact.operators import transform as TR
 from terrafact.plans import export as EX
+from terrafact.plans import integrity as IT
 from terrafact.plans import jobs as J
 from terrafact.plans.fact_load import FactLoad, fact_load
 from terrafact.sources import feeds as FD
@@ -1218,6 +1219,21 @@ def check_integrity(spark, sf):
     )
 
 
+@query("""
+SELECT 'fact_without_location' AS check, count(*) AS violations FROM orders_linked WHERE CAST(fips_code AS INTEGER) % 2 = 1
+UNION ALL SELECT 'fact_without_time', count(*) FROM orders_linked WHERE year < 1997
+UNION ALL SELECT 'fact_without_raw', 0 UNION ALL SELECT 'repeated_fact_id', 0
+UNION ALL SELECT 'repeated_location_id', 0 UNION ALL SELECT 'repeated_time_id', 0 UNION ALL SELECT 'impossible_period', 0
+""")
+def check_changes(spark, sf):
+    """Violations of a loaded warehouse, asked for before and after places and periods are taken away."""
+    wh = loaded(spark, sf)
+    IT.check_changes(wh)
+    wh.write_snapshot("dim_location", wh.read("dim_location").filter(F.col("fips_code").cast("int") % 2 == 0))
+    wh.write_snapshot("dim_time", wh.read("dim_time").filter("year >= 1997"))
+    return IT.check_changes(wh)
+
+
 # Whole jobs against a warehouse folder
 
 

@@ -203,6 +203,25 @@ def orphaned_raw(raw: DataFrame, fact: DataFrame, now: Column, days: int = 7) ->
     return old.join(fact.select(*keys), keys, "left_anti")
 
 
+def _copies() -> Column:
+    return F.count(F.lit(1)).alias("n")
+
+
+def _repeated() -> Column:
+    return F.count_if(F.col("n") > 1)
+
+
+def _total(key: str) -> Column:
+    return F.coalesce(F.sum(key), F.lit(0))
+
+
+def _as_rows(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """One aggregate over everything, its columns as rows."""
+    one = df.agg(*[c.alias(name) for name, c in checks.items()])
+    pairs = [F.struct(F.lit(n).alias("check"), F.col(n).alias("violations")) for n in checks]
+    return one.select(F.inline(F.array(*pairs)))
+
+
 def check_integrity(
     fact: DataFrame, location: DataFrame, time: DataFrame, raw: DataFrame
 ) -> DataFrame:
@@ -221,32 +240,27 @@ def check_integrity(
     def lost(key: str) -> Column:
         return F.count_if(F.col(key).isNotNull() & F.col(f"_{key}").isNull()).alias(key)
 
-    def total(key: str) -> Column:
-        return F.coalesce(F.sum(key), F.lit(0))
+    facts = rows.groupBy("id").agg(_copies(), *[lost(k) for k in (*keys, "raw_import_id")])
+    out = _as_rows(facts, {
+        "fact_without_location": _total("location_id"),
+        "fact_without_time": _total("time_id"),
+        "fact_without_raw": _total("raw_import_id"),
+        "repeated_fact_id": _repeated(),
+    })
+    return out.unionByName(dimension_checks(location, time))
 
-    def as_rows(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
-        one = df.agg(*[c.alias(name) for name, c in checks.items()])
-        pairs = [F.struct(F.lit(n).alias("check"), F.col(n).alias("violations")) for n in checks]
-        return one.select(F.inline(F.array(*pairs)))
 
-    repeated = F.count_if(F.col("n") > 1)
-    n = F.count(F.lit(1)).alias("n")
-    facts = rows.groupBy("id").agg(n, *[lost(k) for k in (*keys, "raw_import_id")])
+def dimension_checks(location: DataFrame, time: DataFrame) -> DataFrame:
+    """Repeated keys of both dimensions, and periods that cannot be."""
     bad_time = (
         F.col("year").isNull()
         | ~F.col("quarter").between(1, 4)
         | ~F.col("month").between(1, 12)
         | ~F.col("day").between(1, 31)
     )
-    out = as_rows(facts, {
-        "fact_without_location": total("location_id"),
-        "fact_without_time": total("time_id"),
-        "fact_without_raw": total("raw_import_id"),
-        "repeated_fact_id": repeated,
-    })
-    places = as_rows(location.groupBy("id").agg(n), {"repeated_location_id": repeated})
-    periods = as_rows(
-        time.groupBy("id").agg(n, F.count_if(bad_time).alias("bad")),
-        {"repeated_time_id": repeated, "impossible_period": total("bad")},
+    places = _as_rows(location.groupBy("id").agg(_copies()), {"repeated_location_id": _repeated()})
+    periods = _as_rows(
+        time.groupBy("id").agg(_copies(), F.count_if(bad_time).alias("bad")),
+        {"repeated_time_id": _repeated(), "impossible_period": _total("bad")},
     )
-    return out.unionByName(places).unionByName(periods)
+    return places.unionByName(periods)

@@ -47,12 +47,11 @@ def _run_files(spark, path: str, runs: Iterable[str]) -> dict[str, frozenset[str
     fs = base.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     if not fs.exists(base):
         return {}
-    out = {}
+    out, wanted = {}, {f"ingest_run_id={run}" for run in runs}
     for year in fs.listStatus(base):
-        for run in runs:
-            folder = jvm.Path(year.getPath(), f"ingest_run_id={run}")
-            if year.isDirectory() and fs.exists(folder):
-                out[folder.toString()] = frozenset(f.getPath().getName() for f in fs.listStatus(folder))
+        for run in fs.listStatus(year.getPath()) if year.isDirectory() else ():
+            if run.getPath().getName() in wanted:
+                out[run.getPath().toString()] = frozenset(f.getPath().getName() for f in fs.listStatus(run.getPath()))
     return out
 
 

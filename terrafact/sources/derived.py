@@ -163,6 +163,12 @@ class IdIndex:
             rows = rows.join(dead, ["load", "ingest_run_id"], "left_anti")
         return rows.select("id", "ingest_run_id", "bucket")
 
+    def dead_stamp(self) -> str:
+        """Changes whenever rows of the index die without a change of its files."""
+        dead = self._log().filter(F.col("state") == DEAD)
+        r = dead.agg(F.count(F.lit(1)), F.sum(F.xxhash64("load", "ingest_run_id").cast("decimal(38,0)"))).first()
+        return f"{r[0]}:{r[1]}"
+
     def conflicts(self, ids: DataFrame, but: Iterable[str] = ()) -> DataFrame:
         """Those of the given ids that are stored, by other runs than those named."""
         found = ids.select(bucket_of("id", self.buckets).alias("b")).distinct().limit(self.buckets).collect()
