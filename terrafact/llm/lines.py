@@ -123,7 +123,9 @@ def texts_of(scratch: Scratch, src: DataFrame, classes: DataFrame, pairs: DataFr
     wanted = scratch.stage(wanted, "wanted")
     bucket = F.pmod("th", F.lit(BUCKETS))  # marks which texts are wanted; at most BUCKETS numbers go to all tasks
     few = src.withColumn("bucket", bucket).join(F.broadcast(wanted.select(bucket.alias("bucket")).distinct()), "bucket", "left_semi")
-    rows = few.join(wanted, ["id", "th"]).select(F.explode("lines").alias("x"), F.split("text", "\n").alias("all"))
+    # Rows that repeat stand for one text: they lie together after the join, and one is kept.
+    one = few.join(wanted, ["id", "th"]).dropDuplicates(["id", "th"])
+    rows = one.select(F.explode("lines").alias("x"), F.split("text", "\n").alias("all"))
     return scratch.stage(rows.select("x.cls", F.element_at("all", (F.col("x.line") + 1).cast("int")).alias("text")), "texts")
 
 

@@ -120,7 +120,9 @@ def texts_of(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataF
     bucket = F.pmod("th", F.lit(BUCKETS))
     marked = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).withColumn("bucket", bucket)
     few = marked.join(F.broadcast(rows.select(bucket.alias("bucket")).distinct()), "bucket", "left_semi").drop("bucket")
-    return scratch.stage(few.join(rows, ["doc_id", "th"]).select("cls", "text"), "texts")
+    # Rows that repeat stand for one text: they lie together after the join, and one is kept.
+    one = few.join(rows, ["doc_id", "th"]).dropDuplicates(["doc_id", "th", "cls"])
+    return scratch.stage(one.select("cls", "text"), "texts")
 
 
 def close(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
