@@ -89,6 +89,17 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """Names like those given that no column of docs has, in any case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 # --- text as arrays ----------------------------------------------------------------------
 
 

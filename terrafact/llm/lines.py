@@ -6,20 +6,21 @@ the corpus. A line is removed if an earlier line has Jaccard num/den or more wit
 of work.
 
 1. Lines with equal sets are a class; all but its first are removed. The rest works on classes.
-2. Min-hash groups: each class against its group's first, verified. A class that matches an
-   earlier one is settled; large groups of similar lines take a linear number of pairs. This only
-   saves work in step 3.
+2. Min-hash groups: each class is compared by parity map with up to LEADS early classes of its groups, and
+   verified against the closest earlier one. A class that matches an earlier one is settled; large groups of
+   similar lines take a linear number of pairs. This only saves work in step 3.
 3. Prefix join: two similar sets share a token in their prefixes of n - ceil(t * n) + 1. Classes of
    which one isn't settled are joined under filters of length, of position, and of a parity map of
-   the tokens (bits that differ are at most the tokens that differ). What passes is verified on the
-   lines' texts, and the later of two similar classes goes.
+   the tokens (bits that differ are at most the tokens that differ). Pairs whose later class is settled go.
+   What passes is verified on the lines' texts: for each class first the closest earlier one; only
+   classes that it doesn't settle meet the others. The later of two similar classes goes.
 
 A class is named by a 64-bit hash of all bits of its words' hashes, since nothing compares the members of a
-class again. A posting is the token, the class, its size and position, and 32 bits of its parity map.
+class again. A posting is the token, the class, its size and position, and 64 bits of its parity map.
 
 Edge cases: null texts count as empty; a text has one line more than line breaks; lines without words
 match nothing and stay; rows of one id and equal text are the same place, so neither removes the
-other's lines; a null id comes before all others; an empty table gives no rows.
+other's lines; ids are whole numbers, and a null id comes before all others; an empty table gives no rows; columns of any other names stay as they are.
 """
 
 from __future__ import annotations
@@ -33,16 +34,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import setjoin as S
-from .common import Scratch, flat_text, list_column, mix, pieces, word_hashes
+from .common import Scratch, flat_text, list_column, mix, pieces, unused, word_hashes
 from .ngram_join import BUCKETS, allowed
 
 BITS = 19
 GROUPS = 2
+#: Early classes of a min-hash group that its members are compared with, at most.
+LEADS = 4
 #: 64-bit words of the parity maps that candidates are compared by before their texts are.
 MAP = 4
 #: Bits for a position in a posting.
 PLACE = 24
 NUM, DEN = 4, 5
+#: Bytes of text worked on at once; arrays of lines and words take some hundred times as much.
+PIECE = 1 << 19
 
 
 def tokens(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +84,7 @@ def prepared(docs: DataFrame) -> DataFrame:
 def line_sets(src: DataFrame) -> DataFrame:
     """One row for each line with words: id, th, line, n, cls, min-hashes, prefix. Of equal sets in a
     batch only one row has the prefix."""
-    levels = S.levels_of(S.count_buckets(src, tokens, BITS))
+    levels = S.levels_of(S.count_buckets(src, tokens, BITS, PIECE))
     shared = src.sparkSession.sparkContext.broadcast(levels)  # 2**BITS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +92,7 @@ def line_sets(src: DataFrame) -> DataFrame:
         for batch in batches:
             buf, at = flat_text(batch.column("text"))
             seen: set[int] = set()
-            for lo, hi, part, offsets in pieces(buf, at):
+            for lo, hi, part, offsets in pieces(buf, at, PIECE):
                 starts, doc = line_spans(part, offsets)
                 h, first_word = tokens(part, starts)
                 numbers, n = S.ordered_sets(h, first_word, levels)
@@ -130,9 +135,8 @@ def texts_of(scratch: Scratch, src: DataFrame, classes: DataFrame, pairs: DataFr
 
 
 def folded_map() -> Column:
-    """The parity map of a class in 32 bits."""
-    word = reduce(Column.bitwiseXOR, [F.col(f"p{j}") for j in range(MAP)])
-    return word.bitwiseXOR(F.shiftrightunsigned(word, 32)).bitwiseAND(F.lit((1 << 32) - 1)).alias("bits")
+    """The parity map of a class in 64 bits."""
+    return reduce(Column.bitwiseXOR, [F.col(f"p{j}") for j in range(MAP)]).alias("bits")
 
 
 def close(a: Column, na: Column, b: Column, nb: Column) -> tuple[Column, Column]:
@@ -158,42 +162,48 @@ def similar_lines(docs: DataFrame) -> DataFrame:
         "cls", "n", folded_map(), F.col("first.id").alias("id"),
         F.explode(F.array(*[F.xxhash64(F.lit(j), F.col(f"m{j}")) for j in range(GROUPS)])).alias("g"),
     )
-    lead = member.groupBy("g").agg(*[F.min_by(c, "id").alias(f"lead_{c}") for c in ("cls", "n", "bits")])
+    lead = member.groupBy("g", F.pmod("cls", F.lit(LEADS)).alias("part")).agg(*[F.min_by(c, "id").alias(f"lead_{c}") for c in ("cls", "n", "bits")])
     fits, _ = close(F.col("bits"), F.col("n"), F.col("lead_bits"), F.col("lead_n"))
     star = scratch.stage(
-        member.join(lead, "g").filter((F.col("cls") != F.col("lead_cls")) & fits)
+        member.join(lead.drop("part"), "g").filter((F.col("cls") != F.col("lead_cls")) & fits)
         .select(F.col("cls").alias("a"), F.col("lead_cls").alias("b")).distinct(),
         "star",
     )
 
-    def possible(pairs: DataFrame, name: str) -> DataFrame:
-        """Pairs that the wider parity maps of both classes leave."""
+    def possible(pairs: DataFrame, name: str, settled: DataFrame | None = None) -> DataFrame:
+        """Pairs that the wider parity maps of both classes leave, as the earlier class, the later one and the bits
+        that differ, without those whose later class is settled."""
 
         def side(c: str) -> DataFrame:
-            return classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), *[F.col(f"p{j}").alias(f"p{j}_{c}") for j in range(MAP)])
+            maps = [F.col(f"p{j}").alias(f"p{j}_{c}") for j in range(MAP)]
+            return classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("first").alias(f"first_{c}"), *maps)
 
         _, need = allowed("n_a", "n_b", NUM, DEN)
         differ = sum((F.bit_count(F.col(f"p{j}_a").bitwiseXOR(F.col(f"p{j}_b"))) for j in range(MAP)), F.lit(0))
-        left = pairs.join(side("a"), "a").join(side("b"), "b").filter(differ <= F.col("n_a") + F.col("n_b") - 2 * need)
-        out = scratch.stage(left.select("a", "b"), name)
+        left = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("differ", differ).filter(F.col("differ") <= F.col("n_a") + F.col("n_b") - 2 * need)
+        swap = F.col("first_b") < F.col("first_a")
+        left = left.select(
+            F.when(swap, F.col("b")).otherwise(F.col("a")).alias("earlier"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("later"), "differ"
+        )
+        if settled is not None:
+            left = left.join(settled.select(F.col("cls").alias("later")), "later", "left_anti")
+        out = scratch.stage(left.select("earlier", "later", "differ"), name)
         scratch.drop(pairs)
         return out
 
-    star = possible(star, "star-possible")
+    def closest(pairs: DataFrame) -> DataFrame:
+        """Of each later class the earlier one with the fewest bits that differ."""
+        return pairs.groupBy(F.col("later").alias("b")).agg(F.min(F.struct("differ", F.col("earlier").alias("a"))).alias("best")).select("best.a", "b")
 
-    def later(pairs: DataFrame, name: str) -> DataFrame:
-        """Of each verified pair the class that begins later."""
-        texts = texts_of(scratch, src, classes, pairs)
-        found = S.verified(pairs, texts, tokens, NUM, DEN)
-        x = classes.select(F.col("cls").alias("a"), F.col("first").alias("first_a"))
-        y = classes.select(F.col("cls").alias("b"), F.col("first").alias("first_b"))
-        both = found.join(x, "a").join(y, "b")
-        out = scratch.stage(both.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("cls")).distinct(), name)
-        scratch.drop(texts)
-        return out
+    def verify(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+        """The later classes of pairs that are similar."""
+        return scratch.stage(S.verified(pairs, texts, tokens, NUM, DEN).select(F.col("b").alias("cls")).distinct(), name)
 
-    settled = later(star, "settled")
-    scratch.drop(star)
+    star = possible(star, "star-possible")
+    tried = scratch.stage(closest(star), "star-closest")
+    texts = texts_of(scratch, src, classes, tried)
+    settled = verify(tried, texts, "settled")
+    scratch.drop(star, texts, tried)
     # size, whether settled, and position in one number
     size = F.shiftleft("n", PLACE + 1) + F.when(F.col("settled"), F.lit(1 << PLACE)).otherwise(F.lit(0))
     posting = (
@@ -214,8 +224,14 @@ def similar_lines(docs: DataFrame) -> DataFrame:
         .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct(),
         "pairs",
     )
-    pairs = possible(pairs, "pairs-possible")
-    gone = settled.unionByName(later(pairs, "found")).distinct().withColumn("gone", F.lit(True))
+    pairs = possible(pairs, "pairs-possible", settled)
+    texts = texts_of(scratch, src, classes, pairs.select(F.col("earlier").alias("a"), F.col("later").alias("b")))
+    tried = scratch.stage(closest(pairs), "closest")
+    found = verify(tried, texts, "found")
+    others = pairs.select(F.col("earlier").alias("a"), F.col("later").alias("b")).join(tried, ["a", "b"], "left_anti")
+    more = verify(others.join(found.withColumnRenamed("cls", "b"), "b", "left_anti").select("a", "b"), texts, "found-more")
+    scratch.drop(pairs, texts, tried)
+    gone = settled.unionByName(found).unionByName(more).distinct().withColumn("gone", F.lit(True))
     judged = classes.select("cls", "first").join(gone, "cls", "left")
     marked = lines.select("id", "th", "line", "cls").join(judged, "cls")
     # a class that matches nothing earlier keeps its first line
@@ -237,16 +253,17 @@ def line_counts(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """All columns of docs, with the lines left as `text`; a document all of whose lines are removed goes.
     A null text stays null."""
-    gone = similar_lines(docs).groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_set("line").alias("__gone"))
+    id_, th, gone_, kept_ = unused(docs, "id", "th", "gone", "kept")
+    gone = similar_lines(docs).groupBy(F.col("id").alias(id_), F.col("th").alias(th)).agg(F.collect_set("line").alias(gone_))
     keyed = docs.withColumns({
-        "__id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))),
-        "__th": F.xxhash64(F.coalesce("text", F.lit(""))),
+        id_: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))),
+        th: F.xxhash64(F.coalesce("text", F.lit(""))),
     })
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i.cast("bigint")))
-    cut = keyed.join(gone, ["__id", "__th"], "left").withColumn("__kept", F.when(F.col("__gone").isNotNull(), kept))
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone_, i.cast("bigint")))
+    cut = keyed.join(gone, [id_, th], "left").withColumn(kept_, F.when(F.col(gone_).isNotNull(), kept))
     return (
-        cut.filter(F.col("__kept").isNull() | (F.size("__kept") > 0))
-        .withColumn("text", F.coalesce(F.array_join("__kept", "\n"), F.col("text"))).select(*docs.columns)
+        cut.filter(F.col(kept_).isNull() | (F.size(kept_) > 0))
+        .withColumn("text", F.coalesce(F.array_join(kept_, "\n"), F.col("text"))).select(*docs.columns)
     )
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_text, mix, pieces
+from .common import PIECE_BYTES, flat_text, mix, pieces
 
 SKETCH_BITS = 18
 HASH_BITS = 48
@@ -27,14 +27,14 @@ LEVELS = 64
 Tokens = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def count_buckets(docs: DataFrame, tokens: Tokens, bits: int = SKETCH_BITS) -> np.ndarray:
+def count_buckets(docs: DataFrame, tokens: Tokens, bits: int = SKETCH_BITS, piece: int = PIECE_BYTES) -> np.ndarray:
     """Counts of all tokens of the texts by bucket; 2**bits numbers, however large the corpus is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.int64)
         for batch in batches:
             buf, at = flat_text(batch.column(0))
-            for _, _, part, offsets in pieces(buf, at):
+            for _, _, part, offsets in pieces(buf, at, piece):
                 h, _ = tokens(part, offsets)
                 total += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
         used = np.flatnonzero(total)
@@ -129,7 +129,7 @@ def overlap(a: pa.Array, b: pa.Array, tokens: Tokens) -> tuple[np.ndarray, np.nd
     ends = np.cumsum(size)
     lo = 0
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 21), "right")))
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 19), "right")))
         values, owners = [], []
         for buf, at, counts in ((buf_a, at_a, na), (buf_b, at_b, nb)):
             h, first = tokens(buf[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
