@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import setjoin as S
-from .common import Scratch, flat_text, list_column, pieces, shingles, word_hashes
+from .common import Scratch, flat_text, list_column, pieces, shingles, unused, word_hashes
 from .components import connected
 
 MOST = 4
@@ -217,12 +217,12 @@ def similarity_classes(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10)
 def first_of_each(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """The rows of docs, with all their columns, without those that reach a smaller one by links: of
     each component the row with the smallest (doc_id, text hash) stays, once. Rows without words
-    or id stay all."""
+    or id stay all; columns of any other names stay as they are."""
     judged = similarity_classes(docs, k, num, den)
-    key = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("__id"), F.col("th").alias("__th")]
-    gone = judged.filter("NOT stays").select(*key).distinct()
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))), "__th": F.xxhash64("text")})
-    left = keyed.join(gone, ["__id", "__th"], "left_anti")
-    copy = F.row_number().over(Window.partitionBy("__id", "__th").orderBy("__id"))  # of rows equal in id and text
+    id_, th, nth = unused(docs, "id", "th", "copy")
+    number = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
+    gone = judged.filter("NOT stays").select(number.alias(id_), F.col("th").alias(th)).distinct()
+    left = docs.withColumns({id_: number, th: F.xxhash64("text")}).join(gone, [id_, th], "left_anti")
+    copy = F.row_number().over(Window.partitionBy(id_, th).orderBy(id_))  # of rows equal in id and text
     alone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    return left.withColumn("__copy", F.when(alone, F.lit(1)).otherwise(copy)).filter("__copy = 1").select(*docs.columns)
+    return left.withColumn(nth, F.when(alone, F.lit(1)).otherwise(copy)).filter(F.col(nth) == 1).select(*docs.columns)

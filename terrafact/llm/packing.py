@@ -23,6 +23,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import unused
+
 BUCKETS = 8
 BUDGET = 16_384
 #: Documents of one shard, about.
@@ -68,7 +70,8 @@ def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[i
 
 def pack(docs: DataFrame, length: Column, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """All columns of `docs` and n_tokens, bucket (its upper bound), capacity (documents in a full
-    batch), batch (from 0 in each bucket), padding. Columns of these names are replaced."""
+    batch), batch (from 0 in each bucket), padding. Columns of these names are replaced, others stay."""
+    shard, place, many, sum_ = unused(docs, "__shard", "__in", "__n", "__before")
     extra = ("n_tokens", "bucket", "capacity", "batch", "padding")
     sized = docs.drop(*extra).withColumn("n_tokens", length)
     found = sized.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).toArrow()
@@ -81,19 +84,19 @@ def pack(docs: DataFrame, length: Column, buckets: int = BUCKETS, budget: int =
         upper = F.when(F.col("n_tokens") <= b, F.lit(b).cast("bigint")).otherwise(upper)
     placed = sized.withColumns({
         "bucket": upper,
-        "__shard": F.coalesce(F.pmod(F.col("doc_id"), F.lit(shards)), F.lit(shards) + F.col("n_tokens")).cast("bigint"),
+        shard: F.coalesce(F.pmod(F.col("doc_id"), F.lit(shards)), F.lit(shards) + F.col("n_tokens")).cast("bigint"),
     })
     ranked = placed.withColumn(
-        "__in", F.row_number().over(Window.partitionBy("bucket", "__shard").orderBy("doc_id", "n_tokens"))
+        place, F.row_number().over(Window.partitionBy("bucket", shard).orderBy("doc_id", "n_tokens"))
     )
-    sums = placed.groupBy("bucket", "__shard").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("bucket").orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("bucket", "__shard", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    sums = placed.groupBy("bucket", shard).agg(F.count(F.lit(1)).alias(many))
+    before = Window.partitionBy("bucket").orderBy(shard).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("bucket", shard, F.coalesce(F.sum(many).over(before), F.lit(0)).alias(sum_))
     capacity = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("bucket"), F.lit(1)))).cast("bigint")
     return (
-        ranked.join(offsets, ["bucket", "__shard"])
+        ranked.join(offsets, ["bucket", shard])
         .withColumn("capacity", capacity)
-        .withColumn("batch", F.floor((F.col("__before") + F.col("__in") - 1) / F.col("capacity")).cast("bigint"))
+        .withColumn("batch", F.floor((F.col(sum_) + F.col(place) - 1) / F.col("capacity")).cast("bigint"))
         .withColumn("padding", F.col("bucket") - F.col("n_tokens"))
         .select(*[c for c in docs.columns if c not in extra], *extra)
     )

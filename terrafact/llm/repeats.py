@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import setjoin as S
-from .common import PIECE_BYTES, Scratch, flat_text, pieces, prefix_hash, range_hash
+from .common import PIECE_BYTES, Scratch, flat_text, pieces, prefix_hash, range_hash, unused
 
 LENGTH = 100
 GRAM = 24
@@ -347,9 +347,9 @@ def covered(buf: np.ndarray, at: np.ndarray, doc: np.ndarray, marks: dict[str, n
 
 
 def judged(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For a batch with text and marks, in groups of rows: first and last row, bytes, offsets, bytes to remove."""
+    """For a batch with text and, as its last column, marks, in groups of rows: first and last row, bytes, offsets, bytes to remove."""
     buf, at = flat_text(batch.column("text"))
-    lists = batch.column("marks")
+    lists = batch.column(batch.num_columns - 1)
     sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
     flat = lists.flatten()
     values = {n: flat.field(n).to_numpy(zero_copy_only=False) for n in ("at", "c", "lo", "hi")}
@@ -361,8 +361,11 @@ def judged(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nda
 
 
 def _joined(docs: DataFrame, *columns: str) -> DataFrame:
-    marks = repeated_windows(docs).withColumnRenamed("id", "__id")
-    return docs.select(*columns).join(marks, F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    """The columns named, and behind them the marks of each row, in a column of an unused name."""
+    rows = docs.select(*columns)
+    id_, marks = unused(rows, "id", "marks")
+    found = repeated_windows(docs).select(F.col("id").alias(id_), F.col("marks").alias(marks))
+    return rows.join(found, F.col("doc_id") == F.col(id_), "left").select(*columns, marks)
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -411,10 +414,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     a, b = offsets[i], offsets[i + 1]
                     if bad[a:b].any():
                         texts[lo + i] = part[a:b][~bad[a:b]].tobytes().decode()
-            keep = pa.array([t != "" or not m.is_valid for t, m in zip(texts, batch.column("marks"), strict=True)], pa.bool_())
+            keep = pa.array([t != "" or not m.is_valid for t, m in zip(texts, batch.column(batch.num_columns - 1), strict=True)], pa.bool_())
             at = batch.schema.get_field_index("text")
             out = batch.set_column(at, "text", pa.array(texts, batch.schema.field("text").type)).filter(keep)
             yield out.select(names)
 
     names = docs.columns
-    return _joined(docs, *names).select(*names, "marks").mapInArrow(run, docs.schema)
+    return _joined(docs, *names).mapInArrow(run, docs.schema)
