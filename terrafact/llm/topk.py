@@ -12,8 +12,9 @@ go to the smaller id.
 
 Edge cases: rows with a null id, a null or empty vector or null or non-finite components take no
 part; candidates of another length than the query's are left out; all rows with the query's
-id count as its own row; with fewer candidates than k all are returned; repeated rows with the same
-vector count once, as candidates and as queries; two vectors of one query id share one list of answers. Components must stay below 2**31 in whole units.
+id count as its own row; with fewer candidates than k all are returned; repeated rows are candidates
+and queries each; all rows of one query id share one list of answers, the k highest of all that they find. Copies
+of one id and vector are counted before they are dealt, and k of them stand for all, as no list holds more. Components must stay below 2**31 in whole units.
 """
 
 from __future__ import annotations
@@ -44,9 +45,7 @@ class BallTree:
     """Nodes of a tree over integer vectors: centre, radius, children or a slice of points."""
 
     def __init__(self, ids: np.ndarray, points: np.ndarray, leaf: int = LEAF):
-        both = np.unique(np.column_stack([ids, points.astype(np.int64)]), axis=0)  # repeated rows once
-        self.ids, points = both[:, 0].copy(), both[:, 1:].astype(np.float64)
-        ids = self.ids
+        points = points.astype(np.float64)
         where = np.arange(len(ids))
         self.slices: list[tuple[int, int]] = []
         self.children: list[tuple[int, int] | None] = []
@@ -75,7 +74,7 @@ class BallTree:
                 self.children[node] = (-1, -1)
                 todo += [(mid, hi, node), (lo, mid, node)]
         self.centres, self.radii = np.array(centres), np.array(radii)
-        self.ids, self.points = self.ids[where], points[where]
+        self.ids, self.points = ids[where], points[where]
 
     def search(self, ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
         """index of the query, id, score of candidates that reach the query's floor, at most k
@@ -150,7 +149,10 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, shard: int = SHARD, blo
     """query_id, rank, vec_id, score. rows: vec_id, units (array of int, or null)."""
     scratch = Scratch(rows.sparkSession, "topk")
     valid = rows.filter("vec_id IS NOT NULL AND units IS NOT NULL").withColumn("dim", F.size("units"))
-    valid = scratch.stage(valid.select("vec_id", "units", "dim", F.coalesce(is_query, F.lit(False)).alias("asks")), "rows")
+    # `k` copies of a row fill any list of answers, so more of them need not be dealt
+    copies = valid.groupBy("vec_id", "units", "dim", F.coalesce(is_query, F.lit(False)).alias("asks")).agg(F.count(F.lit(1)).alias("n"))
+    each = F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int"))).alias("copy")
+    valid = scratch.stage(copies.select("vec_id", "units", "dim", "asks", each), "rows")
     sizes = valid.groupBy("dim").agg(
         F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"),
         F.greatest(F.lit(1), F.ceil(F.count_if("asks") / block)).cast("int").alias("blocks"),
@@ -159,14 +161,14 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, shard: int = SHARD, blo
     # dealt by vector and id, so that copies of one vector or one id spread over all shards
     shards = scratch.stage(
         _packed(
-            dealt.withColumn("shard", F.pmod(F.xxhash64("vec_id", "units"), F.col("shards")).cast("int")),
+            dealt.withColumn("shard", F.pmod(F.xxhash64("vec_id", "units", "copy"), F.col("shards")).cast("int")),
             ["shard", "dim"], "shard int, dim int", [],
         ),
         "shards",
     )
     queries = (
-        dealt.filter("asks").select("vec_id", "units", "dim", "shards", "blocks").distinct()
-        .withColumn("block", F.pmod(F.xxhash64("vec_id", "units"), F.col("blocks")).cast("int"))
+        dealt.filter("asks").select("vec_id", "units", "dim", "shards", "blocks", "copy")
+        .withColumn("block", F.pmod(F.xxhash64("vec_id", "units", "copy"), F.col("blocks")).cast("int"))
     )
     key, kinds = ["dim", "block", "shards"], "dim int, block int, shards int"
     home = F.pmod(F.col("block"), F.col("shards"))
