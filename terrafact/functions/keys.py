@@ -58,8 +58,7 @@ def uuid5(name: Column) -> Column:
         F.substring(digest, 1, 8),
         dash,
         F.substring(digest, 9, 4),
-        dash,
-        F.lit("5"),
+        F.lit("-5"),
         F.substring(digest, 14, 3),
         dash,
         variant,

@@ -11,7 +11,7 @@ from terrafact.functions import access
 from terrafact.functions.keys import joined_key, key_text, uuid5
 from terrafact.functions.places import date_floor, within
 from terrafact.functions.text import quoted
-from terrafact.operators.keep import first_per_key, last_per_key, upsert
+from terrafact.operators.keep import first_per_key, folded, last_per_key, upsert
 from terrafact.sources.feeds import POSITION, ROW
 from terrafact.types import LOCATION_KEY, LOCATION_SCHEMA, TIME_KEY, TIME_SCHEMA
 
@@ -91,7 +91,7 @@ def location_rows(df: DataFrame, kinds: Kinds) -> DataFrame:
         *[c.alias(n) for n, c in filled.items()],
         F.col(ROW),
     )
-    return _shape_location(first_per_key(rows, "id", ROW))
+    return _shape_location(first_per_key(folded(rows, ROW), "id", ROW))
 
 
 def versions(rows: DataFrame, existing: DataFrame, merge: str = "replace") -> DataFrame:
@@ -178,7 +178,7 @@ def with_date_floor(df: DataFrame) -> DataFrame:
 
 def time_rows(df: DataFrame, kinds: Kinds) -> DataFrame:
     """Dimension rows of a fact feed with ``time_id``."""
-    return with_date_floor(first_per_key(_time_frame(df, F.col("time_id"), kinds), "id", ROW))
+    return with_date_floor(first_per_key(folded(_time_frame(df, F.col("time_id"), kinds), ROW), "id", ROW))
 
 
 def row_key(names: tuple[str, ...], kinds: Kinds) -> Column:

@@ -112,11 +112,13 @@ def apply_transforms(df: DataFrame, source: SourceConfig, blame: bool = False) -
     """
     staged, fields = _staged(df, source)
     strict = _strict(fields)
-    level = F.greatest(F.lit(0), F.lit(0), *[_field_level(f) for f in strict])
+    levels = [_field_level(f) for f in strict]
+    level = F.greatest(*levels) if len(levels) > 1 else (levels or [F.lit(0)])[0]
     extra = [quoted(c) for c in unmapped_columns(df, source)]
     columns = [*_values(fields), *extra, *meta_columns(df), level.alias(LEVEL)]
     if blame:
-        names = [F.when(_field_level(f) == 2, F.lit(f.name)) for f in strict]
+        stop = [f for f in strict if any(p == OnFailure.SKIP_DATASET for _, _, p in f.steps)]
+        names = [F.when(_field_level(f) == 2, F.lit(f.name)) for f in stop]
         columns.append(F.coalesce(F.lit(None).cast("string"), *names).alias(BLAME))
     return staged.select(*columns)
 

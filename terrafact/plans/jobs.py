@@ -20,7 +20,7 @@ from terrafact.operators import facts as FA
 from terrafact.operators import registry as R
 from terrafact.operators import transform as TR
 from terrafact.operators.analytics import orphaned_raw
-from terrafact.operators.keep import first_per_key, last_per_key
+from terrafact.operators.keep import first_by_sort, last_per_key
 from terrafact.operators.runtables import fact_digests
 from terrafact.plans import fact_load as PL
 from terrafact.plans.export import export_frame, write_export
@@ -239,18 +239,18 @@ def _observed_outcome(counts: dict, files: Sequence[tuple[str, str]], source: So
 def _outcome(stage: DataFrame, source: SourceConfig) -> list[RunReport]:
     """Rows, skipped rows and reason to give up, per run. As long as the file list."""
     gave_up = F.col(TR.LEVEL) == 2
-    first = F.min_by(F.struct(TR.BLAME, ROW), F.when(gave_up, F.col(ROW)))
     found = (
-        stage.groupBy(RUN)
-        .agg(
-            F.min(FILE).alias(FILE),
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(F.col(TR.LEVEL) == 1).alias("skipped"),
-            F.count_if(gave_up).alias("bad"),
-            first.alias("first"),
-        )
+        stage.groupBy(RUN, FILE)
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(TR.LEVEL) == 1).alias("skipped"), F.count_if(gave_up).alias("bad"))
+        .groupBy(RUN)
+        .agg(F.min(FILE).alias(FILE), *[F.sum(c).alias(c) for c in ("n", "skipped", "bad")])
         .collect()
     )
+    # Reasons are looked for only where there are any: they are folded by sorting, the counts are not.
+    firsts = {}
+    if any(r["bad"] for r in found):
+        first = F.min_by(F.struct(TR.BLAME, ROW), ROW)
+        firsts = dict(stage.filter(gave_up).groupBy(RUN).agg(first.alias("first")).collect())
     return [
         RunReport(
             source.name,
@@ -259,7 +259,7 @@ def _outcome(stage: DataFrame, source: SourceConfig) -> list[RunReport]:
             r["n"],
             r["skipped"],
             0,
-            f"{r['first'][0]} at row {r['first'][1]}" if r["bad"] else None,
+            f"{firsts[r[RUN]][0]} at row {firsts[r[RUN]][1]}" if r["bad"] else None,
         )
         for r in sorted(found, key=lambda r: r[FILE])
     ]
@@ -385,7 +385,7 @@ def _plan_facts(
         # A run that is written again does not conflict with itself. Ids come straight
         # from the staging table: look-ups may drop some of them, which changes nothing.
         stored = wh.derived.ids.conflicts(good, but=runs)
-        facts = first_per_key(facts, "id", ROW).join(stored, "id", "left_anti")
+        facts = first_by_sort(facts, "id", ROW).join(stored, "id", "left_anti")
     return facts.drop(ROW)
 
 
