@@ -209,9 +209,10 @@ def read_records(
     keep it, swap it, or set it, whatever it was. The state after a number of
     lines is that of the last line that sets it, swapped by the swaps since;
     so each split of a file works out its own effect, and the effects of the
-    splits before it, a row for each, tell how it begins. Only lines that do
-    not make a record by themselves are then grouped. A file that ends inside
-    a value is not grouped: it yields one malformed record.
+    splits before it, a row for each, tell how it begins. Records are put
+    together where their split lies already; only lines of those that cross
+    splits are dealt once more. A file that ends inside a value is not
+    grouped: it yields one malformed record.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     lines = _text_lines(spark, paths)
@@ -219,6 +220,7 @@ def read_records(
     lines = lines.withColumns({
         "swap": (opens & ~stays).cast("int"),
         "set": F.when(opens == stays, opens.cast("int")),
+        "some": F.col("text").rlike("[^\ufeff]"),
     })
 
     def effect(rows: DataFrame, order: str, *by: str) -> DataFrame:
@@ -242,6 +244,7 @@ def read_records(
     splits = lines.groupBy("file", "split").agg(
         (F.sum("swap") % 2).alias("swap"),
         F.max_by((F.col("base") + F.col("swaps")) % 2, "at").alias("set"),
+        F.min(F.when(F.col("some"), F.col("at"))).alias("head"),  # the header is the first line that is not blank
         *start_if,
     )
     # One row for each split; a set counts from behind its split's swaps.
@@ -249,32 +252,37 @@ def read_records(
     splits = effect(splits, "split", "file")
     begins = (F.coalesce("base_before", F.lit(0)) + F.col("swaps_before")) % 2
     w = Window.partitionBy("file").orderBy("split")
+    all_splits = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     splits = splits.withColumns({
         "open": begins,
-        "ends": F.last((F.coalesce("base", F.lit(0)) + F.col("swaps")) % 2).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+        "left_open": (F.coalesce("base", F.lit(0)) + F.col("swaps")) % 2,
+        "head": F.min("head").over(all_splits),
+        "last": F.when(begins == 0, F.col("start_if_0")).otherwise(F.col("start_if_1")),
+    })
+    splits = splits.withColumns({
+        "ends": F.last("left_open").over(all_splits),
+        "carried": F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1)),
     })
-    own = F.when(F.col("open") == 0, F.col("start_if_0")).otherwise(F.col("start_if_1"))
-    splits = splits.withColumn("own", own)
-    splits = splits.withColumn("carried", F.max("own").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-
-    lines = lines.join(splits.select("file", "split", "open", "carried", "ends"), ["file", "split"])
-    inside = F.coalesce(state, (F.col("open") + F.col("swaps_before")) % 2)
-    after = F.coalesce(F.col("set"), (inside + F.col("swap")) % 2)
-    lines = lines.withColumns({"starts": inside == 0, "whole": (inside == 0) & (after == 0)})
-    closed = lines.filter(F.col("ends") == 0)
-    alone = closed.filter("whole").select("file", F.col("at").alias("start"), "text")
-    so_far = Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    start = F.coalesce(F.max(F.when(F.col("starts"), F.col("at"))).over(so_far), F.col("carried"))
-    parts = closed.withColumn("start", start).filter(~F.col("whole"))
-    # The line break behind a record's last line is not part of it.
-    spanning = parts.groupBy("file", "start").agg(
-        F.array_sort(F.collect_list(F.struct("at", "text", "end"))).alias("parts")
-    )
-    body = F.transform("parts", lambda x, i: F.when(i == F.size("parts") - 1, x["text"]).otherwise(F.concat(x["text"], x["end"])))
-    records = alone.unionByName(spanning.select("file", "start", F.array_join(body, "").alias("text")))
 
-    first = records.groupBy("file").agg(F.min(F.when(F.col("text").rlike("[^\ufeff]"), F.col("start"))).alias("head"))
-    records = records.join(first, "file").filter((F.col("start") > F.col("head")) & (F.col("text") != ""))
+    lines = lines.join(splits.select("file", "split", "open", "left_open", "last", "carried", "ends", "head"), ["file", "split"])
+    closed = lines.filter(F.col("ends") == 0).withColumn("starts", F.coalesce(state, (F.col("open") + F.col("swaps_before")) % 2) == 0)
+    so_far = Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    started = F.coalesce(F.max(F.when(F.col("starts"), F.col("at"))).over(so_far), F.col("carried"))
+    # A record lies in its split, where all its lines are, unless it is what the split begins or ends inside of.
+    crosses = (F.col("start.split") < F.col("split")) | ((F.col("left_open") == 1) & (F.col("at") >= F.col("last")))
+    parts = closed.withColumn("start", started)
+    inside, across = parts.filter(~crosses), parts.filter(crosses)
+
+    def texts(parts: DataFrame, *by: str) -> DataFrame:
+        """Lines put together; the line break behind a record's last line is not part of it."""
+        found = parts.filter(F.col("start") > F.col("head")).groupBy(*by).agg(
+            F.array_sort(F.collect_list(F.struct("at", "text", "end"))).alias("parts")
+        )
+        body = F.transform("parts", lambda x, i: F.when(i == F.size("parts") - 1, x["text"]).otherwise(F.concat(x["text"], x["end"])))
+        return found.select("file", "start", F.array_join(body, "").alias("text"))
+
+    records = texts(inside, "file", "split", "start").unionByName(texts(across, "file", "start"))
+    records = records.filter(F.col("text") != "")
     schema = ", ".join(f"{f.name} string" for f in csv_schema(header, lenient))
     marked = F.replace(F.replace("text", F.lit(_MARK), F.lit(_SELF)), F.lit("\r"), F.lit(_CR))
     text = F.when(F.col("text").rlike(f"[\r{_MARK}]"), marked).otherwise(F.col("text"))
@@ -285,7 +293,8 @@ def read_records(
         for f in csv_schema(header, lenient)
     ]
     out = parsed.select(*values, "file", F.col("start.line").alias("line"))
-    unclosed = splits.filter((F.col("ends") == 1) & (F.col("split") == 0))
+    # Such a file has a line that is not blank; asking for it makes Spark deal lines once for both uses of the splits.
+    unclosed = splits.filter((F.col("ends") == 1) & (F.col("split") == 0) & F.col("head").isNotNull())
     message = F.lit("a quoted value that never closes")
     nothing = [
         (message if f.name == "_bad" else F.lit(None).cast("string")).alias(f.name) for f in csv_schema(header, lenient)
