@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from terrafact.config import ConfigError, DerivedDef, SourceConfig
 from terrafact.functions.keys import joined_key, key_text, uuid5
 from terrafact.functions.text import finite, quoted, utc_text
-from terrafact.operators.keep import first_per_key, without_conflicts
+from terrafact.operators.keep import first_per_key
 from terrafact.sources.feeds import POSITION, ROW, feed_columns, meta_columns
 from terrafact.types import DIMENSION_FIELDS
 
@@ -126,9 +126,14 @@ def fact_id(source: SourceConfig, kinds: Mapping[str, str]) -> Column:
             parts.append((name, F.lit("")))
         else:
             raise ConfigError(f"unique_key: {name!r} is not a declared field")
-    return uuid5(joined_key(parts))
+    # Never null. Said so that Spark sees it, no filter works the key out a second time.
+    return F.coalesce(uuid5(joined_key(parts)), F.lit(""))
 
 
 def append_facts(new: DataFrame, existing: DataFrame, order: str = ROW) -> DataFrame:
-    """Rows to add: the first row per id, unless the id is already loaded."""
-    return without_conflicts(first_per_key(new, "id", order), existing)
+    """Rows to add: the first row per id, unless the id is already loaded.
+
+    ``new`` is the plan of a whole load, whose rows are dear to make: they are made once, and dealt
+    by id as their de-duplication needs it anyway, so that only the ids of ``existing`` move besides.
+    """
+    return first_per_key(new, "id", order).join(existing.select("id"), "id", "left_anti")
