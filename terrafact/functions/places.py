@@ -134,7 +134,7 @@ def state_of_fips(number: Column) -> Column:
 
 def country_of_path(path: Column) -> Column:
     """``US`` for a path with a ``usa`` segment, else null."""
-    return F.when(F.lower(path).rlike(r"(?:\A|/)usa(?:/|\z)"), F.lit("US"))
+    return F.when(path.rlike(r"(?i)(?:\A|/)usa(?:/|\z)"), F.lit("US"))
 
 
 def within(c: Column, low: int, high: int) -> Column:

@@ -19,8 +19,14 @@ def quoted(name: str) -> Column:
 
 
 def trim_to_null(c: Column) -> Column:
-    """Strip white space on both ends; nothing left means null."""
-    return F.nullif(F.btrim(c, F.lit(WHITE_SPACE)), F.lit(""))
+    """Strip white space on both ends; nothing left means null.
+
+    Most texts begin and end with a visible ASCII character and stay as they are; only the others
+    are looked through for white space, which is dear. Texts compare by their bytes.
+    """
+    last = F.substring(c, -1, 1)
+    plain = (c >= "!") & (c < "\x7f") & (last >= "!") & (last < "\x7f")
+    return F.when(plain, c).otherwise(F.nullif(F.btrim(c, F.lit(WHITE_SPACE)), F.lit("")))
 
 
 def utc_text(c: Column) -> Column:
