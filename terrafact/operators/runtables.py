@@ -65,9 +65,13 @@ def value_field(values: DataFrame, key: str, spark_type: str = "string", name: s
 def value_observations(values: DataFrame, fields: Iterable[str]) -> DataFrame:
     """One row per fact and field: ``metric_name`` and a number or null."""
     rest = [c for c in values.columns if c != "payload"]
-    numbers = {f: coerce.floating(_value(f, "string"), "f64") for f in fields}
-    pairs = F.array(*[F.struct(F.lit(f).alias("n"), v.alias("v")) for f, v in numbers.items()])
-    return values.select(*rest, F.inline(pairs).alias("metric_name", "metric_value"))
+    fields = list(fields)
+    # Texts and numbers are columns of their own: inside the generator, or of each other, each use of a
+    # text would read the payload again.
+    texts = values.select(*rest, *[_value(f, "string").alias(f"_t{i}") for i, f in enumerate(fields)])
+    pairs = F.array(*[F.struct(F.lit(f).alias("n"), F.col(f"_t{i}").alias("v")) for i, f in enumerate(fields)])
+    tall = texts.select(*rest, F.inline(pairs).alias("metric_name", "_text"))
+    return tall.select(*rest, "metric_name", coerce.floating(F.col("_text"), "f64").alias("metric_value"))
 
 
 # --- postings -----------------------------------------------------------------------------
@@ -239,7 +243,7 @@ def fact_pages(fact: DataFrame) -> DataFrame:
 RUN_DERIVED = {
     t.name: t
     for t in (
-        RunTable("fact_values", _schema("id string, location_id string, time_id string, payload variant" + _RUN_COLUMNS), fact_values),
+        RunTable("fact_values", _schema("id string, location_id string, time_id string, payload variant" + _RUN_COLUMNS), fact_values, by_row=True),
         RunTable("payload_terms", _schema("name string, kind string, value string, id string" + _RUN_COLUMNS), payload_terms, ("name", "kind", "value")),
         RunTable(
             "metric_partials",

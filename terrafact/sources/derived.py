@@ -198,7 +198,9 @@ SEQUENCES = 64
 class RunTable:
     """What ``build`` makes of facts, in a folder for each run. With ``keys``, which names the
     (axis, key) pairs of facts, ``build`` is also given a number for each of them. With ``cluster``
-    the files of a run hold ranges of that column, in order, and a list says which file holds which."""
+    the files of a run hold ranges of that column, in order, and a list says which file holds which.
+    ``by_row`` says that ``build`` makes each row from one fact, so that rows of one run may be written
+    where its facts are read."""
 
     def __init__(
         self,
@@ -208,8 +210,10 @@ class RunTable:
         sort: tuple[str, ...] = (),
         keys: Callable[[DataFrame], DataFrame] | None = None,
         cluster: str | None = None,
+        by_row: bool = False,
     ):
         self.name, self.schema, self.build, self.sort, self.keys, self.cluster = name, schema, build, sort, keys, cluster
+        self.by_row = by_row
 
     @property
     def folders(self) -> list[str]:
@@ -269,13 +273,13 @@ class Derived:
         rows.write.mode("append").parquet(f"{self.wh.path}/key_numbers")
         return self.numbers()
 
-    def _write(self, table: RunTable, facts: DataFrame) -> None:
+    def _write(self, table: RunTable, facts: DataFrame, one_run: bool = False) -> None:
         more = (self._number(table.keys(facts)),) if table.keys else ()
         run = ("source_name", "ingest_run_id")
         rows = table.build(facts, *more).select(*table.schema.names)
         if table.cluster:
             rows = rows.repartitionByRange(*run, table.cluster).sortWithinPartitions(*run, table.cluster)
-        else:
+        elif not (one_run and table.by_row):
             rows = rows.hint("rebalance", *map(F.col, run))
         if table.sort:
             rows = rows.sortWithinPartitions(*run, *table.sort)
@@ -336,7 +340,7 @@ class Derived:
         there = set(self.wh.run_folders(runs)) if facts is not None else set()
         for table in kept:
             if facts is not None:
-                self._write(table, facts)
+                self._write(table, facts, len(there) == 1)
             for name in table.folders:
                 for folder in self.wh.run_folders(runs, name):
                     if folder not in there:
