@@ -14,7 +14,8 @@ Steps:
 2. Min-hash groups: each class is verified against its group's most common member, the one whose
    tokens have the highest mean level: among near copies that is their source, which they all link with
    even where they don't with each other. What links is one component. This settles large groups of near copies in a
-   linear number of pairs. It is not needed for completeness: it only names pairs that step 3 need not look at.
+   linear number of pairs. Members that are not in one component with all others by then are compared with up to LEADS more
+   members of each group. None of this is needed for completeness: it only names pairs that step 3 need not look at.
 3. Prefix join of all classes that aren't in one component yet, verification, components again.
 So every link between different components is found, and no list of all pairs of a group is made.
 
@@ -42,6 +43,8 @@ MOST = 4
 #: Cost of verifying a candidate, in prefix tokens looked up.
 VERIFY = 200
 GROUPS = 3
+#: Further members of a min-hash group that those outside their component are compared with, at most.
+LEADS = 16
 #: 64-bit words of the parity maps that candidates are compared by before their texts are.
 MAP = 32
 #: Classes whose texts are fetched are marked in so many buckets.
@@ -171,6 +174,23 @@ def similarity_classes(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10)
     scratch.drop(texts)
     known = connected(scratch, links).withColumnRenamed("v", "cls")
 
+    # Once more, with several members of each group that is not one component yet.
+    placed = member.join(known, "cls", "left").select("cls", "n", "common", "g", F.coalesce("root", "cls").alias("root"))
+    split = placed.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("g")
+    placed = scratch.stage(placed.join(split, "g"), "placed")
+    part = F.pmod(F.xxhash64("g", "cls"), F.lit(LEADS)).alias("part")
+    leads = placed.groupBy("g", part).agg(*[F.max_by(c, F.struct("common", "cls")).alias(f"lead_{c}") for c in ("cls", "n", "root")])
+    fits, _ = allowed("n", "lead_n", num, den)
+    again = (
+        placed.join(leads.drop("part"), "g").filter(fits & (F.col("root") != F.col("lead_root")))
+        .select(F.least("cls", "lead_cls").alias("a"), F.greatest("cls", "lead_cls").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    )
+    again = scratch.stage(close(again, classes, num, den), "star-again")
+    texts = texts_of(scratch, docs, classes, again)
+    links = scratch.stage(links.unionByName(S.verified(again, texts, tokens, num, den)), "links-again")
+    scratch.drop(texts, placed)
+    known = connected(scratch, links).withColumnRenamed("v", "cls")
+
     # Step 3: prefixes of all classes; only pairs of two components are of interest.
     posting = (
         classes.join(known, "cls", "left")
