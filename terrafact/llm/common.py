@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 #: Bytes of text worked on at once inside a task; a longer document is a piece of its own.
 PIECE_BYTES = 1 << 21
 
+#: Bytes of a batch that goes to a Python worker and comes back, unless the session says otherwise. A task holds several
+#: copies, on both sides of the pipe; Spark's own 64 MB make up hundreds of megabytes of an executor beside its heap.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 #: White space of the word rule `[^\x20\x09-\x0D]+`, fixed by the contract.
 SPACES = b" \t\n\v\f\r"
 
@@ -38,7 +43,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 def importable(spark: SparkSession) -> None:
     """Lets Python workers that see this file system import the package from where the driver has
-    it; elsewhere it is installed or sent along, as any package is."""
+    it; elsewhere it is installed or sent along, as any package is. Workers of another environment are processes
+    of their own, so every operator calls this before its first job. Also bounds the batches that workers get."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     known = spark.sparkContext.environment
     root = str(Path(__file__).resolve().parents[2])
     if root not in known.get("PYTHONPATH", "").split(os.pathsep):

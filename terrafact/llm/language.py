@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import PIECE_BYTES, flat_text, pieces
+from .common import flat_text, importable, pieces
 
 UNKNOWN = "und"
 BITS = 16
@@ -35,6 +35,9 @@ SAMPLE = 500
 #: Bytes of one sampled document that a training step looks at: a random window, as large as this.
 WINDOW = 6000
 
+#: Bytes of text worked on at once; arrays of subwords take some thirty times as much.
+PIECE = 1 << 19
+
 #: Bytes as subwords see them: small letters, bytes of other letters, and blanks.
 _LETTERS = np.full(256, 32, np.uint8)
 _LETTERS[97:123] = np.arange(97, 123)
@@ -122,6 +125,7 @@ def train(
 def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
     """Learns from text and lang of `docs` alone: `sample` rows of each language, those whose ids
     hash lowest. The bound is on rows, for each language, whatever the corpus holds."""
+    importable(docs.sparkSession)
     known = docs.filter("lang IS NOT NULL").withColumn("h", F.xxhash64("doc_id"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # tasks keep `sample` rows a language
     ids = [r[0] for r in known.select("lang", "h", rank.alias("r")).filter(F.col("r") <= sample).select("h").distinct().collect()]
@@ -202,6 +206,7 @@ def accepted_rows(docs: DataFrame, model: LanguageModel | None, accept: float =
 def _judge(docs: DataFrame, model: LanguageModel, accept: float) -> Callable:
     """From a batch with text and, as its last column, whether the text has a letter: names, scores,
     whether accepted."""
+    importable(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by BITS and the languages
 
     def run(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -210,7 +215,7 @@ def _judge(docs: DataFrame, model: LanguageModel, accept: float) -> Callable:
         buf, at = flat_text(batch.column("text"))
         has = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
         best, score = np.zeros(len(has), np.int64), np.zeros(len(has))
-        for lo, hi, part, offsets in pieces(buf, at, PIECE_BYTES):
+        for lo, hi, part, offsets in pieces(buf, at, PIECE):
             p = softmax(_scores(m, part, offsets) / m.temperature)
             best[lo:hi] = p.argmax(1)
             score[lo:hi] = p.max(1)
