@@ -16,7 +16,8 @@ Steps:
    even where they don't with each other. What links is one component. This settles large groups of near copies in a
    linear number of pairs. Members that are not in one component with all others by then are compared with up to LEADS more
    members of each group. None of this is needed for completeness: it only names pairs that step 3 need not look at.
-3. Prefix join of all classes that aren't in one component yet, verification, components again.
+3. Prefix join of all classes that aren't in one component yet, under filters of length, of position and of folded
+   parity maps, verification, components again.
 So every link between different components is found, and no list of all pairs of a group is made.
 
 Edge cases: null or empty texts and texts without words have no shingles, n_shingles 0, and link
@@ -29,6 +30,7 @@ of n share one with a chance of about n*n / 2**65.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,10 @@ GROUPS = 3
 LEADS = 16
 #: 64-bit words of the parity maps that candidates are compared by before their texts are.
 MAP = 32
+#: 64-bit words that a posting has of the map, folded. They tell little of sets of more than some 300 tokens.
+FOLD = 2
+#: Bits for a position in a posting.
+PLACE = 29
 #: Classes whose texts are fetched are marked in so many buckets.
 BUCKETS = 1 << 20
 
@@ -143,6 +149,39 @@ def allowed(na: Column | str, nb: Column | str, num: int, den: int) -> tuple[Col
     return (den * a >= num * b) & (den * b >= num * a), F.ceil((a + b) * num / F.lit(float(num + den)) - 1e-9)
 
 
+def shared_tokens(classes: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b, rest, need, matches for each token that the prefixes of two classes of different roots share, as far as
+    sizes, positions and folded parity maps allow the threshold. Each pair that reaches it has `matches` such rows or more.
+
+    In a large group of near copies those who are too far from the rest share tokens with all of it; the maps, which
+    each posting brings along, leave few of these pairs, so what leaves the join doesn't grow with the square of a group."""
+    bits = [reduce(Column.bitwiseXOR, [F.col("map")[i] for i in range(j, MAP, FOLD)]).alias(f"bits{j}") for j in range(FOLD)]
+    size = F.shiftleft("n", PLACE + 3) + F.shiftleft("l", PLACE)  # and the position, in one number
+    posting = (
+        classes.select("cls", "root", F.col("prefix")[0].alias("least"), *bits, size.alias("size"), F.posexplode("prefix").alias("pos", "token"))
+        .select("token", "cls", "root", "least", *[f"bits{j}" for j in range(FOLD)], (F.col("size") + F.col("pos")).alias("at"))
+    )
+    a, b = posting.alias("x"), posting.alias("y")
+
+    def parts(side: str) -> tuple[Column, Column, Column]:
+        at = F.col(f"{side}.at")
+        return F.shiftright(at, PLACE + 3), F.shiftright(at, PLACE).bitwiseAND(F.lit(7)), at.bitwiseAND(F.lit((1 << PLACE) - 1))
+
+    (nx, lx, px), (ny, ly, py) = parts("x"), parts("y")
+    fits, need = allowed(nx, ny, num, den)
+    # Of a link the m-th shared token leaves at most m - 1 + rest in common, and the first `matches` tell
+    # all. Where one is enough and both sets begin with the same token, that token is it.
+    rest, matches = F.least(nx - px, ny - py), F.least(lx, ly)
+    one = (matches > 1) | (F.col("x.least") != F.col("y.least")) | (F.col("x.token") == F.col("x.least"))
+    differ = sum((F.bit_count(F.col(f"x.bits{j}").bitwiseXOR(F.col(f"y.bits{j}"))) for j in range(FOLD)), F.lit(0))
+    met = a.join(
+        b,
+        (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root"))
+        & fits & (rest + matches - 1 >= need) & one & (differ <= nx + ny - 2 * need),
+    )
+    return met.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), rest.alias("rest"), need.alias("need"), matches.alias("matches"))
+
+
 def similarity_classes(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """doc_id, th, n_shingles, component_id, stays (whether it is the first of its component) for each
     row of docs (doc_id, text); links at Jaccard num/den or more."""
@@ -192,26 +231,9 @@ def similarity_classes(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10)
     known = connected(scratch, links).withColumnRenamed("v", "cls")
 
     # Step 3: prefixes of all classes; only pairs of two components are of interest.
-    posting = (
-        classes.join(known, "cls", "left")
-        .select("cls", F.coalesce("root", "cls").alias("root"), "n", "l", F.col("prefix")[0].alias("least"), F.posexplode("prefix").alias("pos", "token"))
-    )
-    a, b = posting.alias("x"), posting.alias("y")
-    fits, need = allowed("x.n", "y.n", num, den)
-    rest = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    matches = F.least("x.l", "y.l")
-    # Of a link the m-th shared token leaves at most m - 1 + rest in common, and the first `matches` tell
-    # all. Where one is enough and both sets begin with the same token, that token is it.
-    one = (matches > 1) | (F.col("x.least") != F.col("y.least")) | (F.col("x.token") == F.col("x.least"))
-    met = a.join(
-        b,
-        (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root"))
-        & fits & (rest + matches - 1 >= need) & one,
-    )
+    met = shared_tokens(classes.join(known, "cls", "left").withColumn("root", F.coalesce("root", "cls")), num, den)
     pairs = (
-        met.select(
-            F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), rest.alias("rest"), need.alias("need"), matches.alias("matches")
-        ).groupBy("a", "b").agg(
+        met.groupBy("a", "b").agg(
             F.count(F.lit(1)).alias("shared"), F.max("rest").alias("rest"), F.max("need").alias("need"), F.max("matches").alias("matches")
         ).filter("shared >= matches AND rest >= need").select("a", "b")
     )
